@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, langid
+from millrace.llm import bpe, knn, langid, linededup, neardup
 from millrace.llm.common import fold, small_batches, table
 
 
@@ -22,6 +22,36 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs."""
+    small_batches(spark)
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of highest integer inner product for each embedding whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
+    return knn.top_k(rows.select(F.col("vec_id").cast("long").alias("vec_id"), knn.integers(F.col("embedding")).alias("v")), F.col("vec_id") % 20 == 0, 20)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    small_batches(spark)
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 fold of five is not 0."""
     small_batches(spark)
@@ -31,5 +61,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op7_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id)}
+ORACLES = {"op5_exact_topk": OP5_SQL}
