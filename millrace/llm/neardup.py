@@ -47,7 +47,7 @@ def sketch(elements: np.ndarray) -> np.ndarray:
         filled, start = bool((out < np.iinfo(np.uint64).max).all()), stop
     if not filled:
         for j in np.flatnonzero(out == np.iinfo(np.uint64).max):
-            h = mix(elements + np.uint64(SIZE + j + 1) * np.uint64(0x9E3779B97F4A7C15))
+            h = mix(elements + np.array([SIZE + j + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             out[j] = (mix(h) >> np.uint64(8)).min() | np.uint64(SIZE + j) << np.uint64(56)
     return out
 
