@@ -6,10 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, knn, langid, linededup, neardup
+from millrace.llm import bpe, knn, langid, linededup, neardup, quotes, urls
 from millrace.llm.common import fold, small_batches, table
 
 
+def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotations, with what it answers and where it stands in its conversation."""
+    return quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT conv_id, turn, role, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS raw, row_number() OVER () AS row FROM conversations
+), n AS (
+  SELECT *, list_transform(raw, lambda x: len(regexp_replace(regexp_extract(x, '^(?:\s*>)+'), '[^>]', '', 'g'))) AS levels, list_transform(raw, lambda x: regexp_replace(x, '^(?:\s*>)+', '')) AS bodies FROM l
+), e AS (
+  SELECT row, conv_id, turn, unnest(levels) AS level, unnest(bodies) AS body FROM n
+), p AS (
+  SELECT conv_id, turn, level, regexp_replace(trim(regexp_replace(lower(body), '\s+', ' ', 'g')), '^[[:punct:] ]+|[[:punct:] ]+$', '', 'g') AS passage FROM e WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), o AS (
+  SELECT conv_id, passage, min(turn) AS origin FROM p WHERE level = 0 AND passage <> '' GROUP BY ALL
+), v AS (
+  SELECT q.conv_id, q.turn, level, CASE WHEN origin < q.turn THEN origin END AS origin, count(*) AS n FROM p q LEFT JOIN o USING (conv_id, passage) WHERE level > 0 AND passage <> '' GROUP BY ALL
+), totals AS (
+  SELECT conv_id, turn, sum(n) AS n_quoted, coalesce(sum(n) FILTER (origin IS NOT NULL), 0) AS n_linked, max(level) AS max_level FROM v GROUP BY ALL
+), best AS (
+  SELECT conv_id, turn, origin AS reply_to FROM v WHERE origin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1
+), walk AS (
+  SELECT conv_id, turn, reply_to AS root_turn, 1 AS depth FROM best
+  UNION ALL
+  SELECT w.conv_id, w.turn, b.reply_to, w.depth + 1 FROM walk w JOIN best b ON b.conv_id = w.conv_id AND b.turn = w.root_turn
+), threads AS (
+  SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM walk GROUP BY ALL
+), mine AS (
+  SELECT row, list_filter(list_zip(levels, bodies), lambda x, i: x[1] = 0 AND NOT (regexp_matches(x[2], '(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$') AND i < len(levels) AND levels[i + 1] > 0)) AS own FROM n
+)
+SELECT n.conv_id, n.turn, role, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(array_to_string(list_transform(own, lambda x: x[2]), chr(10)), '^\s+|\s+$', '', 'g') END AS text, reply_to,
+  coalesce(root_turn, n.turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level
+FROM n LEFT JOIN mine USING (row) LEFT JOIN totals USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     small_batches(spark)
@@ -36,8 +73,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
@@ -61,5 +98,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id)}
-ORACLES = {"op5_exact_topk": OP5_SQL}
+#: Fixed values: (host, path, verdict) of the contract's rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+QUERIES = {f.__name__: f for f in (op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter)}
+ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
