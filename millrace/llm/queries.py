@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, knn, langid, linededup, neardup, quotes, urls
+from millrace.llm import bpe, decontam, html, knn, langid, linededup, neardup, quotes, urls
 from millrace.llm.common import fold, small_batches, table
 
 
@@ -107,5 +107,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-QUERIES = {f.__name__: f for f in (op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, and where."""
+    small_batches(spark)
+    held = decontam.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    small_batches(spark)
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text)}
 ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
