@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, decontam, html, knn, langid, linededup, neardup, quotes, urls
+from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, quotes, urls
 from millrace.llm.common import fold, small_batches, table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of those whose crc32 fold of seven is not 2."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = fold(F.col("doc_id"), 7)
+    scored, _ = lm.score_documents(docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(True))), ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotations, with what it answers and where it stands in its conversation."""
     return quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
@@ -120,5 +129,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text)}
 ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
