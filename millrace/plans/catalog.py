@@ -1,4 +1,707 @@
-"""The registered queries of the library's own operators."""
+"""The registered queries of the library's own operators and their SQL, each over whole tables.
+
+Truth and prediction pairs come from lineitem: t is the extended price, p is 2000 times the
+quantity, the model is the return flag and the task the line status. Members of an ensemble scale
+the quantity differently.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import scalar
+from millrace.functions.vectors import share_of_group
+from millrace.operators import ensemble, features, metrics, models, profile, rows, search, similarity, splits
+from millrace.plans.spec import ScoreSpec
+from millrace.sources.readers import numbered, row_range
+from millrace.sources.stores import append_run, cut, merged, shared_folder
+from millrace.streaming import profiles as streams
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(c):
+    return F.round(c, 6)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("task"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"),
+        F.col("l_extendedprice").alias("t"), (F.col("l_quantity") * 2000.0).alias("p"), F.col("l_quantity").alias("q"),
+    )
+
+
+PAIRS = "pairs AS (SELECT l_returnflag AS model, l_linestatus AS task, l_orderkey * 8 + l_linenumber AS id, l_extendedprice AS t, l_quantity * 2000.0::DOUBLE AS p, l_quantity AS q FROM lineitem)"
+
+
+def _members(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("pred", F.col("q") * (1900.0 + 50.0 * F.col("member")))
+
+
+MEMBERS = PAIRS + ", members AS (SELECT *, q * (1900.0::DOUBLE + 50.0::DOUBLE * member) AS pred FROM pairs, (SELECT unnest(range(1, 6)) AS member))"
+
+
+# ---- scoring and profiles
+
+
+def _spec() -> ScoreSpec:
+    return ScoreSpec(
+        {"pfi": scalar.additive_score(F.col("p_size").cast("double"), F.col("log_price")), "log_price": F.log("p_retailprice"), "mpo": scalar.desirability(F.col("log_price"), F.col("pfi") / 5.0)},
+        {"mpo": ["pfi", "log_price"], "pfi": ["log_price"]},
+        {"mpo": "0.1", "p_size": 1},
+    )
+
+
+@query("""
+WITH s AS (SELECT p_size, ln(p_retailprice) AS lp FROM part WHERE p_size IS NOT NULL AND p_retailprice > 0),
+m AS (SELECT p_size, -lp * (1.0::DOUBLE / (1.0::DOUBLE + exp((p_size + lp) / 5.0::DOUBLE - 8.0::DOUBLE))) AS mpo FROM s),
+h AS (SELECT 'mpo' AS value_name, CAST(floor(mpo / 0.1::DOUBLE) AS BIGINT) AS bin_idx FROM m UNION ALL SELECT 'p_size', CAST(floor(p_size / 1.0::DOUBLE) AS BIGINT) FROM m),
+c AS (SELECT value_name, bin_idx, count(*) AS n FROM h GROUP BY ALL),
+b AS (SELECT value_name, unnest(range(min(bin_idx), max(bin_idx) + 1)) AS bin_idx FROM c GROUP BY value_name)
+SELECT value_name, bin_idx, coalesce(n, 0) AS n, CASE value_name WHEN 'mpo' THEN round(bin_idx * 0.1::DOUBLE, 1) ELSE round(bin_idx * 1.0::DOUBLE, 0) END AS edge
+FROM b LEFT JOIN c USING (value_name, bin_idx)
+""")
+def screening_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minimum slice: valid parts, a derived score, gap-filled profiles (FIL1, FIL8, FN3, FN4, FN7, AGG1, AGG2, AGG4)."""
+    spec = _spec()
+    valid, _ = rows.valid_and_rejects(table(spark, sf_dir, "part"), F.col("p_size").isNotNull() & (F.col("p_retailprice") > 0))
+    return profile.with_edges(profile.gap_filled(profile.histogram(spec.score(valid, ["mpo"]), spec.profiles)), spec.profiles)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, 'a-i' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, doc_id FROM documents QUALIFY line_no >= 25")
+def row_range_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows [25, end) by line number, with text IDs (SRC4, ID1, ID2)."""
+    lines = row_range(numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 25)
+    return lines.select("line_no", rows.item_id(F.col("line_no")).alias("id"), "doc_id")
+
+
+@query("SELECT event_id, CASE WHEN value >= 5 AND user_id IS NOT NULL THEN NULL ELSE 'low value' END AS reason FROM events")
+def valid_reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid rows and rejects (FIL1, SNK3)."""
+    good, bad = rows.valid_and_rejects(table(spark, sf_dir, "events"), (F.col("value") >= 5) & F.col("user_id").isNotNull(), "low value")
+    return good.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("event_id", "reason"))
+
+
+def _rules():
+    return [("D1", F.col("n_chars") < 200), ("D2", F.col("text").contains("|")), ("X1", F.col("text").rlike("[0-9]{3}"))]
+
+
+RULES = "r AS (SELECT *, n_chars < 200 AS d1, contains(text, '|') AS d2, regexp_matches(text, '[0-9]{3}') AS x1 FROM documents)"
+
+
+@query(f"""WITH {RULES}, w AS (SELECT concat_ws(':', CASE WHEN d1 THEN 'D1' END, CASE WHEN d2 THEN 'D2' END, CASE WHEN x1 THEN 'X1' END) AS warning FROM r)
+SELECT 'valid' AS counter, count(*) AS n FROM w UNION ALL SELECT 'partly passed', count(*) FILTER (warning = '' OR starts_with(warning, 'D')) FROM w UNION ALL SELECT 'passed', count(*) FILTER (warning = '') FROM w""")
+def rule_cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule cascade with counters (FIL2, FIL3, AGG6)."""
+    checked = rows.cascade(table(spark, sf_dir, "documents"), _rules())
+    return profile.counters(checked, {"valid": F.lit(True), "partly passed": rows.partly_passed(), "passed": F.col("pass")})
+
+
+@query("SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' WHEN 0 THEN 'Low' ELSE CAST(quality + toxic AS VARCHAR) END AS label FROM labels")
+def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinal classes as text (FN1)."""
+    return table(spark, sf_dir, "labels").select("doc_id", scalar.class_label(F.col("quality") + F.col("toxic")).alias("label"))
+
+
+@query("SELECT p_partkey, round(-p_size * (1.0::DOUBLE / (1.0::DOUBLE + exp(p_retailprice / 200.0::DOUBLE - 8.0::DOUBLE))), 6) AS score, floor(p_retailprice * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS price FROM part")
+def desirability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Desirability and half-up rounding (FN4, FN5)."""
+    return table(spark, sf_dir, "part").select("p_partkey", six(scalar.desirability(F.col("p_size"), F.col("p_retailprice") / 200.0)).alias("score"), scalar.round_half_up(F.col("p_retailprice"), 1).alias("price"))
+
+
+@query("""SELECT 'a-i' || CAST(doc_id AS VARCHAR) || '.s' || CAST(k - 1 AS VARCHAR) AS id, md5(line) AS variant FROM
+(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)""")
+def variants_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text as variants with ordinals (EXP1)."""
+    docs = table(spark, sf_dir, "documents").select(rows.item_id(F.col("doc_id")).alias("id"), F.split("text", "\n").alias("v"))
+    return rows.expanded(docs, F.col("v")).select("id", F.md5("variant").alias("variant"))
+
+
+@query("SELECT 'l_extendedprice' AS value_name, CAST(floor(l_extendedprice / 1000.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM lineitem GROUP BY ALL")
+def hist_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One histogram (AGG1)."""
+    return profile.histogram(table(spark, sf_dir, "lineitem"), {"l_extendedprice": 1000})
+
+
+@query("""SELECT value_name, bin_idx, count(*) AS n FROM (
+SELECT 'l_quantity' AS value_name, CAST(floor(l_quantity / 1.0::DOUBLE) AS BIGINT) AS bin_idx FROM lineitem UNION ALL SELECT 'l_discount', CAST(floor(l_discount / 0.01::DOUBLE) AS BIGINT) FROM lineitem UNION ALL
+SELECT 'l_tax', CAST(floor(l_tax / 0.02::DOUBLE) AS BIGINT) FROM lineitem) WHERE bin_idx IS NOT NULL GROUP BY ALL""")
+def hist_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several histograms in one pass (AGG2)."""
+    return profile.histogram(table(spark, sf_dir, "lineitem"), {"l_quantity": 1, "l_discount": "0.01", "l_tax": "0.02"})
+
+
+@query("SELECT 'value' AS value_name, CAST(floor(value / 0.1::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def hist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of two runs, merged in a store; a run that is written twice counts once (AGG3, JN8, SNK4, SRC14)."""
+    events = table(spark, sf_dir, "events")
+    store = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    even = profile.histogram(events.where("event_id % 2 = 0"), {"value": "0.1"})
+    append_run(even, store, "even")
+    append_run(profile.histogram(events.where("event_id % 2 != 0 or event_id is null"), {"value": "0.1"}), store, "odd")
+    append_run(even, store, "even")
+    return merged(spark, store, ["value_name", "bin_idx"])
+
+
+FLAGS = [("numbers", "[0-9]{3}"), ("table", r"\|"), ("address", "@[a-z]"), ("licence", "[Ll]icen[cs]e"), ("nothing", "qqqqqq")]
+
+
+@query(f"""WITH f AS (SELECT n_chars, unnest(list_filter([{", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FLAGS)}], lambda x: x IS NOT NULL)) AS flag FROM documents),
+h AS (SELECT 'n_chars' AS value_name, flag, CAST(floor(n_chars / 500.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT value_name, unnest(range(min(bin_idx), max(bin_idx) + 1)) AS bin_idx FROM h GROUP BY value_name),
+k AS (SELECT value_name, bin_idx, flag FROM b, (SELECT unnest([{", ".join(f"'{n}'" for n, _ in FLAGS)}]) AS flag))
+SELECT value_name, bin_idx, {", ".join(f"CAST(coalesce(sum(n) FILTER (flag = '{n}'), 0) AS BIGINT) AS {n}" for n, _ in FLAGS)} FROM k LEFT JOIN h USING (value_name, bin_idx, flag) GROUP BY ALL""")
+def hist_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms per non-exclusive pattern flag over one bin range, wide (JN6, AGG5, SNK5)."""
+    names = [n for n, _ in FLAGS]
+    found = profile.histogram_by_flag(table(spark, sf_dir, "documents"), {"n_chars": 500}, profile.pattern_flags("text", FLAGS))
+    return profile.pivoted(profile.gap_filled(found, names), names)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
+def unique_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that repeat (FIL11)."""
+    return rows.repeated_keys(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership by a semi join (FIL4)."""
+    ids = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return rows.members(table(spark, sf_dir, "orders"), ids, "o_custkey").select("o_orderkey", "o_orderpriority")
+
+
+# ---- splits
+
+DRAW = "md5(concat_ws(':', '7', CAST(resample AS VARCHAR), CAST(id AS VARCHAR)))"
+
+
+def _order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS id, resample FROM orders, (SELECT unnest(range(0, 3)) AS resample)),
+r AS (SELECT *, row_number() OVER (PARTITION BY resample ORDER BY {DRAW}, id) - 1 AS r, count(*) OVER (PARTITION BY resample) AS n FROM d)
+SELECT CAST(resample AS INTEGER) AS resample, id, CASE WHEN r < ceil(round(n * 0.2::DOUBLE, 9)) THEN 'test' ELSE 'train' END AS split FROM r
+WHERE r < ceil(round(n * 0.2::DOUBLE, 9)) + floor(round(n * 0.7::DOUBLE, 9))""")
+def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random resamples (SPL1)."""
+    return splits.random_splits(_order_ids(spark, sf_dir), 3, 0.2, 0.7, seed=7)
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, 0 AS resample, count(*) OVER () AS n FROM orders),
+k AS (SELECT id, n, row_number() OVER (ORDER BY {DRAW}, id) - 1 AS r FROM r)
+SELECT id, CAST(CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS fold FROM k""")
+def split_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffled folds of equal size (SPL2)."""
+    return splits.kfold(_order_ids(spark, sf_dir), 7, seed=7)
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS id, o_orderpriority AS stratum FROM orders), s AS (SELECT stratum, count(*) AS size FROM d GROUP BY ALL), n AS (SELECT CAST(ceil(round(sum(size) * (1 - 0.7::DOUBLE), 9)) AS BIGINT) AS t, CAST(sum(size) AS BIGINT) AS total FROM s),
+q AS (SELECT stratum, CAST(floor(CAST(size * t AS DOUBLE) / total) AS BIGINT) AS base, round(CAST(size * t AS DOUBLE) / total - floor(CAST(size * t AS DOUBLE) / total), 9) AS rest, t FROM s, n),
+p AS (SELECT stratum, base + CAST(row_number() OVER (ORDER BY rest DESC, stratum) <= t - sum(base) OVER () AS INTEGER) AS quota FROM q),
+r AS (SELECT id, stratum, resample, row_number() OVER (PARTITION BY resample, stratum ORDER BY {DRAW}, id) - 1 AS r FROM d, (SELECT unnest(range(0, 2)) AS resample))
+SELECT CAST(resample AS INTEGER) AS resample, id, CASE WHEN r < quota THEN 'test' ELSE 'train' END AS split FROM r JOIN p USING (stratum)""")
+def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified resamples (SPL3)."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return splits.stratified_splits(ids, "o_orderpriority", 2, 0.7, seed=7)
+
+
+@query(f"""WITH g AS (SELECT DISTINCT source AS id FROM documents), d AS (SELECT id, resample FROM g, (SELECT unnest(range(0, 4)) AS resample)),
+r AS (SELECT *, row_number() OVER (PARTITION BY resample ORDER BY {DRAW}, id) - 1 AS r, count(*) OVER (PARTITION BY resample) AS n FROM d)
+SELECT CAST(resample AS INTEGER) AS resample, doc_id AS id, CASE WHEN r < ceil(round(n * (1 - 0.75::DOUBLE), 9)) THEN 'test' ELSE 'train' END AS split FROM r JOIN documents ON source = r.id""")
+def split_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sources on one side (SPL4)."""
+    return splits.grouped_splits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "source", 4, 0.75, seed=7)
+
+
+@query()
+def split_grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced folds of whole customers (SPL5); the greedy walk has no SQL, tests have a brute-force one."""
+    return splits.grouped_kfold(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "o_custkey", 5)
+
+
+NESTED = f"""d AS (SELECT p_partkey AS id, resample FROM part, (SELECT unnest(range(0, 2)) AS resample)),
+r AS (SELECT *, row_number() OVER (PARTITION BY resample ORDER BY {DRAW}, id) - 1 AS r, count(*) OVER (PARTITION BY resample) AS n FROM d),
+o AS (SELECT resample, id, CASE WHEN r < ceil(round(n * 0.25::DOUBLE, 9)) THEN 'test' ELSE 'train' END AS split FROM r),
+i AS (SELECT resample, id, row_number() OVER (PARTITION BY resample ORDER BY md5(concat_ws(':', '7', 'inner', CAST(resample AS VARCHAR), CAST(id AS VARCHAR))), id) - 1 AS r, count(*) OVER (PARTITION BY resample) AS n FROM o WHERE split = 'train'),
+f AS (SELECT resample, id, CASE WHEN r < (n % 3) * (n // 3 + 1) THEN r // (n // 3 + 1) ELSE n % 3 + (r - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold FROM i),
+nested AS (SELECT resample, 'refit' AS cv, id, split FROM o UNION ALL SELECT resample, CAST(cv AS VARCHAR), id, CASE WHEN cv = fold THEN 'val' ELSE 'train' END FROM f, (SELECT unnest(range(0, 3)) AS cv)
+UNION ALL SELECT resample, CAST(cv AS VARCHAR), id, 'test' FROM o, (SELECT unnest(range(0, 3)) AS cv) WHERE split = 'test')"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.nested_kfold(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 2, 0.25, 3, seed=7)
+
+
+@query(f"WITH {NESTED} SELECT CAST(resample AS INTEGER) AS resample, cv, id, split FROM nested")
+def split_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples with inner folds and a refit column (SPL9, SET4)."""
+    return _nested(spark, sf_dir)
+
+
+@query(f"""WITH {NESTED}, broken AS (SELECT * FROM nested WHERE NOT (resample = 1 AND cv = '0' AND id % 50 = 0) UNION ALL SELECT resample, cv, id, 'test' FROM nested WHERE cv = 'refit' AND resample = 0 AND split = 'train'),
+p AS (SELECT resample, cv, id, count(DISTINCT split) AS k FROM broken GROUP BY ALL)
+SELECT CAST(resample AS INTEGER) AS resample, cv, count(*) AS n_ids, count(*) FILTER (k > 1) AS n_overlapping FROM p GROUP BY ALL HAVING count(*) <> (SELECT count(*) FROM part) OR count(*) FILTER (k > 1) > 0""")
+def split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a split table that was damaged on purpose (FIL12)."""
+    good = cut(_nested(spark, sf_dir), "nested")
+    twice = good.where("cv = 'refit' and resample = 0 and split = 'train'").withColumn("split", F.lit("test"))
+    return splits.split_faults(good.where("not (resample = 1 and cv = '0' and id % 50 = 0)").unionByName(twice), table(spark, sf_dir, "part").count())
+
+
+# ---- metrics and summaries
+
+REGRESSION = """1 - sum((t - p) ^ 2) / (var_pop(t) * count(*)) AS r2, sqrt(avg((t - p) ^ 2)) AS rmsd, avg((t - p) ^ 2) AS mse, avg(p - t) AS bias, stddev_pop(p - t) AS sdep, avg(abs(p - t)) AS mae,
+covar_samp(t, p) / (stddev_samp(t) * stddev_samp(p)) AS pearson, stddev_pop(t) AS y_stddev_pop, stddev_samp(t) AS y_stddev_samp"""
+
+
+@query(f"WITH {PAIRS}, m AS (SELECT model, task, {REGRESSION} FROM pairs GROUP BY ALL) SELECT model, task, metric, round(value, 4) AS value FROM m UNPIVOT (value FOR metric IN (r2, rmsd, mse, bias, sdep, mae, pearson, y_stddev_pop, y_stddev_samp))")
+def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All regression metrics of every model and task in one aggregation (MET1-MET7, MET14, MET15)."""
+    found = metrics.evaluated(_pairs(spark, sf_dir), ["model", "task"], metrics.regression_metrics(F.col("t"), F.col("p")))
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT model, task, rank() OVER (PARTITION BY model, task ORDER BY t) + (count(*) OVER (PARTITION BY model, task, t) - 1) / 2 AS a, rank() OVER (PARTITION BY model, task ORDER BY p) + (count(*) OVER (PARTITION BY model, task, p) - 1) / 2 AS b FROM pairs)
+SELECT model, task, round(covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)), 6) AS spearman FROM r GROUP BY ALL""")
+def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman with average ranks (WIN1, MET8)."""
+    return metrics.spearman(_pairs(spark, sf_dir), ["model", "task"], "t", "p").withColumn("spearman", six(F.col("spearman")))
+
+
+@query("""WITH x AS (SELECT p_type, p_partkey AS i, p_size AS a, round(p_retailprice, 0) AS b FROM part),
+s AS (SELECT x.p_type, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, count(*) FILTER (x.a <> y.a) AS ta, count(*) FILTER (x.b <> y.b) AS tb FROM x JOIN x y ON x.p_type = y.p_type AND x.i < y.i GROUP BY ALL)
+SELECT p_type, round(s / sqrt(CAST(ta AS DOUBLE) * tb), 6) AS kendall FROM s""")
+def kendall_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau-b without pairs (MET9)."""
+    parts = table(spark, sf_dir, "part").select("p_type", "p_size", F.round("p_retailprice", 0).alias("price"))
+    return metrics.kendall(parts, ["p_type"], "p_size", "price").withColumn("kendall", six(F.col("kendall")))
+
+
+@query("""WITH j AS (SELECT source, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS t, CASE WHEN n_chars > 1000 THEN 'good' WHEN n_chars > 100 THEN 'bad' ELSE 'short' END AS p FROM labels JOIN documents USING (doc_id))
+SELECT source, round(avg(CAST(t = p AS INTEGER)), 6) AS accuracy, round(avg(CAST(t = p AS INTEGER)), 6) AS recall, round(avg(CAST(t = p AS INTEGER)), 6) AS precision FROM j GROUP BY ALL""")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, micro recall and precision (MET10-MET12)."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    said = F.when(F.col("n_chars") > 1000, "good").when(F.col("n_chars") > 100, "bad").otherwise("short")
+    found = metrics.classification_metrics(both.select("source", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("t"), said.alias("p")), ["source"], "t", "p")
+    return found.select("source", *[six(F.col(c)).alias(c) for c in ("accuracy", "recall", "precision")])
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS top FROM embeddings")
+def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the largest score (MET13)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", metrics.top_class(F.col("embedding")).alias("top"))
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT model AS resample, task AS dataset, {REGRESSION} FROM pairs GROUP BY ALL), u AS (SELECT dataset, metric, value FROM m UNPIVOT (value FOR metric IN (rmsd, mae, r2)))
+SELECT dataset, metric, round(m, 4) AS mean, round(s, 4) AS std, round(e, 4) AS sem, CASE metric WHEN 'rmsd' THEN round(m - 1.69::DOUBLE * e, 4) END AS ci95_lower, CASE metric WHEN 'rmsd' THEN round(m + 1.69::DOUBLE * e, 4) END AS ci95_upper
+FROM (SELECT dataset, metric, avg(value) AS m, stddev_samp(value) AS s, stddev_samp(value) / sqrt(count(value)) AS e FROM u GROUP BY dataset, metric)""")
+def perf_summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation, standard error and bounds over resamples (AGG8, AGG9)."""
+    chosen = {k: m for k, m in metrics.regression_metrics(F.col("t"), F.col("p")).items() if k in ("rmsd", "mae", "r2")}
+    values = metrics.evaluated(_pairs(spark, sf_dir), ["model", "task"], chosen).select(F.col("task").alias("dataset"), "metric", "value")
+    return metrics.summary(values).select("dataset", "metric", *[F.round(c, 4).alias(c) for c in ("mean", "std", "sem", "ci95_lower", "ci95_upper")])
+
+
+@query(f"""WITH {PAIRS} SELECT model, round(sqrt(avg((p - t) ^ 2)), 4) AS rmsd, round(avg(p - t), 4) AS mean_diff, round(max(abs(p - t)), 4) AS largest_diff, arg_min(id, (-abs(p - t), id)) AS largest_at FROM pairs GROUP BY ALL""")
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored against fresh predictions (AGG19, WIN4)."""
+    found = metrics.drift(_pairs(spark, sf_dir), ["model"], "t", "p", "id")
+    return found.select("model", *[F.round(c, 4).alias(c) for c in ("rmsd", "mean_diff", "largest_diff")], "largest_at")
+
+
+# ---- ensembles and choice
+
+
+@query(f"WITH {MEMBERS} SELECT id, round(avg(pred), 4) AS mean, round(stddev_pop(pred), 4) AS spread FROM members GROUP BY ALL")
+def ensemble_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensemble mean and spread (AGG13)."""
+    return ensemble.mean_and_spread(_members(spark, sf_dir)).select("id", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"))
+
+
+@query(f"""WITH {MEMBERS} SELECT id, round(avg(pred), 4) AS mean, round(sqrt(var_pop(pred) + avg(q * member)), 4) AS total, round(sqrt(avg(q * member)), 4) AS aleatoric, round(sqrt(var_pop(pred)), 4) AS epistemic FROM members GROUP BY ALL""")
+def mc_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertainty from repeated draws (AGG14)."""
+    draws = _members(spark, sf_dir).withColumn("variance", F.col("q") * F.col("member"))
+    return ensemble.draw_uncertainty(draws).select("id", *[F.round(c, 4).alias(c) for c in ("mean", "total", "aleatoric", "epistemic")])
+
+
+@query(f"""WITH {MEMBERS}, u AS (SELECT id, pred, q * member AS u FROM members)
+SELECT id, round(sqrt(var_pop(u) + var_pop(pred)), 4) AS as_published, round(sqrt(avg(u ^ 2) + var_pop(pred)), 4) AS total_variance FROM u GROUP BY ALL""")
+def ensemble_total_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total uncertainty of an ensemble, both forms (AGG15)."""
+    found = ensemble.total_uncertainty(_members(spark, sf_dir).withColumn("uncertainty", F.col("q") * F.col("member")))
+    return found.select("id", *[F.round(c, 4).alias(c) for c in ("as_published", "total_variance")])
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction log: members are resamples, an item is in test where id + resample is a multiple of 3."""
+    split = F.when((F.col("id") + F.col("member")) % 3 == 0, "test").otherwise("train")
+    return _members(spark, sf_dir).select(F.col("member").alias("resample"), F.lit("refit").alias("cv_fold"), F.lit(0).alias("model_number"), split.alias("data_split"), "task", "id", "pred", "t")
+
+
+LOG = MEMBERS + ", log AS (SELECT member AS resample, CASE WHEN (id + member) % 3 = 0 THEN 'test' ELSE 'train' END AS data_split, task, id, pred, t FROM members)"
+
+
+@query(f"WITH {LOG} SELECT task, id, round(avg(pred) FILTER (data_split = 'train'), 4) AS train, round(avg(pred) FILTER (data_split = 'test'), 4) AS test FROM log GROUP BY ALL")
+def refit_average_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean predictions by split, wide (AGG17, SET6)."""
+    return ensemble.mean_by_split(_log(spark, sf_dir), ["train", "test"]).select("task", "id", F.round("train", 4).alias("train"), F.round("test", 4).alias("test"))
+
+
+@query(f"WITH {LOG}, a AS (SELECT task, id, avg(pred) AS pred FROM log WHERE data_split = 'test' GROUP BY ALL), w AS (SELECT id FROM a GROUP BY id HAVING count(*) = 1) SELECT task, id, round(pred, 4) AS pred FROM a WHERE id IN (SELECT id FROM w)")
+def refit_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensemble of refits (AGG16, FIL6): a line has one task, so each is whole where it has a mean."""
+    log = _log(spark, sf_dir)
+    mean = ensemble.refit_average(log)
+    return mean.join(rows.complete_items(mean, 1), "id", "left_semi").select("task", "id", F.round("pred", 4).alias("pred"))
+
+
+@query(f"WITH {LOG}, m AS (SELECT task, data_split, id, avg(pred) AS pred FROM log GROUP BY ALL), y AS (SELECT task, id, avg(t) AS t FROM pairs GROUP BY ALL), a AS (SELECT * FROM m JOIN y USING (task, id)) SELECT task, data_split, round(sqrt(avg((pred - t) ^ 2)), 4) AS rmsd FROM a GROUP BY ALL")
+def rmsd_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSD on item means by split (AGG18, JN3)."""
+    log = _log(spark, sf_dir)
+    truth = _pairs(spark, sf_dir).groupBy("task", "id").agg(F.avg("t").alias("t"))
+    return ensemble.rmsd_of_means(log, truth).withColumn("rmsd", F.round("rmsd", 4))
+
+
+SPACE = {"trees": [10, 50, 100], "depth": [3, 5], "leaf": ["1", "4"], "_order": ["trees", "depth", "leaf"]}
+GRID = """trees AS (SELECT unnest(['10', '50', '100']) AS trees, unnest([0, 1, 2]) AS i), depth AS (SELECT unnest(['3', '5']) AS depth, unnest([0, 1]) AS j), leaf AS (SELECT unnest(['1', '4']) AS leaf, unnest([0, 1]) AS k),
+grid AS (SELECT CAST(i * 4 + j * 2 + k AS BIGINT) AS model_number, trees, depth, leaf FROM trees, depth, leaf),
+work AS (SELECT resample, cv_fold, grid.* FROM (SELECT DISTINCT year(o_orderdate) AS resample, o_orderpriority AS cv_fold FROM orders), grid)"""
+
+
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("resample"), F.col("o_orderpriority").alias("cv_fold"))
+    return search.work_list(folds, search.grid(spark, SPACE))
+
+
+@query(f"WITH {GRID} SELECT CAST(resample AS INTEGER) AS resample, cv_fold, model_number, trees, depth, leaf FROM work")
+def grid_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold that orders have with every combination (SPL12, MOD10)."""
+    return _work(spark, sf_dir)
+
+
+@query(f"WITH {GRID} SELECT CAST(resample AS INTEGER) AS resample, cv_fold, model_number, trees, depth, leaf FROM work WHERE NOT (resample % 2 = 0 AND trees <> '50')")
+def worklist_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work left on a restart, keys compared as text (JN5, FIL13)."""
+    work = _work(spark, sf_dir)
+    done = work.where("resample % 2 = 0 and trees != '50'").select(F.col("resample").cast("string").alias("resample"), "cv_fold", "trees", F.col("depth").cast("int").alias("depth"), "leaf")
+    return rows.unfinished(work, done, ["resample", "cv_fold", "trees", "depth", "leaf"])
+
+
+@query(f"""WITH {MEMBERS}, l AS (SELECT member AS model_number, task AS resample, model AS cv_fold, sqrt(avg((pred - t) ^ 2)) AS loss FROM members GROUP BY ALL), m AS (SELECT resample, model_number, avg(loss) AS loss FROM l GROUP BY ALL)
+SELECT resample, CAST(model_number AS INTEGER) AS model_number, round(loss, 4) AS loss FROM m QUALIFY row_number() OVER (PARTITION BY resample ORDER BY loss, model_number) = 1""")
+def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best configuration of each resample by mean validation loss (AGG10, WIN3)."""
+    log = _members(spark, sf_dir).groupBy(F.col("task").alias("resample"), F.col("model").alias("cv_fold"), F.col("member").alias("model_number")).agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("t"), 2))).alias("loss"))
+    return search.best_configuration(log).withColumn("loss", F.round("loss", 4))
+
+
+EPOCHS = "epochs AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS loss FROM events WHERE value IS NOT NULL)"
+
+
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("run"), F.row_number().over(at).alias("epoch"), F.col("value").alias("loss"))
+
+
+@query(f"WITH {EPOCHS} SELECT run, CAST(epoch AS INTEGER) AS epoch, min(loss) OVER w AS best_loss, CAST(arg_min(epoch, (loss, epoch)) OVER w AS INTEGER) AS best_epoch FROM epochs WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING)")
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest loss so far, users as runs and events as epochs (WIN5)."""
+    return search.running_best(_epochs(spark, sf_dir)).select("run", "epoch", "best_loss", "best_epoch")
+
+
+@query()
+def early_stop_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early-stop epoch of each run (WIN6); a fold, tested against a plain loop."""
+    return search.stopping_epoch(_epochs(spark, sf_dir), 30, 3, 0.5)
+
+
+# ---- features, similarity, models
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("SELECT name FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber', 'one']) AS name) WHERE name = 'one' AND (SELECT count(*) FROM lineitem) > 0")
+def const_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that hold one value (FEA1)."""
+    found = features.constant_columns(table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1)), [*NUMBERS, "one"])
+    return spark.createDataFrame([(c,) for c in found], "name string")
+
+
+@query("WITH c AS (SELECT " + ", ".join(f"covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) AS \"{a}|{b}\"" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]) + " FROM lineitem), u AS (SELECT pair, r FROM c UNPIVOT (r FOR pair IN (*))) SELECT split_part(pair, '|', 1) AS a, split_part(pair, '|', 2) AS b, round(r, 6) AS r FROM u")
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all pairs of columns (AGG7)."""
+    return features.correlations(table(spark, sf_dir, "lineitem"), NUMBERS).withColumn("r", six(F.col("r")))
+
+
+@query("SELECT unnest(['q2']) AS removed")
+def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that go for correlation of 0.95 or more; q2 is twice the quantity (FEA2, WIN7)."""
+    li = table(spark, sf_dir, "lineitem").withColumn("q2", F.col("l_quantity") * 2)
+    model = features.CorrelationFilter(inputCols=["l_quantity", "l_discount", "q2", "l_tax"], cutoff=0.95).fit(li)
+    return spark.createDataFrame([(c,) for c in model.getOrDefault(model.removed)], "removed string")
+
+
+@query("""WITH f AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_tax) AS mt, stddev_pop(l_tax) AS st FROM lineitem WHERE l_returnflag <> 'R')
+SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, round((l_quantity - mq) / sq, 6) AS l_quantity, round((l_tax - mt) / st, 6) AS l_tax FROM lineitem, f WHERE l_returnflag = 'R'""")
+def scaled_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows scaled by the training rows' moments (FEA3)."""
+    li = table(spark, sf_dir, "lineitem")
+    fitted = features.moments(li.where("l_returnflag != 'R'"), ["l_quantity", "l_tax"])
+    test = features.scaled(li.where("l_returnflag = 'R'"), fitted)
+    return test.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), six(F.col("l_quantity")).alias("l_quantity"), six(F.col("l_tax")).alias("l_tax"))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, round(l_extendedprice, 4) AS y FROM lineitem")
+def target_unscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target scaled and put back (FEA4, UDF8)."""
+    li = table(spark, sf_dir, "lineitem")
+    fitted = features.moments(li, ["l_extendedprice"])
+    y = features.unscaled(F.col("l_extendedprice"), *fitted["l_extendedprice"])
+    return features.scaled(li, fitted).select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.round(y, 4).alias("y"))
+
+
+LEVELS = ["ECONOMY", "STANDARD", "other"]
+
+
+@query("""SELECT p_partkey, array_to_string([CAST(p_type = 'ECONOMY' AS INTEGER), CAST(p_type = 'STANDARD' AS INTEGER), CAST(p_type NOT IN ('ECONOMY', 'STANDARD') AS INTEGER)], ',') AS marks FROM part""")
+def one_hot_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-of-k marks with a last slot for other levels (FN12)."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(scalar.one_of_k(F.col("p_type"), LEVELS, unknown=True), ",").alias("marks"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS graph_id, l_partkey AS node, -l_suppkey AS n FROM lineitem UNION ALL SELECT l_orderkey, -l_suppkey, l_partkey FROM lineitem)
+SELECT graph_id, node, array_to_string(list_sort(list(DISTINCT n)), ',') AS neighbours FROM e GROUP BY ALL""")
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric adjacency lists of the order graphs (FEA12, WIN9)."""
+    return features.adjacency(_edges(spark, sf_dir)).select("graph_id", "node", F.array_join(F.transform("neighbours", lambda v: v.cast("string")), ",").alias("neighbours"))
+
+
+@query("SELECT l_orderkey AS graph_id, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, count(*) AS n_edges FROM lineitem GROUP BY ALL")
+def master_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node a graph with the mean features, joined to all others (AGG23, FEA13)."""
+    nodes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("node_id"), F.array("l_quantity", "l_discount").alias("feats"))
+    master, edges = features.master_nodes(nodes)
+    counted = edges.groupBy("graph_id").agg(F.count("*").alias("n_edges"))
+    return master.join(counted, "graph_id").select("graph_id", six(F.col("feats")[0]).alias("quantity"), six(F.col("feats")[1]).alias("discount"), "n_edges")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, round(l_quantity * sum(l_tax) OVER w / power(count(*) OVER w, 2), 9) AS share FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def group_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's value from its graph's totals (FN14)."""
+    found = share_of_group(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_quantity"), F.col("l_tax"), "share")
+    return found.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.round("share", 9).alias("share"))
+
+
+def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.split(F.lower("text"), " ")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.ngrams(tokens, 2).alias("bits"))
+
+
+BITS = """w AS (SELECT doc_id AS id, string_split(lower(text), ' ') AS w FROM documents), g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS bit FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),
+c AS (SELECT id, count(*) AS k FROM g GROUP BY ALL), q AS (SELECT * FROM g WHERE id % 100 = 0),
+hits AS (SELECT q.id AS query_id, t.id AS id, count(*) AS c FROM q JOIN g t USING (bit) GROUP BY ALL), sims AS (SELECT query_id, hits.id, c / (a.k + b.k - c) AS similarity FROM hits JOIN c a ON a.id = query_id JOIN c b ON b.id = hits.id)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bits = cut(_bits(spark, sf_dir), "bits")
+    return bits.where("id % 100 = 0"), similarity.tanimoto_hits(bits.where("id % 100 = 0"), bits)
+
+
+@query(f"WITH {BITS} SELECT query_id, id, round(similarity, 6) AS similarity FROM sims")
+def tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tanimoto of word pairs: documents whose id is divisible by 100 against all (FEA14, SIM1)."""
+    _, hits = _hits(spark, sf_dir)
+    return hits.select("query_id", "id", six(F.col("similarity")).alias("similarity"))
+
+
+@query(f"""WITH {BITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims), t AS (SELECT query_id, sum(similarity) AS s FROM r WHERE rank <= 3 GROUP BY ALL)
+SELECT doc_id AS query_id, round(coalesce(s, 0) / 3, 6) AS applicability FROM documents LEFT JOIN t ON doc_id = query_id WHERE doc_id % 100 = 0""")
+def applicability_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean similarity to the three nearest documents (SIM4, WIN2)."""
+    queries, hits = _hits(spark, sf_dir)
+    n = table(spark, sf_dir, "documents").count()
+    return similarity.applicability(queries, hits, n).withColumn("applicability", six(F.col("applicability")))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"), F.col("label").cast("double").alias("y"))
+
+
+VECTORS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS DOUBLE) AS y FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+def _nearest_sql(measure: str) -> str:
+    return f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, t.id, {measure} AS similarity FROM v q, v t WHERE q.id % 100 = 0)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 3"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return similarity.dense_nearest(vectors.where("id % 100 = 0"), vectors, 3, metric).select("query_id", "id", "rank", six(F.col("similarity")).alias("similarity"))
+
+
+@query(_nearest_sql("list_dot_product(q.e, t.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(t.e, t.e))"))
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nearest by cosine (SIM2)."""
+    return _nearest(spark, sf_dir, "cosine")
+
+
+@query(_nearest_sql("list_dot_product(q.e, t.e) / (list_dot_product(q.e, q.e) + list_dot_product(t.e, t.e) - list_dot_product(q.e, t.e))"))
+def cont_tanimoto_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nearest by continuous Tanimoto (SIM3)."""
+    return _nearest(spark, sf_dir, "tanimoto")
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, t.id, t.y, list_dot_product(q.e, q.e) + list_dot_product(t.e, t.e) - 2 * list_dot_product(q.e, t.e) AS d FROM v q, v t WHERE q.id % 100 = 0 AND t.id % 100 <> 0)
+SELECT query_id, round(avg(y), 6) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM s) WHERE rank <= 5 GROUP BY ALL""")
+def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean label of the five nearest vectors (MOD1)."""
+    vectors = _vectors(spark, sf_dir)
+    return models.knn_regress(vectors.where("id % 100 = 0"), vectors.where("id % 100 != 0"), 5).withColumn("pred", six(F.col("pred")))
+
+
+@query("""WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)
+SELECT round(sxy / (sxx + 10.0::DOUBLE), 3) AS slope, round(my - sxy / (sxx + 10.0::DOUBLE) * mx, 2) AS intercept FROM s""")
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge regression of the price on the quantity (MOD2)."""
+    model = models.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", 10.0)
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 3), round(float(model.intercept), 2))], "slope double, intercept double")
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), *FEATURES, F.col("l_extendedprice").alias("y"), F.pmod(F.col("l_orderkey"), F.lit(3)).cast("int").alias("fold"))
+
+
+@query()
+def pls_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial least squares coefficients (MOD3)."""
+    coefficients, intercept = models.pls(_modelled(spark, sf_dir), FEATURES, "y")
+    return spark.createDataFrame([*coefficients.items(), ("intercept", intercept)], "name string, value double")
+
+
+@query()
+def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest regression of all lines (MOD4)."""
+    data = models.assembled(_modelled(spark, sf_dir), FEATURES)
+    return models.forest(trees=10, depth=4).fit(data).transform(data).select("id", F.col("prediction").alias("pred"))
+
+
+@query()
+def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in the order in which recursive elimination leaves them (FEA5)."""
+    data, left = _modelled(spark, sf_dir).cache(), list(FEATURES)
+    order = []
+    while len(left) > 1:
+        kept = models.eliminate(data, left, "y", len(left) - 1, trees=5)
+        order += [c for c in left if c not in kept]
+        left = kept
+    return spark.createDataFrame([(c, i) for i, c in enumerate([*order, *left])], "name string, place int")
+
+
+@query()
+def svr_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel support-vector regression on random Fourier features, approximate (MOD6)."""
+    data = _modelled(spark, sf_dir)
+    scaled = features.scaled(data, features.moments(data, [*FEATURES, "y"]))
+    z = models.fourier_features(scaled, FEATURES, 32, 0.3)
+    w, bias = models.svr(z.select("z", "y").cache(), "y", rounds=10)
+    pred = F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(float(bias)), lambda s, v: s + v)
+    return z.select("id", pred.alias("pred"))
+
+
+@query()
+def svc_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel support-vector classification: prices over the mean (MOD7)."""
+    data = _modelled(spark, sf_dir)
+    scaled = features.scaled(data, features.moments(data, [*FEATURES, "y"])).withColumn("c", (F.col("y") > 0).cast("double"))
+    z = models.fourier_features(scaled, FEATURES, 32, 0.3)
+    model = models.svc(z, "c")
+    return model.transform(z.withColumn("_z", models.array_to_vector("z"))).select("id", F.col("prediction").cast("int").alias("label"))
+
+
+@query()
+def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid search over given folds: mean validation R2 of each combination (MOD9, MOD8, FEA8)."""
+    data = _modelled(spark, sf_dir)
+    given = data.select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cv"), "fold").select(F.col("cv").cast("string").alias("cv"), "id", F.when(F.col("cv") == F.col("fold"), "val").otherwise("train").alias("split"))
+    options = [{"ridge__regParam": 0.0}, {"ridge__regParam": 1000.0}]
+    best, _, log = models.search(data, given, lambda o: models.pipeline(FEATURES, "ridge", **o), options)
+    return spark.createDataFrame([(i, cv, s, options[i] == best) for i, cv, s in log], "model_number int, cv string, r2 double, chosen boolean")
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT unnest(['a', 'b', 'c']) AS member, unnest([0.5::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE]) AS w), p AS (SELECT id, (q * w + 1.0::DOUBLE) * 100.0::DOUBLE + 7.0::DOUBLE AS pred FROM pairs, m)
+SELECT id, round(avg(pred), 4) AS mean, round(stddev_pop(pred), 4) AS spread FROM p GROUP BY ALL""")
+def ensemble_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear members over features made once, unscaled, then averaged (MOD13)."""
+    members = spark.createDataFrame([(n, [w], 1.0, 7.0, 100.0) for n, w in (("a", 0.5), ("b", 0.75), ("c", 1.0))], "member string, weights array<double>, intercept double, y_mean double, y_sd double")
+    found = ensemble.linear_members(_pairs(spark, sf_dir).select("id", F.array("q").alias("x")), members)
+    return ensemble.mean_and_spread(found).select("id", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"))
+
+
+# ---- streams
+
+
+def _replay(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source = table(spark, sf_dir, name)
+    return streams.arriving(spark, f"{sf_dir}/{name}*.parquet", source.schema)
+
+
+@query("SELECT 'value' AS value_name, CAST(floor(value / 1.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def stream_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, each batch's profile merged into a store once (STR2, STR3)."""
+    here = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    streams.profile_stream(_replay(spark, sf_dir, "events"), {"value": 1}, f"{here}/store", f"{here}/checkpoint", "events").awaitTermination()
+    return streams.stored_profile(spark, f"{here}/store")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS start, CAST(floor(value / 50.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def stream_windowed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile for each day of event time, all windows closed at the end of the replay (STR4)."""
+    name = f"w{uuid.uuid4().hex}"
+    windows = streams.windowed_histogram(_replay(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 50, "1 day", "3650 days")
+    here = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{here}/{name}")
+
+    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(f"{here}/{name}")
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.where(F.col("batch") == last).select(F.unix_timestamp("start").alias("start"), "bin_idx", "n")
