@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +90,21 @@ def top_class(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def user_metric(function: Callable[[np.ndarray, np.ndarray], float]):
+    """A caller's metric of (truth, prediction) arrays as an aggregate of two columns, null where it isn't a number (UDF3).
+
+    A group is handed over whole, so it suits groups that fit one task; the built-in metrics are
+    partial aggregates and have no such bound.
+    """
+
+    @F.pandas_udf("double")
+    def run(t: pd.Series, p: pd.Series) -> float:
+        value = float(function(t.to_numpy(), p.to_numpy()))
+        return value if np.isfinite(value) else None
+
+    return run
+
+
 def unmatched(truth: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
     """Ids on one side only, before scoring; none if the shapes agree (MET16)."""
     a, b = truth.select(key).distinct(), predictions.select(key).distinct()

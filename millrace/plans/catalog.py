@@ -192,6 +192,52 @@ def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.members(table(spark, sf_dir, "orders"), ids, "o_custkey").select("o_orderkey", "o_orderpriority")
 
 
+@query("SELECT DISTINCT p_name, regexp_replace(trim(p_name), '[^A-Za-z0-9_]+', '_', 'g') AS name FROM part")
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names fit for columns, once each (FN10, SET7)."""
+    return table(spark, sf_dir, "part").select("p_name", scalar.clean_name(F.col("p_name")).alias("name")).distinct()
+
+
+@query("""SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0::DOUBLE AS seconds FROM events""")
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds since the user's event before (FN11)."""
+    from pyspark.sql import Window
+
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.seconds_between(before, F.col("ts")).alias("seconds"))
+
+
+@query("""WITH f AS (SELECT o_custkey, max(o_totalprice) AS f FROM orders GROUP BY ALL) SELECT c_custkey, round(f, 2) AS f FROM customer JOIN f ON o_custkey = c_custkey""")
+def features_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed features joined once a key (JN2)."""
+    found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("f"))
+    return rows.features_joined(table(spark, sf_dir, "customer").select("c_custkey"), found.unionByName(found), "c_custkey").select("c_custkey", F.round("f", 2).alias("f"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NULL THEN 'truth' END AS side FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
+def unmatched_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, and labels without a document (MET16)."""
+    ids = lambda name: table(spark, sf_dir, name).select(F.col("doc_id").alias("id"))
+    return metrics.unmatched(ids("documents"), ids("labels"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(max(len(embedding)) AS INTEGER) AS n_features, count(DISTINCT label) AS n_classes FROM embeddings")
+def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, features and classes of a training set (AGG20, AGG24)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return features.dataset_shape(vectors, "embedding").crossJoin(search.class_counts(vectors, "label"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS g, p_partkey AS n, [CAST(p_type = t AS DOUBLE) FOR t IN ['ECONOMY', 'STANDARD', 'PROMO']] AS f, p_type NOT IN ('ECONOMY', 'STANDARD') AS o FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT g AS graph_id, n AS node_id, f[1] AS economy, f[2] AS standard, CAST(o AS DOUBLE) AS other FROM b GROUP BY ALL""")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node tables of the order graphs with one-of-k features (FEA11)."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_type")
+    nodes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_partkey").alias("node_id")).distinct().join(parts, "node_id")
+    found = features.node_table(nodes, {"p_type": LEVELS}, unknown=("p_type",))
+    return found.select("graph_id", "node_id", *[F.col("feats")[i].alias(n) for i, n in enumerate(("economy", "standard", "other"))])
+
+
 # ---- splits
 
 DRAW = "md5(concat_ws(':', '7', CAST(resample AS VARCHAR), CAST(id AS VARCHAR)))"

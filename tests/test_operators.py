@@ -130,6 +130,14 @@ def test_metrics_never_fail_on_constant_or_single_groups(spark):
     assert got["same", "mae"] == 1.5 and got["one", "rmsd"] == 1.0
 
 
+def test_user_metrics_stand_beside_built_in_ones(spark):
+    frame = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 5.0), ("b", 1.0, 1.0)], "g string, t double, p double")
+    worst = metrics.user_metric(lambda t, p: np.abs(t - p).max())
+    odd = metrics.user_metric(lambda t, p: float("nan"))
+    got = {r.g: (r.worst, r.odd) for r in frame.groupBy("g").agg(worst("t", "p").alias("worst"), odd("t", "p").alias("odd")).collect()}
+    assert got["a"][0] == 2.0 and got["b"][0] == 0.0 and got["a"][1] is None or np.isnan(got["a"][1])
+
+
 def test_summary_arithmetic(spark):
     # two resamples: sem = std / sqrt(2), bounds = mean -+ 1.69 sem
     frame = spark.createDataFrame([("test", "rmsd", 1.0), ("test", "rmsd", 2.0), ("test", "mae", 0.5)], "dataset string, metric string, value double")
