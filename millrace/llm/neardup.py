@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, mix, shingle_hashes, word_hashes, words
@@ -89,46 +89,67 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _alike(n_a: str, n_b: str):
-    """Whether set sizes allow a link."""
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
+def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with na, nb (sizes of their whole shingle sets), common (of the intersection) and extra (what only b has)."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")), "sets")
+    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("extra")).withColumn("common", F.col("nb") - F.size("extra"))
+
+
+def linked() -> Column:
+    """Whether a compared pair is similar enough."""
+    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
+
+
+def candidates(open_rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a hub and a class from the classes (rep) in each band bucket (key), size being the bucket's.
+
+    A class is popular as its buckets are large; its hub is the most popular one it shares a bucket
+    with, near-copies thus having their original. Each class is paired with the hubs of all classes
+    in its buckets, so any two classes that share a bucket have been compared with a common hub.
+    """
+    popular = open_rows.groupBy("rep").agg(F.sum("size").alias("popularity"))
+    lead = open_rows.join(popular, "rep").groupBy("key").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"))).alias("lead"))
+    hubs = open_rows.join(lead, "key").groupBy("rep").agg((-F.max("lead")["minus"]).alias("hub"))
+    near = open_rows.join(hubs, "rep").select("key", "hub").distinct()
+    return open_rows.select("key", "rep").join(near, "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text; other columns are ignored).
 
-    Texts with equal sets are one class, led by its smallest doc_id, before anything is compared. In
-    each band bucket every class is verified against the bucket's leader; then all pairs of a bucket
-    that are still in different components and of similar size are verified too, so a link is only
-    lost if its texts share no band. Rows with a null or empty text have no shingles, link with
-    nothing and are their own component. Rows of one doc_id are one document. A null doc_id has a
-    null component and is kept, unless its text equals another's, whose component it then has.
+    Texts with equal sets are one class, led by its smallest doc_id, before anything is compared.
+    Classes that share a band bucket are compared with common hubs, whole set against whole set. For
+    two classes A and B of one hub H that are still in different components,
+    |A & B| <= min(|A & H|, |B & H|) + |(A - H) & (B - H)|; only where this bound allows a link are
+    they compared themselves. So a link is lost only if its texts share no band, and a group of
+    near-copies of one text gives as many comparisons as it has members, not pairs.
+
+    Rows with a null or empty text have no shingles, link with nothing and are their own component.
+    Repeated rows are alike. Rows of one doc_id with different texts are placed each by its own text.
+    A null doc_id has a null component and is kept, unless its text equals another's, whose
+    component it then has.
     """
     found = cut(sketches(docs), "sketches")
-    classes = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = cut(classes.select("rep", "n", F.explode("bands").alias("key")), "bands")
-    leaders = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep != last")
-    leaders = leaders.select("key", F.col("lead.rep").alias("a"), F.col("lead.n").alias("na"))
-    tested = cut(rows.join(leaders, "key").where((F.col("rep") != F.col("a")) & _alike("n", "na")).select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = cut(verify(docs, tested), "links")
+    classes = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    rows = cut(classes.select("rep", F.explode("bands").alias("key")), "bands")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    open_rows = cut(rows.join(shared, "key"), "open")
+    tested = cut(compared(docs, cut(candidates(open_rows), "candidates")), "tested")
+    links = tested.where(linked()).select("a", "b")
     labels = components(links)
-    named = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    open_rows = cut(named.join(mixed, "key", "left_semi"), "open")
-    one, two = (open_rows.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "label")]) for i in "ab")
-    rest = one.join(two, "key").where((F.col("label_a") < F.col("label_b")) & _alike("n_a", "n_b"))
-    rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut(verify(docs, cut(rest, "rest")), "more")
+
+    named = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("nb").alias("n"), "common", "extra").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = named.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("hub")
+    left = cut(named.join(mixed, "hub", "left_semi"), "left")
+    one, two = (left.select("hub", *[F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "common", "extra", "label")]) for i in "ab")
+    most = F.least("common_a", "common_b")
+    need = PERCENT * (F.col("n_a") + F.col("n_b"))
+    can = (F.col("label_a") < F.col("label_b")) & ((100 + PERCENT) * (most + F.least(F.size("extra_a"), F.size("extra_b"))) >= need) & ((100 + PERCENT) * (most + F.size(F.array_intersect("extra_a", "extra_b"))) >= need)
+    rest = one.join(two, "hub").where(can).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    more = cut(compared(docs, cut(rest, "rest")).where(linked()).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     own = classes.select("digest", "rep")
