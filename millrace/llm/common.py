@@ -57,13 +57,22 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_hashes(tokens: list[bytes], memory: dict[bytes, int], most: int = 200_000) -> np.ndarray:
-    """64-bit hashes of words. memory is reused between calls and emptied when it holds most entries."""
-    if len(memory) > most:
+class WordHashes(dict):
+    """64-bit hashes of words, made when first asked for. Emptied when it holds most entries."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: bytes) -> int:
+        found = self[token] = xxhash.xxh3_64_intdigest(token)
+        return found
+
+
+def word_hashes(tokens: list[bytes], memory: WordHashes) -> np.ndarray:
+    """64-bit hashes of words, in order."""
+    if len(memory) > memory.most:
         memory.clear()
-    digest = xxhash.xxh3_64_intdigest
-    for token in set(tokens).difference(memory):
-        memory[token] = digest(token)
     return np.fromiter(map(memory.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -76,13 +85,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers for the words of a shingle, by place.
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the runs of width words, in text order; with fewer words, of the whole sequence."""
+    """Hashes of the runs of width words (64 at most), in text order; with fewer words, of the whole sequence."""
     n = len(hashes)
     if n == 0:
         return hashes
     size = min(width, n)
     out = np.full(n - size + 1, np.uint64(size), np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - size + 1 + i])
-    return out
+        out += hashes[i : n - size + 1 + i] * _PLACES[i]
+    return mix(out)

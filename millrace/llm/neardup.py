@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, mix, shingle_hashes, word_hashes, words
+from millrace.llm.common import WordHashes, cut, mix, shingle_hashes, word_hashes, words
 from millrace.llm.graph import components
 
 #: Words of a shingle; similarity in hundredths from which documents are linked.
@@ -26,10 +25,12 @@ WIDTH, PERCENT = 5, 75
 #: Coordinates in a band and bands. At similarity 0.75 a link shares no band once in 190,000.
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
+#: log2 of the bits of the filter of wanted documents, at most: 16 MB.
+FILTER_BITS = 27
 _SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def shingle_set(text: str | None, memory: dict[bytes, int]) -> np.ndarray:
+def shingle_set(text: str | None, memory: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     return np.unique(shingle_hashes(word_hashes(words(text), memory), WIDTH))
 
@@ -64,7 +65,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the whole set (null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, int] = {}
+        memory = WordHashes()
         for batch in batches:
             sizes, digests, bands = [], [], []
             for t in batch.column(1):
@@ -77,22 +78,43 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole shingle set."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the whole shingle set of the documents in wanted (doc_id, distinct).
+
+    A bitmap of hashed ids, FILTER_BITS bits at most, tells tasks which texts to read, so the other
+    texts are neither read by Python nor shuffled; what it lets through by chance goes at the join.
+    Where ids are too many for it, documents are joined before.
+    """
+    n = wanted.count()
+    bits = max(16, (8 * n).bit_length())
+    if bits > FILTER_BITS:
+        rows, mask_on = docs.join(wanted, "doc_id", "left_semi"), None
+    else:
+        value = F.pmod(F.xxhash64("doc_id"), F.lit(2**bits)) + 1
+        found = wanted.select(value.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("b")).collect()
+        mask = np.zeros((2 ** (bits - 15), 2**12), np.uint8)
+        for r in found:
+            mask[r.k - 1] = np.frombuffer(r.b, np.uint8)
+        mask_on = docs.sparkSession.sparkContext.broadcast(mask.ravel())
+        rows = docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, int] = {}
+        memory = WordHashes()
         for batch in batches:
+            if mask_on:
+                h = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array(mask_on.value[h >> 3] >> (h & 7) & 1 == 1))
             sets = [shingle_set(t.as_py(), memory).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(2**bits))
+    return rows.where("doc_id is not null").select("doc_id", "text", hashed.alias("h")).mapInArrow(run, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
 
 
 def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) with na, nb (sizes of their whole shingle sets), common (of the intersection) and extra (what only b has)."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted).dropDuplicates(["doc_id"]), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("extra")).withColumn("common", F.col("nb") - F.size("extra"))

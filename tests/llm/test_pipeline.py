@@ -4,7 +4,6 @@ import test_neardup
 from test_bpe import reference
 
 from millrace.llm import decontam
-from millrace.llm.common import word_hashes, words
 
 
 def brute_force(docs, items):
@@ -14,10 +13,10 @@ def brute_force(docs, items):
     clean = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in removed[d, t])) for d, t in docs]
     clean = [(d, t) for d, t in clean if t.strip() or not removed[d, dict(docs)[d]]]
     kept = {d for d, _, _, k in test_neardup.brute_force(clean) if k}
-    tests = [word_hashes(words(t), {}) for _, t in items]
+    tests = [decontam.sequence(t, decontam.FoldedWords()) for _, t in items]
     free = []
     for d, t in clean:
-        w = word_hashes(words(t), {})
+        w = decontam.sequence(t, decontam.FoldedWords())
         if d in kept and not any(decontam.enough(decontam.best_place(x, w)[0], len(x)) for x in tests):
             free.append((d, t))
     ids, decoded = reference([t for _, t in free])
