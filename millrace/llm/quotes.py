@@ -16,6 +16,8 @@ from millrace.llm.common import cut
 #: A line that announces a quotation, dropped only where a quotation follows.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$"
 _MARKS = r"^(?:\s*>)+"
+#: Whether a text may have a quoted line at all; a text without one is not taken apart.
+QUOTES = r"(?m)^\s*>"
 
 
 def lines_of(text: Column) -> Column:
@@ -31,11 +33,15 @@ def normalised(body: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(body), r"\s+", " ")), r"^[\p{Punct} ]+|[\p{Punct} ]+$", "")
 
 
-def own_text(lines: Column) -> Column:
+def own_text(text: Column) -> Column:
     """The unquoted lines, without announcements of a quotation, blank ends cut."""
-    n = F.size(lines)
-    own = F.filter(lines, lambda s, i: (s["level"] == 0) & ~(s["body"].rlike(ATTRIBUTION) & (i + 1 < n) & (F.try_element_at(lines, (i + 2).cast("int"))["level"] > 0)))
-    return F.regexp_replace(F.array_join(F.transform(own, lambda s: s["body"]), "\n"), r"^\s+|\s+$", "")
+    lines = lines_of(text)
+    # each line beside the next one's level
+    placed = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda s, t: F.struct(s["level"].alias("level"), s["body"].alias("body"), t["level"].alias("next")))
+    own = F.filter(placed, lambda s: (s["level"] == 0) & ~(s["body"].rlike(ATTRIBUTION) & (F.coalesce(s["next"], F.lit(0)) > 0)))
+    parted = F.array_join(F.transform(own, lambda s: s["body"]), "\n")
+    whole = F.regexp_replace(text, r"\r(?=\n|\z)", "")
+    return F.regexp_replace(F.when(text.rlike(QUOTES), parted).otherwise(whole), r"^\s+|\s+$", "")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -54,14 +60,21 @@ def conversations(messages: DataFrame) -> DataFrame:
     called like new ones are replaced. An empty table gives an empty table.
     """
     new = ["reply_to", "root_turn", "depth", "n_quoted", "n_linked", "max_level"]
-    base = messages.drop(*new).withColumn("_lines", lines_of(F.col("text")))
+    base = messages.drop(*new)
     key = ["conv_id", "turn"]
-    told = base.where("conv_id is not null and turn is not null").select(*key, F.explode("_lines").alias("s")).select(*key, F.col("s.level").alias("level"), normalised(F.col("s.body")).alias("body")).where("body != ''")
-    passages = told.select(*key, "level", F.md5("body").alias("passage"))
-    quoted = passages.where("level > 0").groupBy(*key, "level", "passage").agg(F.count("*").alias("n"))
+    known = base.where("conv_id is not null and turn is not null").select(*key, "text")
+
+    def passages(rows: DataFrame) -> DataFrame:
+        told = rows.select(*key, F.explode(lines_of(F.col("text"))).alias("s")).select(*key, F.col("s.level").alias("level"), normalised(F.col("s.body")).alias("body")).where("body != ''")
+        return told.select(*key, "level", F.md5("body").alias("passage"))
+
+    # only conversations in which somebody quotes are read line by line
+    quoting = known.where(F.col("text").rlike(QUOTES))
+    quoted = cut(passages(quoting).where("level > 0"), "quoted").groupBy(*key, "level", "passage").agg(F.count("*").alias("n"))
     asked = quoted.select("conv_id", "passage").distinct()
-    # only passages that somebody quotes are looked for
-    origin = passages.where("level = 0").join(asked, ["conv_id", "passage"], "left_semi").groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
+    # and only passages that somebody quotes are looked for
+    talks = known.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    origin = passages(talks).where("level = 0").join(asked, ["conv_id", "passage"], "left_semi").groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
     linked = quoted.join(origin, ["conv_id", "passage"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     votes = cut(linked.groupBy(*key, "level", "origin").agg(F.sum("n").alias("n")), "votes")
     totals = votes.groupBy(*key).agg(F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), F.max("level").alias("max_level"))
@@ -70,7 +83,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     facts = totals.join(best, key, "left").join(threads, key, "left")
     both = base.join(facts, key, "left")
     return both.select(
-        *[own_text(F.col("_lines")).alias("text") if c == "text" else base[c] for c in base.columns if c != "_lines"],
+        *[own_text(F.col("text")).alias("text") if c == "text" else base[c] for c in base.columns],
         "reply_to",
         F.coalesce("root_turn", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
