@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, words
+from millrace.llm.common import WordHashes, cut, word_hashes, words
 
 #: Classes and outputs of each; outputs that rare tokens share. The rest are one frequent token's each.
 CLASSES, WIDTH, RARE_OUTPUTS = 32, 32, 256
@@ -49,12 +49,14 @@ def token_key(token: bytes) -> int:
     return xxhash.xxh3_64_intdigest(token) & ~0xFF & (2**64 - 1) | xxhash.xxh3_64_intdigest(token[-2:]) & 0xFF
 
 
-def token_keys(tokens: list[bytes], memory: dict[bytes, int], most: int = 200_000) -> np.ndarray:
-    if len(memory) > most:
-        memory.clear()
-    for t in set(tokens).difference(memory):
-        memory[t] = token_key(t)
-    return np.fromiter(map(memory.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
+class TokenKeys(WordHashes):
+    def __missing__(self, token: bytes) -> int:
+        found = self[token] = token_key(token)
+        return found
+
+
+def token_keys(tokens: list[bytes], memory: TokenKeys) -> np.ndarray:
+    return word_hashes(tokens, memory).view(np.int64)
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -118,13 +120,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _forward(model: Model, f: dict[str, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class probabilities, and those of the outputs of the true class."""
+def _class_shares(model: Model, f: dict[str, np.ndarray]) -> np.ndarray:
+    """Class probabilities."""
     w = model.weights
     upper = model.class_bias + w["last"][f["last"]]
     for t in ("second", "third", "pair"):
         upper += w[t][f[t]]
-    return _softmax(upper), _softmax(model.inside_bias[classes] + w["inside"][f["inside"]])
+    return _softmax(upper)
+
+
+def _forward(model: Model, f: dict[str, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities, and those of the outputs of the true class."""
+    return _class_shares(model, f), _softmax(model.inside_bias[classes] + model.weights["inside"][f["inside"]])
 
 
 def _flat(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,28 +169,35 @@ def _sum_rows(table: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
     table[index[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def gradients(encoded: DataFrame, model_on: Broadcast) -> DataFrame:
-    """part (table), row, o0.. observed and e0.. expected counts, summed over all documents of encoded (outs)."""
-    names = [f"{x}{i}" for x in "oe" for i in range(WIDTH)]
+def gradients(encoded: DataFrame, model_on: Broadcast, first: bool) -> DataFrame:
+    """part (table), row, o0.. observed and e0.. expected counts, summed over all documents of encoded (outs).
+
+    In the first round every context weight is 0, so what is expected follows from the row's total
+    and is left out. The table of outputs inside classes has one feature a token and fits at once;
+    later rounds move the class tables, whose features overlap.
+    """
+    tables = _TABLES if first else _TABLES[:-1]
+    names = [f"{x}{i}" for x in ("o" if first else "oe") for i in range(WIDTH)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_on.value
-        observed = {t: np.zeros(n * WIDTH) for t, n in _ROWS.items()}
-        expected = {t: np.zeros((n, WIDTH)) for t, n in _ROWS.items()}
+        observed = {t: np.zeros(_ROWS[t] * WIDTH) for t in tables}
+        expected = {t: np.zeros((_ROWS[t], WIDTH)) for t in tables if not first}
         for frame in frames:
             for flat, at, _ in _flat([np.asarray(x, np.int16) for x in frame["outs"]]):
                 target = flat[at].astype(np.int64)
                 classes, f = target >> 5, _features(flat, at)
-                upper, lower = _forward(model, f, classes)
-                for t in _TABLES:
+                upper = None if first else _class_shares(model, f)
+                for t in tables:
                     own = target & (WIDTH - 1) if t == "inside" else classes
                     observed[t] += np.bincount(f[t].astype(np.int64) * WIDTH + own, minlength=len(observed[t]))
-                    _sum_rows(expected[t], f[t], lower if t == "inside" else upper)
-        for i, t in enumerate(_TABLES):
+                    if not first:
+                        _sum_rows(expected[t], f[t], upper)
+        for i, t in enumerate(tables):
             o = observed[t].reshape(-1, WIDTH)
             used = np.flatnonzero(o.any(1))
             if len(used):
-                out = pd.DataFrame(np.concatenate([o[used], expected[t][used]], 1).astype(np.float32), columns=names)
+                out = pd.DataFrame(np.concatenate([o[used]] if first else [o[used], expected[t][used]], 1).astype(np.float32), columns=names)
                 out.insert(0, "row", used)
                 out.insert(0, "part", np.int32(i))
                 yield out
@@ -192,15 +206,19 @@ def gradients(encoded: DataFrame, model_on: Broadcast) -> DataFrame:
     return sums.groupBy("part", "row").agg(*[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in names])
 
 
-def _moved(model: Model, sums: pd.DataFrame) -> Model:
-    weights = {}
-    for i, t in enumerate(_TABLES):
+def _moved(model: Model, sums: pd.DataFrame, first: bool) -> Model:
+    weights = dict(model.weights)
+    for i, t in enumerate(_TABLES if first else _TABLES[:-1]):
         mine = sums[sums["part"] == i]
-        rows, values = mine["row"].to_numpy(), mine.iloc[:, 2:].to_numpy(np.float64)
-        o, e = values[:, :WIDTH], values[:, WIDTH:]
-        move = np.log((o + DAMP * e / np.maximum(e.sum(1, keepdims=True), 1e-9) + 1e-9) / (e + DAMP * e / np.maximum(e.sum(1, keepdims=True), 1e-9) + 1e-9))
-        new = model.weights[t].copy()
-        new[rows] += (np.clip(move, -3, 3) * (1.0 if t == "inside" else STEP)).astype(np.float32)
+        rows, o = mine["row"].to_numpy(), mine.iloc[:, 2 : 2 + WIDTH].to_numpy(np.float64)
+        if first:
+            share = np.exp(model.inside_bias.astype(np.float64))[rows % CLASSES] if t == "inside" else np.exp(model.class_bias.astype(np.float64))[None, :]
+            e = o.sum(1, keepdims=True) * share
+        else:
+            e = mine.iloc[:, 2 + WIDTH :].to_numpy(np.float64)
+        damp = DAMP * e / np.maximum(e.sum(1, keepdims=True), 1e-9) + 1e-9
+        new = weights[t].copy()
+        new[rows] += (np.clip(np.log((o + damp) / (e + damp)), -3, 3) * (1.0 if t == "inside" else STEP)).astype(np.float32)
         weights[t] = new
     return replace(model, weights=weights)
 
@@ -217,7 +235,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, memory = shared.value, {}
+        m, memory = shared.value, TokenKeys()
         for frame in frames:
             rows = []
             for t in frame["text"]:
@@ -272,10 +290,10 @@ def prepare(docs: DataFrame) -> Model:
 
 
 def train(model: Model, encoded: DataFrame, rounds: int = ROUNDS) -> Model:
-    """rounds gradient updates over all documents of encoded (outs)."""
-    for _ in range(rounds):
+    """rounds gradient updates over all documents of encoded (outs), from a model without context weights."""
+    for i in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(model.shared())
-        model = _moved(model, gradients(encoded, shared).toPandas())
+        model = _moved(model, gradients(encoded, shared, i == 0).toPandas(), i == 0)
     return model
 
 
