@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.llm.common import text_slices
+
 #: The published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points below this are matched by explicit classes, which is faster than Unicode properties.
@@ -202,7 +204,7 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
         c = coder(path)
         for batch in batches:
             column = batch.column(len(kept))
-            for lo, hi in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            for lo, hi in text_slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 texts = column.slice(lo, hi - lo).to_pylist()
                 packed = c.encode_batch(texts)
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
@@ -215,15 +217,3 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
 
     out = T.StructType([T.StructField(a, f.dataType) for a, f in zip(carry, schema.fields, strict=False)] + schema.fields[len(kept) :])
     return source.mapInArrow(run, out).toDF(*schema.names)
-
-
-def _slices(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about most bytes of text each; a longer text stands alone and whole."""
-    lo, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > lo and total + n > most:
-            yield lo, i
-            lo, total = i, 0
-        total += n
-    if lo < len(sizes):
-        yield lo, len(sizes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -57,6 +58,18 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def text_slices(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about most bytes of text each; a longer text stands alone and whole."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, made when first asked for. Emptied when it holds most entries."""
 
