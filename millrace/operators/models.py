@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -191,8 +192,6 @@ def scored(rows: DataFrame, models: dict[str, PipelineModel], keep: list[str]) -
 
 def batch_scored(rows: DataFrame, functions: dict[str, Callable[[pd.Series], pd.Series]], column: str, timed: bool = False) -> DataFrame:
     """rows with a double column for each batch function of a column, a value it can't make being null; timed adds seconds a row (MOD12, UDF1, FN2, FN11)."""
-    import time
-
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{n}` double" + (f", `{n}_time` double" if timed else "") for n in functions])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
