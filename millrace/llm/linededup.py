@@ -67,8 +67,8 @@ def _minimal_windows(min_words: int):
         used = np.cumsum(inside)[:-1] > 0
         cuts = np.searchsorted(pairs[:, 0], rows)
         ends = np.searchsorted(pairs[:, 0], rows, side="right")
-        out = frame[["doc_id", "version"]].assign(stretch=seq - rows, seq=seq, r=frame["r"], starts=[pairs[a:b, 1].astype(np.int32) for a, b in zip(cuts, ends, strict=True)])
-        out["stretch"] = seq[np.maximum.accumulate(np.where(new, rows, 0))] if len(frame) else out["stretch"]
+        first_seq = seq[np.maximum.accumulate(np.where(new, rows, 0))]  # names the stretch
+        out = frame[["doc_id", "version"]].assign(stretch=first_seq, seq=seq, r=frame["r"], starts=[pairs[a:b, 1].astype(np.int32) for a, b in zip(cuts, ends, strict=True)])
         return out[used]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
