@@ -214,6 +214,7 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
                 if decoded:
                     arrays.append(pa.array([c.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, ids, *([decoded] if decoded else [])])
+        c.known.clear()  # a worker outlives its task
 
     out = T.StructType([T.StructField(a, f.dataType) for a, f in zip(carry, schema.fields, strict=False)] + schema.fields[len(kept) :])
     return source.mapInArrow(run, out).toDF(*schema.names)
