@@ -102,10 +102,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     while size <= longest:
         place = Window.partitionBy(*_DOC, "stretch").orderBy("seq")
         # windows of size to 2 * size - 1 lines: two ranks of size lines each cover them
-        ahead = F.collect_list("r").over(place.rowsBetween(0, size - 1))
+        # and stand n - size lines apart: where a line between is gone, the window is not repeated
+        ahead = F.collect_list(F.struct("seq", "r")).over(place.rowsBetween(0, size - 1))
         mine = F.filter("starts", lambda n: (n >= size) & (n < 2 * size))
         windows = level.withColumn("ahead", ahead).select(*_DOC, "seq", F.col("r").alias("left"), "ahead", F.explode(mine).alias("n"))
-        windows = windows.where(F.size("ahead") > F.col("n") - size).select(*_DOC, "seq", "n", "left", F.element_at("ahead", (F.col("n") - size + 1).cast("int")).alias("right"))
+        windows = windows.where(F.size("ahead") > F.col("n") - size).withColumn("end", F.element_at("ahead", (F.col("n") - size + 1).cast("int")))
+        windows = windows.where(F.col("end.seq") == F.col("seq") + F.col("n") - size).select(*_DOC, "seq", "n", "left", F.col("end.r").alias("right"))
         named = windows if named is None else named.unionByName(windows)
         if 2 * size <= longest:
             pairs = level.withColumn("next", F.lead("r", size).over(place)).withColumn("there", F.lead("seq", size).over(place)).where(F.col("there") == F.col("seq") + size)

@@ -48,6 +48,14 @@ def test_random_line_sequences_equal_brute_force(spark):
     compare(spark, list(dict.fromkeys(docs)), 20)
 
 
+def test_a_window_over_a_unique_pair_is_no_copy(spark):
+    a, b, c, x = "a a", "b b", "c c", "x x"
+    docs = [(1, "\n".join([a, b, c])), (2, "\n".join([a, b, x, b, c])), (3, x), (4, "\n".join([a, b, c]))]
+    compare(spark, docs, 6)
+    rng = random.Random(7)
+    compare(spark, [(i, "\n".join(rng.choice([a, b, c, x, "y y"]) for _ in range(rng.randrange(3, 12)))) for i in range(40)], 8)
+
+
 def test_nothing_to_do(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert linededup.dedup(empty).collect() == []
