@@ -173,8 +173,9 @@ def gradients(encoded: DataFrame, model_on: Broadcast, first: bool) -> DataFrame
     """part (table), row, o0.. observed and e0.. expected counts, summed over all documents of encoded (outs).
 
     In the first round every context weight is 0, so what is expected follows from the row's total
-    and is left out. The table of outputs inside classes has one feature a token and fits at once;
-    later rounds move the class tables, whose features overlap.
+    and is left out. The table of outputs inside classes has one feature a token, so the first
+    round's counts give it in closed form (see _moved); later rounds move the class tables, whose
+    features overlap.
     """
     tables = _TABLES if first else _TABLES[:-1]
     names = [f"{x}{i}" for x in ("o" if first else "oe") for i in range(WIDTH)]
@@ -207,6 +208,12 @@ def gradients(encoded: DataFrame, model_on: Broadcast, first: bool) -> DataFrame
 
 
 def _moved(model: Model, sums: pd.DataFrame, first: bool) -> Model:
+    """model after a round.
+
+    The move of the table inside classes is neither damped by STEP nor cut off: it makes
+    p(output | class, last) = (observed + DAMP * share) / (total + DAMP), the counts smoothed by the
+    output's share of the class.
+    """
     weights = dict(model.weights)
     for i, t in enumerate(_TABLES if first else _TABLES[:-1]):
         mine = sums[sums["part"] == i]
@@ -218,7 +225,8 @@ def _moved(model: Model, sums: pd.DataFrame, first: bool) -> Model:
             e = mine.iloc[:, 2 + WIDTH :].to_numpy(np.float64)
         damp = DAMP * e / np.maximum(e.sum(1, keepdims=True), 1e-9) + 1e-9
         new = weights[t].copy()
-        new[rows] += (np.clip(np.log((o + damp) / (e + damp)), -3, 3) * (1.0 if t == "inside" else STEP)).astype(np.float32)
+        move = np.log((o + damp) / (e + damp))
+        new[rows] += (move if t == "inside" else np.clip(move, -3, 3) * STEP).astype(np.float32)
         weights[t] = new
     return replace(model, weights=weights)
 

@@ -64,6 +64,19 @@ def test_scores_are_those_of_the_plain_model(spark):
     assert scored.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
 
 
+def test_outputs_inside_a_class_have_their_closed_form(spark):
+    text = " ".join(["a b"] * 400 + [f"w{i}" for i in range(200)] * 40)
+    _, model = lm.score_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), F.lit(True))
+    own = dict(zip(model.heavy_keys.tolist(), model.heavy_outputs.tolist(), strict=True))
+    outs = [own[int(np.uint64(lm.token_key(t)).astype(np.int64))] for t in tokens(text)]
+    seen = Counter((a, b // lm.WIDTH, b % lm.WIDTH) for a, b in zip([lm.START, *outs], outs, strict=False))
+    for a, c in {k[:2] for k in seen}:
+        o = np.array([seen[a, c, i] for i in range(lm.WIDTH)])
+        share = np.exp(model.inside_bias[c].astype(float))
+        p = np.exp(model.inside_bias[c].astype(float) + model.weights["inside"][a * lm.CLASSES + c])
+        assert np.allclose(p / p.sum(), (o + lm.DAMP * share) / (o.sum() + lm.DAMP), rtol=1e-3)
+
+
 def test_nothing_to_learn_from_or_score(spark):
     frame = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     scored, _ = lm.score_documents(frame, F.lit(False))
