@@ -34,12 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate group stays, once; rows without a doc_id stay."""
+    """One document of each near-duplicate group stays, once: that of the smallest doc_id, and of its texts one.
+
+    A group without any doc_id keeps one row as well. Rows without words are in no group and stay.
+    """
     small_batches(spark)
-    kept = neardup.groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(COLUMNS).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(COLUMNS)
+    whole = docs.select(*COLUMNS, neardup.row_key().alias("_h"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_spoken"))
+    kept = cut(neardup.kept_rows(docs).select(F.col("doc_id").alias("_kept"), F.col("h").alias("_h")), "kept")
+    rows = whole.where("_spoken").join(kept.hint("shuffle_hash"), (whole["_h"] == kept["_h"]) & F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    same = Window.partitionBy("doc_id", "_h").orderBy("doc_id")
+    once = rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    return once.select(COLUMNS).unionByName(whole.where("not _spoken").select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

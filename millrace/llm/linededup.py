@@ -31,11 +31,11 @@ _WINDOWS = "doc_id long, version long, stretch long, seq long, r long, starts ar
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), seq (number among lines with words), pos (among all lines), line (hash), n_words."""
+    """doc_id, version (hash of the text), seq (number among lines with words), pos (among all lines), line and line2 (128 bits of hash), n_words."""
     placed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("value")))
     spoken = F.filter(placed, lambda s: s["value"].rlike(r"\S"))
     lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(spoken).alias("seq", "at"))
-    return lines.select(*_DOC, F.col("seq").cast("long").alias("seq"), F.col("at.pos").alias("pos"), F.xxhash64("at.value").alias("line"), F.regexp_count("at.value", F.lit(r"\S+")).alias("n_words"))
+    return lines.select(*_DOC, F.col("seq").cast("long").alias("seq"), F.col("at.pos").alias("pos"), F.xxhash64("at.value").alias("line"), F.xxhash64(F.lit(1), "at.value").alias("line2"), F.regexp_count("at.value", F.lit(r"\S+")).alias("n_words"))
 
 
 def _ranked(keys: DataFrame, *by: str) -> DataFrame:
@@ -91,8 +91,8 @@ def _minimal_windows(min_words: int):
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, version, removed: positions of the lines in later copies of runs of min_words words or more; documents without any are left out."""
     lines = cut(line_table(docs), "lines")
-    ranks = _ranked(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "line")
-    repeated = lines.join(ranks, "line").select(*_DOC, "seq", "pos", "n_words", F.col("rank").alias("r"))
+    ranks = _ranked(lines.groupBy("line", "line2").agg(F.count("*").alias("n")).where("n > 1").select("line", "line2"), "line", "line2")
+    repeated = lines.join(ranks, ["line", "line2"]).select(*_DOC, "seq", "pos", "n_words", F.col("rank").alias("r"))
     dealt = cut(repeated.repartition(*_DOC).dropDuplicates([*_DOC, "seq"]), "suffixes")
     sorted_ = dealt.repartition(*_DOC).sortWithinPartitions(*_DOC, "seq").select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "version", "seq", "n_words", "r")
     level = cut(sorted_.mapInPandas(_minimal_windows(min_words), _WINDOWS), "level")
@@ -119,7 +119,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = cut(named, "windows")
     here = F.struct(*_DOC, "seq")
     first = named.groupBy("n", "left", "right").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first != last")
-    later = named.join(first, ["n", "left", "right"]).where(~F.struct(*_DOC, "seq").eqNullSafe(F.col("first")))
+    # written first, so that Spark may split a window with very many copies at the join
+    later = named.join(cut(first, "first"), ["n", "left", "right"]).where(~F.struct(*_DOC, "seq").eqNullSafe(F.col("first")))
     gone = later.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
     where = dealt.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.version = g.version and d.seq = g.seq"), "left_semi")
     return where.groupBy(*_DOC).agg(F.sort_array(F.collect_list("pos")).alias("removed"))

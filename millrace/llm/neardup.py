@@ -5,6 +5,10 @@ a bin keeps its smallest value. After SIZE rounds, round SIZE + j throws every s
 after 2 * SIZE rounds at the latest no bin is empty; a set of SIZE * ln(SIZE) shingles fills all in
 about the first round. Two sets agree in a coordinate with the probability of their Jaccard
 similarity, and the number of agreements is concentrated as for independent MinHashes.
+
+Texts with equal shingle sets are one class from the start, and a class is compared with the hubs of
+its band buckets only, so copies and near-copies of one text cost comparisons by member, not pairs.
+What the hubs leave open meets through rare shingles (see meeting_keys).
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
 #: log2 of the bits of the filter of wanted documents, at most: 16 MB.
 FILTER_BITS = 27
-_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+#: Size classes of shingle sets grow by this factor. Rounds in which one class stands for a key before all of a key's are paired.
+SIZE_STEP, LEAD_ROUNDS = 1.2, 3
+_SKETCH = "doc_id long, h long, n_shingles long, digest binary, bands array<long>"
 
 
 def shingle_set(text: str | None, memory: WordHashes) -> np.ndarray:
@@ -61,63 +67,73 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest_of(elements: np.ndarray) -> bytes | None:
+    """128 bits that name the whole set; None for an empty one."""
+    return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
+
+
+def row_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set (null if empty), bands."""
+    """doc_id, h (row_key), n_shingles, digest of the whole set (null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingle_set(t.as_py(), memory)
                 sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                digests.append(digest_of(s))
                 bands.append(band_keys(sketch(s)) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", row_key().alias("h"), "text").mapInArrow(run, _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and the whole shingle set of the documents in wanted (doc_id, distinct).
+    """cls and the whole shingle set of the classes in wanted (cls, h and digest of one of its rows).
 
-    A bitmap of hashed ids, FILTER_BITS bits at most, tells tasks which texts to read, so the other
+    A bitmap of row keys, FILTER_BITS bits at most, tells tasks which texts to read, so the other
     texts are neither read by Python nor shuffled; what it lets through by chance goes at the join.
-    Where ids are too many for it, documents are joined before.
+    Where there are too many for it, rows are joined before. Both ways give the same sets.
     """
     n = wanted.count()
     bits = max(16, (8 * n).bit_length())
+    rows = docs.select(row_key().alias("h"), "text")
     if bits > FILTER_BITS:
-        rows, mask_on = docs.join(wanted, "doc_id", "left_semi"), None
+        rows, mask_on = rows.join(wanted.select("h").distinct(), "h", "left_semi"), None
     else:
-        value = F.pmod(F.xxhash64("doc_id"), F.lit(2**bits)) + 1
+        value = F.pmod("h", F.lit(2**bits)) + 1
         found = wanted.select(value.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("b")).collect()
         mask = np.zeros((2 ** (bits - 15), 2**12), np.uint8)
         for r in found:
             mask[r.k - 1] = np.frombuffer(r.b, np.uint8)
         mask_on = docs.sparkSession.sparkContext.broadcast(mask.ravel())
-        rows = docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             if mask_on:
-                h = batch.column(2).to_numpy()
-                batch = batch.filter(pa.array(mask_on.value[h >> 3] >> (h & 7) & 1 == 1))
-            sets = [shingle_set(t.as_py(), memory).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                at = batch.column(0).to_numpy()
+                batch = batch.filter(pa.array(mask_on.value[at >> 3] >> (at & 7) & 1 == 1))
+            sets = [shingle_set(t.as_py(), memory) for t in batch.column(1)]
+            digests = pa.array([digest_of(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(2**bits))
-    return rows.where("doc_id is not null").select("doc_id", "text", hashed.alias("h")).mapInArrow(run, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
+    texts = rows.select(F.pmod("h", F.lit(2**bits)).alias("at"), "text").mapInArrow(run, "digest binary, shingles array<long>")
+    return texts.join(wanted.select("cls", "digest"), "digest").select("cls", "shingles").dropDuplicates(["cls"])
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with na, nb (sizes of their whole shingle sets), common (of the intersection) and extra (what only b has)."""
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted).dropDuplicates(["doc_id"]), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes with na, nb (sizes of their whole shingle sets) and common (of the intersection)."""
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("extra")).withColumn("common", F.col("nb") - F.size("extra"))
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
 def linked() -> Column:
@@ -126,55 +142,151 @@ def linked() -> Column:
 
 
 def candidates(open_rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a hub and a class from the classes (rep) in each band bucket (key), size being the bucket's.
+    """Pairs (a, b) of a hub and a class from the classes (cls) in each band bucket (key), size being the bucket's.
 
     A class is popular as its buckets are large; its hub is the most popular one it shares a bucket
     with, near-copies thus having their original. Each class is paired with the hubs of all classes
     in its buckets, so any two classes that share a bucket have been compared with a common hub.
     """
-    popular = open_rows.groupBy("rep").agg(F.sum("size").alias("popularity"))
-    lead = open_rows.join(popular, "rep").groupBy("key").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"))).alias("lead"))
-    hubs = open_rows.join(lead, "key").groupBy("rep").agg((-F.max("lead")["minus"]).alias("hub"))
-    near = open_rows.join(hubs, "rep").select("key", "hub").distinct()
-    return open_rows.select("key", "rep").join(near, "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    popular = cut(open_rows.groupBy("cls").agg(F.sum("size").alias("popularity")), "popular")
+    lead = cut(open_rows.join(popular, "cls").groupBy("key").agg(F.max(F.struct("popularity", "cls")).alias("lead")), "lead")
+    hubs = cut(open_rows.join(lead, "key").groupBy("cls").agg(F.max("lead")["cls"].alias("hub")), "hubs")
+    near = cut(open_rows.join(hubs, "cls").select("key", "hub").distinct(), "near")
+    return open_rows.select("key", "cls").join(near, "key").where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """cls of the members (hub, cls, label, n, common) that may link with a member of the same hub and another label.
+
+    |A & B| <= min(|A & H|, |B & H|) + min(|A - H|, |B - H|) for classes A and B of a hub H. Each
+    member is held against the best that the others of its hub have: all of them, or, for the hub's
+    most frequent label, all but that label.
+    """
+    own = members.withColumn("extra", F.col("n") - F.col("common"))
+    labels = own.groupBy("hub", "label").agg(F.count("*").alias("times"), F.max("common").alias("c"), F.max("extra").alias("e"), F.min("n").alias("least"))
+    labels = cut(labels, "labels")
+    big = labels.groupBy("hub").agg(F.count("*").alias("kinds"), F.max(F.struct("times", "label"))["label"].alias("big")).where("kinds > 1")
+    other = F.col("label") != F.col("big")
+    best = [f(F.when(other, F.col(x)) if which == "some" else F.col(x)).alias(f"{which}_{x}") for which in ("all", "some") for f, x in ((F.max, "c"), (F.max, "e"), (F.min, "least"))]
+    hubs = cut(labels.join(big, "hub").groupBy("hub", "big").agg(*best), "hubs")
+    near = own.join(hubs, "hub")
+    c, e, least = (F.when(other, F.col(f"all_{x}")).otherwise(F.col(f"some_{x}")) for x in ("c", "e", "least"))
+    can = (100 + PERCENT) * (F.least("common", c) + F.least("extra", e)) >= PERCENT * (F.col("n") + least)
+    return near.where(can).select("cls").distinct()
+
+
+def meeting_keys(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, cls, n, left: any two classes of wanted (cls) that are similar enough share a key at which may_link() holds.
+
+    Shingles are ordered by how many of these classes hold them, rare ones first. If two sets of n
+    and m shingles are linked, they have PERCENT / (100 + PERCENT) * (n + m) shingles in common, so
+    the first common one has at least as many from its place on (left) in each. A shingle therefore
+    is a key only for partners of a size that its place allows, and the frequent end of a set is
+    never a key. Keys are hashes of (shingle, both size classes): equal hashes by chance only cost a
+    comparison.
+    """
+    told = cut(sets.join(wanted, "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "told")
+    times = cut(told.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    # a shingle of one class alone is no key; those come first, and their number gives the places of the rest
+    order = told.join(times, "s").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("order"))
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
+    placed = order.select("cls", "n", F.size("order").alias("shared"), F.posexplode("order").alias("i", "o")).withColumn("left", F.col("shared") - F.col("i"))
+    low = F.ceil(F.col("n") * PERCENT / 100)
+    high = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("left") * ((100 + PERCENT) / PERCENT) + 1e-9) - F.col("n"))
+    keyed = placed.withColumns({"own": size_class(F.col("n")), "low": low, "high": high}).where("high >= low")
+    # one size class more at each end: rounding can't part a pair
+    sizes = F.sequence(F.greatest(size_class(F.col("low")) - 1, F.lit(0)), size_class(F.col("high")) + 1)
+    spread = keyed.select("cls", "n", "left", F.col("o.s").alias("s"), "own", F.explode(sizes).alias("its"))
+    return spread.select(F.xxhash64("s", F.least("own", "its"), F.greatest("own", "its")).alias("key"), "cls", "n", "left")
+
+
+def may_link(n: str, left: str, m: str, its_left: str) -> Column:
+    """Whether sets of n and m shingles may be linked if this is their first common one."""
+    return (100 + PERCENT) * F.least(left, its_left) >= PERCENT * (F.col(n) + F.col(m))
+
+
+def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (cls, label; other columns stay) with the labels that links (a, b) between classes give."""
+    moved = components(links)
+    return rows.drop("label").join(moved.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def more_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between classes that share a key of meeting_keys() and that links leave in different components.
+
+    In each of LEAD_ROUNDS rounds one class of a key is compared with those of other components
+    there and then leaves the key; what it links with becomes one component, and a key whose classes
+    are all of one is done. What remains is paired within its key, those of the key's most frequent
+    component with the others only.
+    """
+    new = links.limit(0)
+    rows = cut(relabelled(keys, links), "keyed")
+    for round_ in range(LEAD_ROUNDS + 1):
+        ends = rows.groupBy("key").agg(F.min(F.struct("label", "cls", "n", "left")).alias("lead"), F.max("label").alias("last")).where("lead.label != last")
+        rows = cut(rows.join(cut(ends.select("key", F.col("lead.label").alias("its_label"), F.col("lead.cls").alias("its_cls"), F.col("lead.n").alias("m"), F.col("lead.left").alias("its_left")), "ends"), "key"), "mixed")
+        if rows.isEmpty():
+            break
+        if round_ < LEAD_ROUNDS:
+            pairs = rows.where((F.col("label") != F.col("its_label")) & may_link("n", "left", "m", "its_left")).select(F.col("its_cls").alias("x"), F.col("cls").alias("y"))
+            rows = rows.where("cls != its_cls").select("key", "cls", "n", "left", "label")
+        else:
+            times = rows.groupBy("key", "label").agg(F.count("*").alias("times"))
+            big = cut(times.groupBy("key").agg(F.max(F.struct("times", "label"))["label"].alias("big")), "big")
+            few = cut(rows.join(big, "key").where("label != big").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("m"), F.col("left").alias("its_left"), "big"), "few")
+            pairs = few.join(rows.select("key", F.col("cls").alias("y"), "label", "n", "left"), "key").where(F.expr("lx < label or label = big") & may_link("n", "left", "m", "its_left")).select("x", "y")
+        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        found = cut(compared(pairs, sets).where(linked()).select("a", "b"), "found")
+        if not found.isEmpty():
+            new = new.unionByName(found)
+            rows = cut(relabelled(rows.select("key", "cls", "n", "left"), links.unionByName(new)), "keyed")
+    return new
+
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """groups() with h (row_key), and label: names the group, null for a row without shingles."""
+    found = cut(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "sketches")
+    classes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    rows = cut(classes.select("cls", F.explode("bands").alias("key")), "bands")
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    open_rows = cut(rows.join(shared, "key"), "open")
+    pairs = cut(candidates(open_rows), "candidates")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = cut(classes.select("cls", "digest", "h").join(wanted, "cls", "left_semi"), "wanted")
+    sets = cut(shingle_sets(docs, wanted), "sets")
+    tested = cut(compared(pairs, sets), "tested")
+    links = cut(tested.where(linked()).select("a", "b"), "links")
+    members = relabelled(tested.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("nb").alias("n"), "common"), links)
+    open_members = cut(still_open(cut(members, "members")), "open")
+    if not open_members.isEmpty():
+        links = links.unionByName(more_links(meeting_keys(open_members, sets), sets, links))
+    labels = cut(relabelled(classes.select("cls", "digest", "rep"), links), "labels")
+    least = cut(labels.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    own = cut(labels.join(least, "label").select("digest", "label", "component_id", (F.col("cls") == F.col("label")).alias("leads")), "own")
+    base = found.select("doc_id", "h", "n_shingles", "digest")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("leads"))
+    some = base.where("digest is not null").join(own, "digest").select("doc_id", "h", "n_shingles", "component_id", kept.alias("kept"), "label")
+    none = base.where("digest is null").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("label"))
+    return some.unionByName(none)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text; other columns are ignored).
 
-    Texts with equal sets are one class, led by its smallest doc_id, before anything is compared.
-    Classes that share a band bucket are compared with common hubs, whole set against whole set. For
-    two classes A and B of one hub H that are still in different components,
-    |A & B| <= min(|A & H|, |B & H|) + |(A - H) & (B - H)|; only where this bound allows a link are
-    they compared themselves. So a link is lost only if its texts share no band, and a group of
-    near-copies of one text gives as many comparisons as it has members, not pairs.
-
-    Rows with a null or empty text have no shingles, link with nothing and are their own component.
-    Repeated rows are alike. Rows of one doc_id with different texts are placed each by its own text.
-    A null doc_id has a null component and is kept, unless its text equals another's, whose
-    component it then has.
+    Texts with equal sets are one class before anything is compared; sets are named by 128 bits.
+    Classes that share a band bucket are compared with common hubs, whole set against whole set; those
+    that may still link with others of their hub meet by rare shingles and are compared themselves. So a link is lost only if its texts share no band, whatever the size of a group.
+
+    Rows with a null or empty text have no shingles, link with nothing, are their own component and
+    are kept. Repeated rows are alike. Rows of one doc_id with different texts are placed each by its
+    own text. Rows without a doc_id take part like others: a group's component_id is its smallest
+    doc_id, and where no row of a group has one it is null and one class of the group is kept. Very
+    long texts are compared whole. An empty table gives an empty table.
     """
-    found = cut(sketches(docs), "sketches")
-    classes = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    rows = cut(classes.select("rep", F.explode("bands").alias("key")), "bands")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    open_rows = cut(rows.join(shared, "key"), "open")
-    tested = cut(compared(docs, cut(candidates(open_rows), "candidates")), "tested")
-    links = tested.where(linked()).select("a", "b")
-    labels = components(links)
-
-    named = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("nb").alias("n"), "common", "extra").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("hub")
-    left = cut(named.join(mixed, "hub", "left_semi"), "left")
-    one, two = (left.select("hub", *[F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "common", "extra", "label")]) for i in "ab")
-    most = F.least("common_a", "common_b")
-    need = PERCENT * (F.col("n_a") + F.col("n_b"))
-    can = (F.col("label_a") < F.col("label_b")) & ((100 + PERCENT) * (most + F.least(F.size("extra_a"), F.size("extra_b"))) >= need) & ((100 + PERCENT) * (most + F.size(F.array_intersect("extra_a", "extra_b"))) >= need)
-    rest = one.join(two, "hub").where(can).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    more = cut(compared(docs, cut(rest, "rest")).where(linked()).select("a", "b"), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    own = classes.select("digest", "rep")
-    placed = found.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return placed_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and h (row_key) of one row of each group; rows without shingles are left out."""
+    of_group = placed_rows(docs).where("kept and label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("row"))
+    return of_group.select("row.doc_id", "row.h")

@@ -98,6 +98,27 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), g AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), c AS (
+  SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM g WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY ALL
+), e AS (
+  SELECT id, n, unnest(s) AS x FROM c
+), p AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r AS (
+  SELECT id AS a, id AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), m AS (
+  SELECT a AS id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM g LEFT JOIN c ON c.s = list_sort(g.s) LEFT JOIN m USING (id)
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 fold of five is not 0."""
     small_batches(spark)
@@ -130,4 +151,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text)}
-ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
+ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_url_filter": urls.oracle(URL_RULES)}

@@ -58,8 +58,52 @@ def test_equals_brute_force(spark):
     assert got == brute_force(docs)
 
 
+def test_equals_sql(spark, sf_dir, same_as_sql):
+    same_as_sql("op6_near_dedup", sf_dir)
+
+
+def near_copies(n, words, changes, seed=1, vocab=3000):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(vocab)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(changes):
+            w[rng.randrange(words)] = f"v{rng.randrange(vocab)}"
+        out.append((i + 1, " ".join(w)))
+    return out
+
+
+def test_large_group_of_near_copies(spark):
+    # most copies are near the hub, many are not, and link among themselves by common passages
+    docs = near_copies(250, 60, 2) + [(d + 1000, t) for d, t in near_copies(250, 60, 3)]
+    rng = random.Random(2)
+    base = near_copies(1, 200, 0, seed=5)[0][1].split()
+    docs += [(2000 + i, " ".join(base[a : a + 120])) for i, a in enumerate(rng.choices(range(80), k=60))]
+    got = sorted(map(tuple, neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == brute_force(docs)
+
+
+def test_one_doc_id_with_different_texts(spark):
+    a, b = near_copies(1, 80, 0, seed=3)[0][1], near_copies(1, 80, 0, seed=4)[0][1]
+    rows = [(1, a + " x"), (5, a), (5, b), (9, b + " y")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in neardup.groups(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect())
+        assert got == [(1, 1), (5, 1), (5, 5), (9, 5)]
+
+
+def test_sets_of_many_classes_and_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FILTER_BITS", 4)  # too few bits for any table: rows are joined
+    docs = near_copies(12, 60, 1) + [(50, "a b c " * 60_000), (51, "a b c " * 60_001), (52, " ".join(f"w{i}" for i in range(40_000))), (53, " ".join(f"w{i}" for i in range(40_100)))]
+    got = sorted(map(tuple, neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == brute_force(docs)
+
+
 def test_repeated_null_and_missing_rows(spark):
     frame = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "z"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.groups(frame).collect())
     assert got == [(0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True)]
+    none = spark.createDataFrame([(None, "a b c"), (None, "a  b c"), (None, "z")], "doc_id long, text string")
+    assert sorted((r.component_id, r.kept) for r in neardup.groups(none).collect()) == [(None, True)] * 3
+    assert neardup.kept_rows(none).count() == 2
     assert neardup.groups(frame.limit(0)).collect() == []

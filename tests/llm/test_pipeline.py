@@ -37,3 +37,11 @@ def test_odd_rows(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.doc_id or 0, r.decoded_text, r.lang) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == [(0, "some words here", "en"), (3, "one two three four five six", "en")]
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text + " x", "en", "s", 2), (2, text + " y", "en", "s", 3), (None, text + " z", "en", "s", 4), (None, "other words", "en", "s", 5), (None, "other words", "en", "s", 5), (None, None, "en", "s", 6), (3, "", "en", "s", 7), (4, " ", "en", "s", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.n_chars) for r in corpus_pipeline.near_dedup(spark, frame, sf_dir).collect())
+    assert [x for x in got if x[1] > 2] == [(0, 5), (0, 6), (3, 7), (4, 8)] and len(got) == 5
