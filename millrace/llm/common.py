@@ -58,7 +58,7 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def text_slices(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about most bytes of text each; a longer text stands alone and whole."""
     lo, total = 0, 0
     for i, n in enumerate(sizes):

@@ -165,7 +165,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     base = df.drop(*new)
     model_on = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double, lang_ambiguous boolean")
+    # a filter on the answer must not make Spark ask twice
+    @(lambda f: F.pandas_udf(f, "lang_pred string, lang_score double, lang_ambiguous boolean").asNondeterministic())
     def judge(texts: pd.Series) -> pd.DataFrame:
         m = model_on.value
         out = [(UNDETERMINED, 0.0, False)] * len(texts)

@@ -126,7 +126,6 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return where.groupBy(*_DOC).agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 
-@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     out = []
     for text, gone in zip(texts, removed, strict=True):
@@ -139,6 +138,10 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+#: Not to be evaluated again by a filter on its result.
+_without_lines = F.pandas_udf(_without, T.StringType()).asNondeterministic()
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text without later copies of repeated line runs, and removed_lines: the positions deleted (0 is the first line).
 
@@ -152,5 +155,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "removed")
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
     both = base.join(removed.hint("shuffle_hash"), match, "left")
-    clean = F.coalesce(_without(F.when(F.col("removed").isNotNull(), F.col("text")), F.col("removed")), F.col("text"))
+    clean = F.coalesce(_without_lines(F.when(F.col("removed").isNotNull(), F.col("text")), F.col("removed")), F.col("text"))
     return both.select(*[clean.alias("text") if c == "text" else base[c] for c in base.columns], F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))

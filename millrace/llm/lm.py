@@ -5,12 +5,16 @@ output that rare tokens share, that of the token in the output by smoothed count
 
     p(token | before) = p(class | before) * p(output | class, before) * p(token | output)
 
-Classes and outputs are softmaxes over features of what stands before: the last token, the tokens
-two and three back on their own (skips), and the hashed pair of the last two. Frequent tokens have
-an output each; all others share RARE_OUTPUTS by a hash of their spelling's end. Training is
-full-batch: in each round every partition sums observed and expected counts of its documents, Spark
-adds them up, and each weight moves by the gradient divided by the expected count. The result does
-not depend on partitions. Token counts are joined by token, so the vocabulary may have any size.
+Classes and outputs are softmaxes over features of what stands before: the last token, the token two
+back on its own (a skip), and, for classes, the hashed pair of both. Frequent tokens have an output
+each; all others share outputs by a hash of their spelling's end. Classes, outputs and rows of
+hashed features grow with the number of different tokens and contexts (see Sizes).
+
+Texts meet the training once: Spark gathers how often each output follows each context, a table that
+grows with the corpus. In each round tasks add up what the model expects over that table, Spark sums
+it, and every weight moves by the gradient, the logarithm of observed to expected counts. All tables
+move in all rounds, and the result does not depend on partitions. Token counts are joined by token,
+so the vocabulary may have any size.
 """
 
 from __future__ import annotations
@@ -18,56 +22,80 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, cut, word_hashes, words
+from millrace.llm.common import cut, text_slices, words
 
-#: Classes and outputs of each; outputs that rare tokens share. The rest are one frequent token's each.
-CLASSES, WIDTH, RARE_OUTPUTS = 32, 32, 256
-OUTPUTS = CLASSES * WIDTH
-FREQUENT = OUTPUTS - RARE_OUTPUTS
-#: Tokens whose counts every task holds, the most frequent ones; the others' counts are joined.
+#: Tokens whose counts every task holds, at most, the most frequent ones; the others' counts are joined.
 HEAVY = 200_000
-#: Rows of the hashed pair features; gradient rounds; weight of a move in a class table; what is added to expected counts.
-PAIRS, ROUNDS, STEP, DAMP = 8192, 2, 0.4, 25.0
-#: Tokens scored at a time; distinct tokens counted before they are passed on.
-CHUNK, COUNTED = 100_000, 500_000
-#: Stands before a document's first token; and the end token, which no word can be.
-START, END = OUTPUTS, b"\n"
-_TABLES = ("last", "second", "third", "pair", "inside")
-_ROWS = dict(zip(_TABLES, (OUTPUTS + 1, OUTPUTS + 1, OUTPUTS + 1, PAIRS, (OUTPUTS + 1) * CLASSES), strict=True))
+#: Gradient rounds; what is added to expected counts.
+ROUNDS, DAMP = 4, 25.0
+#: Tokens scored at a time; distinct tokens, or contexts with outputs, counted before they are passed on; tokens remembered by a task.
+CHUNK, COUNTED, CONTEXTS, REMEMBERED = 300_000, 500_000, 1_000_000, 150_000
+#: The end of a text, which no word can be.
+END = b"\n"
+#: Share of a move that a table makes: one over the number of features of its softmax.
+_STEPS = {"last": 1 / 3, "second": 1 / 3, "pair": 1 / 3, "inside_last": 1 / 2, "inside_second": 1 / 2}
+_INSIDE = ("inside_last", "inside_second")
 
 
-def token_key(token: bytes) -> int:
-    """56 bits of the token's hash, then its rare output: 8 bits of a hash of its last two bytes."""
-    return xxhash.xxh3_64_intdigest(token) & ~0xFF & (2**64 - 1) | xxhash.xxh3_64_intdigest(token[-2:]) & 0xFF
+@dataclass(frozen=True)
+class Sizes:
+    """Classes, outputs of each, and rows of the hashed tables."""
 
+    classes: int
+    pairs: int
+
+    @property
+    def outputs(self) -> int:
+        return self.classes**2
+
+    @property
+    def rare(self) -> int:
+        """Outputs that rare tokens share."""
+        return self.outputs // 4
+
+    @property
+    def frequent(self) -> int:
+        return self.outputs - self.rare
+
+    @property
+    def inside(self) -> int:
+        return 2**16
+
+    def rows(self, table: str) -> int:
+        return self.inside if table in _INSIDE else self.pairs if table == "pair" else self.outputs + 1
 
-class TokenKeys(WordHashes):
-    def __missing__(self, token: bytes) -> int:
-        found = self[token] = token_key(token)
-        return found
 
+def sizes_for(distinct: int) -> Sizes:
+    """Classes grow with the fourth root of the number of different tokens, so outputs with its square root; pair rows with it, up to 2**17."""
+    bits = max(1, int(distinct).bit_length())
+    return Sizes(2 ** min(8, max(5, bits // 4)), 2 ** min(17, max(13, bits - 6)))
 
-def token_keys(tokens: list[bytes], memory: TokenKeys) -> np.ndarray:
-    return word_hashes(tokens, memory).view(np.int64)
+
+def token_keys(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of each token's hash as two longs, and 15 bits of a hash of its last two bytes."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, tokens)), ">i8").reshape(-1, 2).astype(np.int64)
+    return both[:, 0], both[:, 1], np.fromiter((xxhash.xxh3_64_intdigest(t[-2:]) & 0x7FFF for t in tokens), np.int64, len(tokens))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """key, n of all tokens of the column t, ends included."""
+    """key, key2, suffix, n of all tokens of the column t, ends included."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[bytes] = Counter()
 
         def out() -> pd.DataFrame:
-            keys = np.fromiter(map(token_key, counts), np.uint64, len(counts)).view(np.int64)
-            return pd.DataFrame({"key": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+            key, key2, suffix = token_keys(list(counts))
+            return pd.DataFrame({"key": key, "key2": key2, "suffix": suffix, "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
         for frame in frames:
             for t in frame["t"]:
@@ -75,42 +103,162 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 if len(counts) > COUNTED:
                     yield out()
                     counts.clear()
-            counts[END] += len(frame)
+            if len(frame):
+                counts[END] += len(frame)
         yield out()
 
-    return texts.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(run, "key long, key2 long, suffix long, n long").groupBy("key", "key2", "suffix").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    counts: DataFrame | None  # key, n of every token
+    counts: DataFrame | None  # key, key2, n of every token that tasks don't hold
+    sizes: Sizes
     total: int
     distinct: int
-    heavy_keys: np.ndarray  # sorted
+    heavy_keys: np.ndarray  # n x 2, sorted by the first
     heavy_counts: np.ndarray
-    heavy_outputs: np.ndarray
+    heavy_outputs: np.ndarray  # -1: shares one
     rare_scale: np.ndarray  # log10 of the smoothed total of each rare output
     class_bias: np.ndarray
-    inside_bias: np.ndarray  # CLASSES x WIDTH
+    inside_bias: np.ndarray  # classes x width
     weights: dict[str, np.ndarray]
 
     def shared(self) -> Model:
         return replace(self, counts=None)
 
-    def outputs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(output, count or -1 where it has to be joined) of each key."""
+    def outputs(self, key: np.ndarray, key2: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(output, count or -1 where it has to be joined) of each token."""
+        other = self.sizes.frequent + suffix % self.sizes.rare
         if not len(self.heavy_keys):
-            return FREQUENT + (keys & 0xFF), np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.heavy_keys, keys), len(self.heavy_keys) - 1)
-        known = self.heavy_keys[at] == keys
+            return other, np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.heavy_keys[:, 0], key), len(self.heavy_keys) - 1)
+        known = (self.heavy_keys[at, 0] == key) & (self.heavy_keys[at, 1] == key2)
         output = np.where(known, self.heavy_outputs[at], -1)
-        return np.where(output >= 0, output, FREQUENT + (keys & 0xFF)), np.where(known, self.heavy_counts[at], -1)
+        return np.where(output >= 0, output, other), np.where(known, self.heavy_counts[at], -1)
+
+
+class Vocabulary(dict):
+    """Numbers a task's tokens as they come, with what the model knows of each. Emptied when it holds REMEMBERED."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self._empty()
 
+    def _empty(self) -> None:
+        self.clear()
+        self.fresh: list[bytes] = []
+        self.facts = [np.zeros(0, np.int64) for _ in range(4)]  # key, key2, output, count
+
+    def __missing__(self, token: bytes) -> int:
+        found = self[token] = len(self)
+        self.fresh.append(token)
+        return found
 
-def _features(flat: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    last, second, third = flat[at - 1], flat[at - 2], flat[at - 3]
-    pair = ((last.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (second.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - 13)
-    return {"last": last, "second": second, "third": third, "pair": pair, "inside": last.astype(np.int64) * CLASSES + (flat[at] >> 5)}
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self._empty()
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.fresh:
+            key, key2, suffix = token_keys(self.fresh)
+            self.facts = [np.concatenate([a, b]) for a, b in zip(self.facts, (key, key2, *self.model.outputs(key, key2, suffix)), strict=True)]
+            self.fresh = []
+        return out
+
+
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without text but with n_tokens, outs, and what of the score needs no context.
+
+    known_heavy, logs_heavy: tokens among those that tasks hold and the sum of log10(count + 1) over
+    them; logs_rare: log10 of what p(token | output) has without the joined counts; rare: the other
+    tokens (key, key2, times), whose counts are joined.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    new = ["n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "keys", "keys2", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        memory = Vocabulary(m)
+        for batch in batches:
+            column = batch.column(len(kept))
+            for lo, hi in text_slices([len(t.as_py() or "") for t in column]):
+                lists = [[*words(t.as_py()), END] for t in column[lo:hi]]
+                size = np.fromiter(map(len, lists), np.int64, len(lists))
+                numbers = memory.numbers(list(chain.from_iterable(lists)))
+                key, key2, output, count = memory.facts
+                owner = np.repeat(np.arange(len(lists)), size)
+                per_doc = lambda x, owner=owner, n=len(lists): np.bincount(owner, weights=x, minlength=n)
+                held = count >= 0
+                log = np.where(held, np.log10(np.maximum(count, 0) + 1.0), 0.0)
+                shares = output >= m.sizes.frequent
+                inside = np.where(shares, np.where(held, log, 0.0) - m.rare_scale[np.maximum(output - m.sizes.frequent, 0)], 0.0)
+                lone = ~held[numbers]
+                pair, times = np.unique(owner[lone] * len(key) + numbers[lone], return_counts=True)
+                at, ends = pair % len(key), np.concatenate([[0], np.cumsum(np.bincount(pair // len(key), minlength=len(lists)))]).astype(np.int32)
+                upto = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                listed = lambda x, offsets=ends: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))
+                columns = [batch.column(i)[lo:hi] for i in range(len(kept))]
+                columns += [pa.array(size), listed(output[numbers].astype(np.int32), upto), pa.array(per_doc(held[numbers]).astype(np.int64)), pa.array(per_doc(log[numbers])), pa.array(per_doc(inside[numbers]))]
+                columns += [listed(key[at]), listed(key2[at]), listed(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+
+    types = "n_tokens long, outs array<int>, known_heavy long, logs_heavy double, logs_rare double, keys array<long>, keys2 array<long>, times array<int>"
+    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, {types}" if schema else types)
+
+
+def _contexts_of(documents: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """((second * base + last) * base + output of each token, document of each); base - 1 stands before a text."""
+    start = np.full(2, base - 1, np.int64)
+    flat = np.concatenate(list(chain.from_iterable((start, d) for d in documents)))
+    size = np.fromiter(map(len, documents), np.int64, len(documents))
+    owner = np.repeat(np.arange(len(documents)), size)
+    at = np.arange(size.sum()) + 2 * (owner + 1)
+    return (flat[at - 2] * base + flat[at - 1]) * base + flat[at], owner
+
+
+def _pieces(documents: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about CHUNK tokens; a longer one stands alone."""
+    return text_slices([len(d) for d in documents], CHUNK)
+
+
+def contexts(encoded: DataFrame, base: int) -> DataFrame:
+    """context (second * base + last), out, n: how often each output follows each context in encoded (outs)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        n_waiting = 0
+
+        def merge() -> None:
+            nonlocal keys, counts, waiting, n_waiting
+            if waiting:
+                new, times = np.unique(np.concatenate(waiting), return_counts=True)
+                both = np.concatenate([keys, new])
+                order = np.argsort(both, kind="stable")
+                both, n = both[order], np.concatenate([counts, times])[order]
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                keys, counts = both[first], np.add.reduceat(n, first)
+                waiting, n_waiting = [], 0
+
+        for frame in frames:
+            documents = [np.asarray(x, np.int64) for x in frame["outs"]]
+            for lo, hi in _pieces(documents):
+                waiting.append(_contexts_of(documents[lo:hi], base)[0])
+                n_waiting += len(waiting[-1])
+                if n_waiting >= CONTEXTS:
+                    merge()
+                    if len(keys) >= CONTEXTS:
+                        yield pd.DataFrame({"context": keys // base, "out": (keys % base).astype(np.int32), "n": counts})
+                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        merge()
+        if len(keys):
+            yield pd.DataFrame({"context": keys // base, "out": (keys % base).astype(np.int32), "n": counts})
+
+    told = encoded.select("outs").mapInPandas(run, "context long, out int, n long")
+    return told.repartition("context").groupBy("context", "out").agg(F.sum("n").alias("n")).sortWithinPartitions("context")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -120,211 +268,206 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _class_shares(model: Model, f: dict[str, np.ndarray]) -> np.ndarray:
-    """Class probabilities."""
-    w = model.weights
-    upper = model.class_bias + w["last"][f["last"]]
-    for t in ("second", "third", "pair"):
-        upper += w[t][f[t]]
-    return _softmax(upper)
+def _hash(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
 
 
-def _forward(model: Model, f: dict[str, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class probabilities, and those of the outputs of the true class."""
-    return _class_shares(model, f), _softmax(model.inside_bias[classes] + model.weights["inside"][f["inside"]])
+def class_features(sizes: Sizes, context: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of the class tables for contexts."""
+    second, last = context // (sizes.outputs + 1), context % (sizes.outputs + 1)
+    return {"last": last, "second": second, "pair": _hash(last, second, sizes.pairs)}
 
 
-def _flat(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of (outputs with what stands before, places of the tokens, document of each); a document may span chunks."""
-    pieces, owners, size = [], [], 0
-    for i, d in enumerate(documents):
-        padded = np.concatenate([np.full(3, START, np.int16), d])
-        for lo in range(3, len(padded), CHUNK):
-            part = padded[lo - 3 : lo + CHUNK]
-            pieces.append(part)
-            owners.append((i, len(part)))
-            size += len(part)
-            if size >= CHUNK:
-                yield _joined(pieces, owners)
-                pieces, owners, size = [], [], 0
-    if pieces:
-        yield _joined(pieces, owners)
+def inside_features(sizes: Sizes, context: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of the tables of outputs inside classes."""
+    second, last = context // (sizes.outputs + 1), context % (sizes.outputs + 1)
+    return {"inside_last": _hash(last, classes, sizes.inside), "inside_second": _hash(second + sizes.outputs + 1, classes, sizes.inside)}
 
 
-def _joined(pieces: list[np.ndarray], owners: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = np.concatenate(pieces)
-    context = np.zeros(len(flat), bool)
-    starts = np.cumsum([0] + [n for _, n in owners[:-1]])
-    for k in range(3):
-        context[starts + k] = True
-    at = np.flatnonzero(~context)
-    return flat, at, np.repeat([i for i, _ in owners], [n - 3 for _, n in owners])
+def _class_shares(m: Model, context: np.ndarray) -> np.ndarray:
+    f = class_features(m.sizes, context)
+    return _softmax(m.class_bias + m.weights["last"][f["last"]] + m.weights["second"][f["second"]] + m.weights["pair"][f["pair"]])
 
 
-def _sum_rows(table: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
-    """table[index] += rows, by sorting."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    table[index[first]] += np.add.reduceat(rows[order], first, axis=0)
+def _inside_shares(m: Model, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    f = inside_features(m.sizes, context, classes)
+    return _softmax(m.inside_bias[classes] + m.weights["inside_last"][f["inside_last"]] + m.weights["inside_second"][f["inside_second"]])
 
 
-def gradients(encoded: DataFrame, model_on: Broadcast, first: bool) -> DataFrame:
-    """part (table), row, o0.. observed and e0.. expected counts, summed over all documents of encoded (outs).
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each run of equal values, run of each place) of a sorted array."""
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
-    In the first round every context weight is 0, so what is expected follows from the row's total
-    and is left out. The table of outputs inside classes has one feature a token, so the first
-    round's counts give it in closed form (see _moved); later rounds move the class tables, whose
-    features overlap.
-    """
-    tables = _TABLES if first else _TABLES[:-1]
-    names = [f"{x}{i}" for x in ("o" if first else "oe") for i in range(WIDTH)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_on.value
-        observed = {t: np.zeros(_ROWS[t] * WIDTH) for t in tables}
-        expected = {t: np.zeros((_ROWS[t], WIDTH)) for t in tables if not first}
-        for frame in frames:
-            for flat, at, _ in _flat([np.asarray(x, np.int16) for x in frame["outs"]]):
-                target = flat[at].astype(np.int64)
-                classes, f = target >> 5, _features(flat, at)
-                upper = None if first else _class_shares(model, f)
-                for t in tables:
-                    own = target & (WIDTH - 1) if t == "inside" else classes
-                    observed[t] += np.bincount(f[t].astype(np.int64) * WIDTH + own, minlength=len(observed[t]))
-                    if not first:
-                        _sum_rows(expected[t], f[t], upper)
+def _sum_rows(table: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """table[index] += rows, by sorting."""
+    order = np.argsort(index, kind="stable")
+    first, _ = _runs(index[order])
+    table[index[order][first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def expected(told: DataFrame, model_on: Broadcast, observed: bool) -> DataFrame:
+    """part (table), row, x0..: what the model expects in each row, summed over the contexts told; or, with observed, what is there."""
+    m = model_on.value
+    names = [f"x{i}" for i in range(m.sizes.classes)]
+    tables = list(_STEPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        m = model_on.value
+        width = m.sizes.classes
+        sums = {t: np.zeros((m.sizes.rows(t), width), np.float64) for t in tables}
+        used = {t: np.zeros(m.sizes.rows(t), bool) for t in tables}
+
+        def add(parts: list[pa.RecordBatch]) -> None:
+            context, out, n = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
+            order = np.lexsort((out, context))
+            context, out, n = context[order], out[order].astype(np.int64), n[order].astype(np.float64)
+            first, run_ = _runs(context)
+            at, total = context[first], np.add.reduceat(n, first)
+            classes = out // width
+            if observed:
+                upper = np.bincount(run_ * width + classes, weights=n, minlength=len(at) * width).reshape(-1, width)
+            else:
+                upper = _class_shares(m, at) * total[:, None]
+            for t, rows in class_features(m.sizes, at).items():
+                _sum_rows(sums[t], rows, upper)
+                used[t][rows] = True
+            first, run_ = _runs(run_ * width + classes)
+            at, own, total = context[first], classes[first], np.add.reduceat(n, first)
+            if observed:
+                lower = np.bincount(run_ * width + out % width, weights=n, minlength=len(at) * width).reshape(-1, width)
+            else:
+                lower = _inside_shares(m, at, own) * total[:, None]
+            for t, rows in inside_features(m.sizes, at, own).items():
+                _sum_rows(sums[t], rows, lower)
+                used[t][rows] = True
+
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK // 3:
+                add(parts)
+                parts, size = [], 0
+        if size:
+            add(parts)
         for i, t in enumerate(tables):
-            o = observed[t].reshape(-1, WIDTH)
-            used = np.flatnonzero(o.any(1))
-            if len(used):
-                out = pd.DataFrame(np.concatenate([o[used]] if first else [o[used], expected[t][used]], 1).astype(np.float32), columns=names)
-                out.insert(0, "row", used)
-                out.insert(0, "part", np.int32(i))
-                yield out
-
-    sums = encoded.select("outs").mapInPandas(run, "part int, row long, " + ", ".join(f"{c} float" for c in names))
+            rows = np.flatnonzero(used[t])
+            for lo in range(0, len(rows), 4096):
+                some = rows[lo : lo + 4096]
+                values = sums[t][some].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some), *[pa.array(values[:, k]) for k in range(width)]], names=["part", "row", *names])
+
+    sums = told.select("context", "out", "n").mapInArrow(run, "part int, row long, " + ", ".join(f"{c} float" for c in names))
     return sums.groupBy("part", "row").agg(*[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in names])
 
 
-def _moved(model: Model, sums: pd.DataFrame, first: bool) -> Model:
-    """model after a round.
+def _gathered(sums: DataFrame, sizes: Sizes) -> dict[str, np.ndarray]:
+    """The sums as tables; bounded by the tables' sizes."""
+    found = sums.toPandas()
+    out = {}
+    for i, t in enumerate(_STEPS):
+        mine = found[found["part"] == i]
+        out[t] = np.zeros((sizes.rows(t), sizes.classes))
+        out[t][mine["row"].to_numpy()] = mine.iloc[:, 2:].to_numpy(np.float64)
+    return out
 
-    The move of the table inside classes is neither damped by STEP nor cut off: it makes
-    p(output | class, last) = (observed + DAMP * share) / (total + DAMP), the counts smoothed by the
-    output's share of the class.
-    """
-    weights = dict(model.weights)
-    for i, t in enumerate(_TABLES if first else _TABLES[:-1]):
-        mine = sums[sums["part"] == i]
-        rows, o = mine["row"].to_numpy(), mine.iloc[:, 2 : 2 + WIDTH].to_numpy(np.float64)
-        if first:
-            share = np.exp(model.inside_bias.astype(np.float64))[rows % CLASSES] if t == "inside" else np.exp(model.class_bias.astype(np.float64))[None, :]
-            e = o.sum(1, keepdims=True) * share
-        else:
-            e = mine.iloc[:, 2 + WIDTH :].to_numpy(np.float64)
+
+def moved(weights: dict[str, np.ndarray], observed: dict[str, np.ndarray], expected_: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights after a round: each moves by its table's share of log(observed / expected), both smoothed by DAMP counts that fall as expected."""
+    out = {}
+    for t, w in weights.items():
+        e = expected_[t]
         damp = DAMP * e / np.maximum(e.sum(1, keepdims=True), 1e-9) + 1e-9
-        new = weights[t].copy()
-        move = np.log((o + damp) / (e + damp))
-        new[rows] += (move if t == "inside" else np.clip(move, -3, 3) * STEP).astype(np.float32)
-        weights[t] = new
-    return replace(model, weights=weights)
+        out[t] = (w + _STEPS[t] * np.log((observed[t] + damp) / (e + damp))).astype(np.float32)
+    return out
 
 
-def encode(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text but with n_tokens, outs, and what of the score needs no context.
+def prepare(docs: DataFrame) -> Model:
+    """Token counts of all texts, outputs and unconditional probabilities; every context weight is 0.
 
-    known_heavy, logs_heavy: tokens among the heavy ones and the sum of log10(count + 1) over them;
-    logs_rare: log10 of what p(token | output) has without the joined counts; rare_keys, rare_times:
-    the other tokens, whose counts are joined.
+    Tasks hold the counts of the tokens above the least count that at most HEAVY tokens exceed; all
+    of one count or none, by a histogram of counts. Of tokens with equal counts those with smaller
+    hashes have outputs of their own.
     """
-    kept = [c for c in docs.columns if c != "text"]
-    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, memory = shared.value, TokenKeys()
-        for frame in frames:
-            rows = []
-            for t in frame["text"]:
-                keys, inverse, times = np.unique(token_keys([*words(t), END], memory), return_inverse=True, return_counts=True)
-                outs, counts = m.outputs(keys)
-                heavy, rare_out = counts >= 0, outs >= FREQUENT
-                logs = np.log10(counts[heavy] + 1.0) * times[heavy]
-                in_rare = rare_out[heavy]
-                rows.append((len(inverse), outs[inverse].astype(np.int16), int(times[heavy].sum()), logs.sum(), logs[in_rare].sum() - (m.rare_scale[outs[rare_out] - FREQUENT] * times[rare_out]).sum(), keys[~heavy], times[~heavy].astype(np.int32)))
-            out = frame[kept].copy()
-            for name, column in zip(("n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "rare_keys", "rare_times"), zip(*rows, strict=True), strict=True):
-                out[name] = list(column)
-            yield out
-
-    return docs.select(*kept, "text").mapInPandas(run, f"{schema}, n_tokens long, outs array<smallint>, known_heavy long, logs_heavy double, logs_rare double, rare_keys array<long>, rare_times array<int>")
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS, encoded: DataFrame | None = None, model: Model | None = None) -> Model:
-    """Learns from all rows of docs (text). See prepare() and train()."""
-    model = model or prepare(docs)
-    return train(model, encoded if encoded is not None else cut(encode(docs.select("text"), model).select("outs"), "outs"), rounds)
-
-
-def prepare(docs: DataFrame) -> Model:
-    """Token counts of all texts, outputs and unconditional probabilities; every context weight is 0."""
     counts = cut(token_counts(docs.select(F.col("text").alias("t"))), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    heavy = counts.orderBy(F.desc("n"), "key").limit(HEAVY).toPandas()
-    keys, n = heavy["key"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64)
-    outputs = np.full(len(keys), -1, np.int64)
-    outputs[:FREQUENT] = np.arange(min(FREQUENT, len(keys)))
-    mass = np.zeros(OUTPUTS)
-    mass[: min(FREQUENT, len(keys))] = n[:FREQUENT]
-    own = {int(k) for k in keys[:FREQUENT]}
-    bucket = F.col("key").bitwiseAND(0xFF)
-    by_bucket = {r.b: (r.n, r.v) for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    rare, kinds = np.zeros(RARE_OUTPUTS), np.zeros(RARE_OUTPUTS)
-    for b, (s, v) in by_bucket.items():
-        rare[b], kinds[b] = s, v
-    for k, c in zip(keys[:FREQUENT], n[:FREQUENT], strict=True):
-        rare[int(k) & 0xFF] -= c
-        kinds[int(k) & 0xFF] -= 1
-    mass[FREQUENT:] = rare
-    assert len(own) == min(FREQUENT, len(keys))
-    share = (mass + 0.5).reshape(CLASSES, WIDTH)
-    order = np.argsort(keys)
+    sizes = sizes_for(distinct)
+    # exact bins for small counts, narrow ones above
+    bin_ = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096) + F.floor((F.log2("n") - 12) * 64)).cast("long")
+    above, least = 0, None
+    for r in sorted(counts.groupBy(bin_.alias("b")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        above += r.v
+        if above > HEAVY:
+            break
+        least = r.b
+    heavy = counts.where(bin_ >= least) if least is not None else counts.limit(0)
+    held = heavy.toPandas().sort_values(["n", "key", "key2"], ascending=[False, True, True])
+    n, frequent = held["n"].to_numpy(np.int64), min(sizes.frequent, len(held))
+    outputs = np.full(len(held), -1, np.int64)
+    outputs[:frequent] = np.arange(frequent)
+    mass = np.zeros(sizes.outputs)
+    mass[:frequent] = n[:frequent]
+    rare, kinds = np.zeros(sizes.rare), np.zeros(sizes.rare)
+    bucket = F.col("suffix") % sizes.rare
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        rare[r.b], kinds[r.b] = r.n, r.v
+    own = held["suffix"].to_numpy(np.int64)[:frequent] % sizes.rare
+    np.subtract.at(rare, own, n[:frequent])
+    np.subtract.at(kinds, own, 1)
+    mass[sizes.frequent :] = rare
+    share = (mass + 0.5).reshape(sizes.classes, sizes.classes)
+    keys = held[["key", "key2"]].to_numpy(np.int64).reshape(-1, 2)
+    order = np.argsort(keys[:, 0], kind="stable")
+    rest = counts.where(bin_ < least) if least is not None else counts
     return Model(
-        counts, int(total), int(distinct), keys[order], n[order], outputs[order], np.log10(rare + kinds + 1),
+        rest.select("key", "key2", "n"), sizes, int(total), int(distinct), keys[order], n[order], outputs[order], np.log10(rare + kinds + 1),
         np.log(share.sum(1) / share.sum()).astype(np.float32), np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
-        {t: np.zeros((rows, WIDTH), np.float32) for t, rows in _ROWS.items()},
+        {t: np.zeros((sizes.rows(t), sizes.classes), np.float32) for t in _STEPS},
     )
 
 
 def train(model: Model, encoded: DataFrame, rounds: int = ROUNDS) -> Model:
-    """rounds gradient updates over all documents of encoded (outs), from a model without context weights."""
-    for i in range(rounds):
-        shared = encoded.sparkSession.sparkContext.broadcast(model.shared())
-        model = _moved(model, gradients(encoded, shared, i == 0).toPandas(), i == 0)
+    """rounds gradient updates over all documents of encoded (outs)."""
+    told = cut(contexts(encoded, model.sizes.outputs + 1), "contexts")
+    share = encoded.sparkSession.sparkContext.broadcast
+    observed = _gathered(expected(told, share(model.shared()), True), model.sizes) if rounds else {}
+    for _ in range(rounds):
+        model = replace(model, weights=moved(model.weights, observed, _gathered(expected(told, share(model.shared()), False), model.sizes)))
     return model
 
 
+def log_probabilities(m: Model, keys: np.ndarray) -> np.ndarray:
+    """log10 of p(class | before) * p(output | class, before) for keys as of _contexts_of()."""
+    base, width = m.sizes.outputs + 1, m.sizes.classes
+    different, back = np.unique(keys, return_inverse=True)
+    context, out = different // base, different % base
+    first, run_ = _runs(context)
+    upper = np.log(np.maximum(_class_shares(m, context[first])[run_, out // width], 1e-30))
+    first, run_ = _runs(context * width + out // width)
+    lower = np.log(np.maximum(_inside_shares(m, context[first], out[first] // width)[run_, out % width], 1e-30))
+    return ((upper + lower) / np.log(10))[back]
+
+
 def score(encoded: DataFrame, model: Model) -> DataFrame:
     """encoded's other columns with n_tokens, n_known, base_score and score (log10 of the whole text's probability)."""
-    own = ["n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "rare_keys", "rare_times"]
+    own = ["n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "keys", "keys2", "times"]
     kept = [c for c in encoded.columns if c not in [*own, "row"]]
     shared = encoded.sparkSession.sparkContext.broadcast(model.shared())
 
     @F.pandas_udf("double")
     def in_context(outs: pd.Series) -> pd.Series:
         m, total = shared.value, np.zeros(len(outs))
-        for flat, at, owner in _flat([np.asarray(x, np.int16) for x in outs]):
-            target = flat[at].astype(np.int64)
-            classes = target >> 5
-            upper, lower = _forward(m, _features(flat, at), classes)
-            i = np.arange(len(at))
-            p = np.log10(np.maximum(upper[i, classes], 1e-30)) + np.log10(np.maximum(lower[i, target & (WIDTH - 1)], 1e-30))
-            total += np.bincount(owner, weights=p, minlength=len(total))
+        documents = [np.asarray(x, np.int64) for x in outs]
+        for lo, hi in _pieces(documents):
+            keys, owner = _contexts_of(documents[lo:hi], m.sizes.outputs + 1)
+            total[lo:hi] = np.bincount(owner, weights=log_probabilities(m, keys), minlength=hi - lo)
         return pd.Series(total)
 
-    pairs = encoded.select("row", F.explode(F.arrays_zip("rare_keys", "rare_times")).alias("r")).select("row", F.col("r.rare_keys").alias("key"), F.col("r.rare_times").alias("times"))
-    found = pairs.join(model.counts, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
+    pairs = encoded.select("row", F.explode(F.arrays_zip("keys", "keys2", "times")).alias("r")).select("row", F.col("r.keys").alias("key"), F.col("r.keys2").alias("key2"), "r.times")
+    found = pairs.join(model.counts, ["key", "key2"]).groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     lone = F.coalesce("logs", F.lit(0.0))
     smooth = float(np.log10(model.total + model.distinct + 1))
     return encoded.withColumn("in_context", in_context("outs")).join(found, "row", "left").select(
@@ -343,9 +486,10 @@ def score_documents(docs: DataFrame, learn: Column, rounds: int = ROUNDS) -> tup
     of these names, and row, outs and those of encode(), are replaced. A null text is as an empty
     one: the end token alone. Repeated rows count and are scored as often as they stand there.
     Without a row to learn from every token is unseen and both scores are those of no counts. An
-    empty table gives an empty table. Tokens longer than any bound are hashed whole.
+    empty table gives an empty table. Texts and tokens of any length are taken whole. Ties: see
+    prepare().
     """
-    own = ["row", "n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "rare_keys", "rare_times", "n_known", "train_tokens", "base_score", "score", "learn"]
+    own = ["row", "n_tokens", "outs", "known_heavy", "logs_heavy", "logs_rare", "keys", "keys2", "times", "n_known", "train_tokens", "base_score", "score", "learn"]
     base = docs.drop(*own)
     model = prepare(base.where(learn))
     encoded = cut(encode(base.withColumn("learn", F.coalesce(learn, F.lit(False))), model).withColumn("row", F.monotonically_increasing_id()), "encoded")
