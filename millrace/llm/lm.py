@@ -19,6 +19,7 @@ so the vocabulary may have any size.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -40,6 +41,8 @@ HEAVY = 200_000
 ROUNDS, DAMP = 4, 25.0
 #: Tokens scored at a time; distinct tokens, or contexts with outputs, counted before they are passed on; tokens remembered by a task.
 CHUNK, COUNTED, CONTEXTS, REMEMBERED = 300_000, 500_000, 1_000_000, 150_000
+#: Contexts with outputs that a task of a round takes, about.
+TASK_CONTEXTS = 3_000_000
 #: The end of a text, which no word can be.
 END = b"\n"
 #: Share of a move that a table makes: one over the number of features of its softmax.
@@ -432,6 +435,8 @@ def prepare(docs: DataFrame) -> Model:
 def train(model: Model, encoded: DataFrame, rounds: int = ROUNDS) -> Model:
     """rounds gradient updates over all documents of encoded (outs)."""
     told = cut(contexts(encoded, model.sizes.outputs + 1), "contexts")
+    # every task passes on whole tables, so a task is worth its shuffle only with many contexts
+    told = told.coalesce(max(1, math.ceil(told.count() / TASK_CONTEXTS)))
     share = encoded.sparkSession.sparkContext.broadcast
     observed = _gathered(expected(told, share(model.shared()), True), model.sizes) if rounds else {}
     for _ in range(rounds):
