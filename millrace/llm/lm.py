@@ -40,9 +40,9 @@ HEAVY = 200_000
 #: Gradient rounds; what is added to expected counts.
 ROUNDS, DAMP = 4, 25.0
 #: Tokens scored at a time; distinct tokens, or contexts with outputs, counted before they are passed on; tokens remembered by a task.
-CHUNK, COUNTED, CONTEXTS, REMEMBERED = 300_000, 500_000, 1_000_000, 150_000
+CHUNK, COUNTED, CONTEXTS, REMEMBERED = 300_000, 500_000, 2_000_000, 150_000
 #: Contexts with outputs that a task of a round takes, about.
-TASK_CONTEXTS = 3_000_000
+TASK_CONTEXTS = 6_000_000
 #: The end of a text, which no word can be.
 END = b"\n"
 #: Share of a move that a table makes: one over the number of features of its softmax.
@@ -85,9 +85,9 @@ def sizes_for(distinct: int) -> Sizes:
 
 
 def token_keys(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits of each token's hash as two longs, and 15 bits of a hash of its last two bytes."""
+    """64 and 32 bits of each token's hash, and 15 bits of a hash of its last two bytes."""
     both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, tokens)), ">i8").reshape(-1, 2).astype(np.int64)
-    return both[:, 0], both[:, 1], np.fromiter((xxhash.xxh3_64_intdigest(t[-2:]) & 0x7FFF for t in tokens), np.int64, len(tokens))
+    return both[:, 0], both[:, 1] >> 32, np.fromiter((xxhash.xxh3_64_intdigest(t[-2:]) & 0x7FFF for t in tokens), np.int64, len(tokens))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
         def out() -> pd.DataFrame:
             key, key2, suffix = token_keys(list(counts))
-            return pd.DataFrame({"key": key, "key2": key2, "suffix": suffix, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+            return pd.DataFrame({"key": key, "key2": key2.astype(np.int32), "suffix": suffix.astype(np.int16), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
         for frame in frames:
             for t in frame["t"]:
@@ -110,7 +110,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 counts[END] += len(frame)
         yield out()
 
-    return texts.mapInPandas(run, "key long, key2 long, suffix long, n long").groupBy("key", "key2", "suffix").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(run, "key long, key2 int, suffix smallint, n long").groupBy("key", "key2", "suffix").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -205,10 +205,10 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 listed = lambda x, offsets=ends: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))
                 columns = [batch.column(i)[lo:hi] for i in range(len(kept))]
                 columns += [pa.array(size), listed(output[numbers].astype(np.int32), upto), pa.array(per_doc(held[numbers]).astype(np.int64)), pa.array(per_doc(log[numbers])), pa.array(per_doc(inside[numbers]))]
-                columns += [listed(key[at]), listed(key2[at]), listed(times.astype(np.int32))]
+                columns += [listed(key[at]), listed(key2[at].astype(np.int32)), listed(times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    types = "n_tokens long, outs array<int>, known_heavy long, logs_heavy double, logs_rare double, keys array<long>, keys2 array<long>, times array<int>"
+    types = "n_tokens long, outs array<int>, known_heavy long, logs_heavy double, logs_rare double, keys array<long>, keys2 array<int>, times array<int>"
     return docs.select(*kept, "text").mapInArrow(run, f"{schema}, {types}" if schema else types)
 
 
@@ -230,38 +230,46 @@ def _pieces(documents: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 def contexts(encoded: DataFrame, base: int) -> DataFrame:
     """context (second * base + last), out, n: how often each output follows each context in encoded (outs)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
-        n_waiting = 0
 
         def merge() -> None:
-            nonlocal keys, counts, waiting, n_waiting
-            if waiting:
-                new, times = np.unique(np.concatenate(waiting), return_counts=True)
-                both = np.concatenate([keys, new])
-                order = np.argsort(both, kind="stable")
-                both, n = both[order], np.concatenate([counts, times])[order]
-                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                keys, counts = both[first], np.add.reduceat(n, first)
-                waiting, n_waiting = [], 0
-
-        for frame in frames:
-            documents = [np.asarray(x, np.int64) for x in frame["outs"]]
+            nonlocal keys, counts
+            new, times = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            both = np.concatenate([keys, new])
+            order = np.argsort(both, kind="stable")
+            both, n = both[order], np.concatenate([counts, times])[order]
+            first, _ = _runs(both)
+            keys, counts = both[first], np.add.reduceat(n, first)
+
+        def packed() -> pa.RecordBatch:
+            """A row for each context: less to shuffle than one for each of its outputs."""
+            nonlocal keys, counts
+            first, _ = _runs(keys // base)
+            offsets = pa.array(np.append(first, len(keys)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (keys % base, counts)]
+            context = pa.array(keys[first] // base)
+            keys, counts = keys[:0], counts[:0]
+            return pa.RecordBatch.from_arrays([context, *lists], names=["context", "outs", "ns"])
+
+        for batch in frames:
+            documents = [np.asarray(x.values, np.int64) for x in batch.column(0)]
             for lo, hi in _pieces(documents):
                 waiting.append(_contexts_of(documents[lo:hi], base)[0])
-                n_waiting += len(waiting[-1])
-                if n_waiting >= CONTEXTS:
+                if sum(map(len, waiting)) >= CONTEXTS:
                     merge()
                     if len(keys) >= CONTEXTS:
-                        yield pd.DataFrame({"context": keys // base, "out": (keys % base).astype(np.int32), "n": counts})
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        merge()
+                        yield packed()
+        if waiting:
+            merge()
         if len(keys):
-            yield pd.DataFrame({"context": keys // base, "out": (keys % base).astype(np.int32), "n": counts})
+            yield packed()
 
-    told = encoded.select("outs").mapInPandas(run, "context long, out int, n long")
-    return told.repartition("context").groupBy("context", "out").agg(F.sum("n").alias("n")).sortWithinPartitions("context")
+    told = encoded.select("outs").mapInArrow(run, "context long, outs array<int>, ns array<int>").repartition("context")
+    told = told.select("context", F.explode(F.arrays_zip("outs", "ns")).alias("o")).select("context", F.col("o.outs").alias("out"), F.col("o.ns").cast("long").alias("n"))
+    return told.groupBy("context", "out").agg(F.sum("n").alias("n")).sortWithinPartitions("context")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
