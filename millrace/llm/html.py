@@ -1,14 +1,17 @@
 """Main text of web pages, with a suffix array per host for boilerplate.
 
-A page is read into blocks of text. Elements that are never main text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) go by their tag, role or name, and where a page has an
-article or main element the rest is outside it. Then the token streams of a host's pages are laid
-end to end, prefix doubling sorts their suffixes by the first RUN tokens, and runs that stand on
-nearly all different pages of the host are boilerplate: their tokens go, the runs between stay. A
-passage that some pages share, or a page that is there twice, is not boilerplate.
-
-Pages are dealt by host and, within a host, at random into shards of about SHARD_PAGES pages, so a
-host of any size is many small tasks; what is on most pages of a host is on most pages of a shard.
+A page is read into blocks of text. Elements that never hold main text (menus, scripts, forms, what
+is named an advert, a notice, reader comments and so on) are left out, and where a page has an
+article or main element the rest is outside it. Names say little on most sites, so the token streams
+of a host's different pages are laid end to end and their suffixes sorted by prefix doubling; the
+intervals of suffixes with RUN common tokens or more are the long substrings that pages share. Those
+on at least LEAST_PAGES pages and LEAST_SHARE of the host's are boilerplate: every token that they
+cover goes, the runs between stay. Any longer repeat is covered by its runs of RUN tokens, so
+doubling stops there.
+
+A host of any size is dealt into shards by bytes. A run that enough of a host's pages hold is on as
+large a share of the pages of some shard; these candidates are counted over all shards, so the
+result is the same for any shard size.
 """
 
 from __future__ import annotations
@@ -16,18 +19,24 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import WordHashes, cut, shingle_hashes, word_hashes
 from millrace.llm.urls import host_of
 
-#: Pages of a shard, about; hosts of more than one shard that are broadcast, at most (beyond: a shuffled join).
-SHARD_PAGES, BROADCAST_HOSTS = 256, 100_000
-#: Tokens of a boilerplate run at least; different pages that hold it at least, as a number and as a share of the shard's.
-RUN, LEAST_PAGES, LEAST_SHARE = 8, 10, 0.8
+#: Characters of a shard's texts, about; runs of all hosts that are broadcast, at most (beyond: a shuffled join).
+SHARD_CHARS, BROADCAST_RUNS = 8_000_000, 1_000_000
+#: Tokens of a boilerplate run at least; different pages that hold it at least, as a number and as a share of the host's.
+RUN, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.5
+#: Texts that a task remembers in order to pass copies on once.
+SEEN = 500_000
 
 #: Elements and names that never hold main text, and elements that begin a block.
 DROP_TAGS = frozenset("nav header footer aside form head title noscript template button select option textarea iframe svg math object canvas audio video dialog menu map fieldset label".split())
@@ -49,6 +58,15 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+#: What names of parts of the main text itself begin with.
+OWN_NAMES = re.compile(r"(?:article|post|entry|story|content)[-_]")
+
+
+def _named_away(value: str) -> bool:
+    """Whether one of an element's names, but for those that name a part of the article, is that of something else."""
+    return any(DROP_NAMES.search(name) and not OWN_NAMES.match(name) for name in value.split())
+
+
 def _dropped(tag: str, attributes: str) -> bool:
     if tag in DROP_TAGS:
         return True
@@ -57,7 +75,7 @@ def _dropped(tag: str, attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
-        if name == "role" and value in DROP_ROLES or name in ("class", "id") and DROP_NAMES.search(value) or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in DROP_ROLES or name in ("class", "id") and _named_away(value) or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
@@ -97,6 +115,9 @@ def blocks(page: str | None) -> list[str]:
                     if t == tag:
                         break
         elif not attributes.endswith("/"):
+            if tag in LOOSE_TAGS and open_tags and open_tags[-1][0] == tag:  # left out by its name and never closed: the next one ends it
+                _, d, m = open_tags.pop()
+                dropped, main = dropped - d, main - m
             drop = _dropped(tag, attributes)
             if drop or tag in BLOCK_TAGS and tag not in LOOSE_TAGS:
                 is_main = tag in ("article", "main") or "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None
@@ -109,73 +130,139 @@ def blocks(page: str | None) -> list[str]:
     return [t for _, t in found]
 
 
-def boilerplate(pages: list[list[str]], least: int) -> list[np.ndarray]:
-    """For each page (its tokens), which tokens lie in a run of RUN tokens that least different pages hold."""
-    ids: dict[str, int] = {}
-    streams, owner, copies = [], [], {}
-    for i, page in enumerate(pages):
-        stream = np.fromiter((ids.setdefault(t, len(ids)) for t in page), np.int64, len(page))
-        streams.append(stream)
-        owner.append(copies.setdefault(stream.tobytes(), i))  # a page that is there twice counts once
-    marks = [np.zeros(len(s), bool) for s in streams]
-    if len(set(owner)) < least:
-        return marks
-    # end to end, each stream closed by a token of its own
-    flat = np.concatenate([np.append(s, -1 - i) for i, s in enumerate(streams)])
-    page_of = np.repeat(owner, [len(s) + 1 for s in streams])
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    while size < RUN:
+def repeated_runs(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of streams that hold it) of every run of RUN tokens (given as hashes) of different streams."""
+    streams = [x for x in streams if len(x) >= RUN]
+    if not streams:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # end to end; the suffixes of fewer than RUN tokens of each stream start no run
+    flat = np.concatenate(streams)
+    size = np.fromiter(map(len, streams), np.int64, len(streams))
+    page = np.repeat(np.arange(len(streams)), size)
+    rank, width = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
+    while width < RUN:
         ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-size] = rank[size:]
+        ahead[:-width] = rank[width:]
         rank = np.unique(rank * (len(rank) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-    order = np.lexsort((page_of, rank))  # the suffix array by the first RUN tokens
-    r, p = rank[order], page_of[order]
+        width *= 2
+    whole = np.arange(len(flat)) + RUN <= np.repeat(np.cumsum(size), size)
+    order = np.flatnonzero(whole)
+    order = order[np.lexsort((page[order], rank[order]))]  # the suffix array by the first RUN tokens
+    r, p = rank[order], page[order]
     new_run = np.concatenate([[True], r[1:] != r[:-1]])
     new_page = new_run | np.concatenate([[True], p[1:] != p[:-1]])
-    held = np.bincount(np.cumsum(new_run) - 1, weights=new_page)  # different pages of each interval
-    common = np.zeros(len(flat), bool)
-    common[order] = (held >= least)[np.cumsum(new_run) - 1]
-    common[flat < 0] = False
-    cover = np.zeros(len(flat) + RUN, np.int64)
-    starts = np.flatnonzero(common)
-    cover[starts] += 1
-    np.add.at(cover, starts + RUN, -1)
-    covered = np.cumsum(cover)[: len(flat)] > 0
-    at = 0
-    for i, s in enumerate(streams):
-        marks[i] = covered[at : at + len(s)]
-        at += len(s) + 1
-    return marks
-
-
-def texts_of(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
-    tokens = [" ".join(blocks(p)).split(" ") for p in pages]
-    tokens = [[] if t == [""] else t for t in tokens]
-    different = len({tuple(t) for t in tokens})
-    least = max(LEAST_PAGES, math.ceil(LEAST_SHARE * different))
-    return [" ".join(t for t, c in zip(page, gone, strict=True) if not c) if gone.any() else " ".join(page) for page, gone in zip(tokens, boilerplate(tokens, least), strict=True)]
-
-
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of pages (page_id, url, html; other columns are ignored).
+    held = np.bincount(np.cumsum(new_run) - 1, weights=new_page).astype(np.int64)  # different pages of each interval
+    return shingle_hashes(flat, RUN)[order[new_run]], held
 
-    A null or empty html, and one without main text, gives an empty text. A null url, or one without
-    a host, belongs to the host ''. Character references are decoded, white space inside a block is
-    one space, and blocks are joined by one space in page order. Repeated rows give repeated rows.
-    """
-    base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    many = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_PAGES).select("host", F.ceil(F.col("n") / SHARD_PAGES).alias("shards"))
-    if many.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        many = F.broadcast(many)
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    dealt = base.join(many, "host", "left").withColumn("shard", shard)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        text = texts_of(frame["html"].tolist())
-        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
+def covered(stream: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which tokens of a stream lie in one of these runs (hashes, sorted)."""
+    cover = np.zeros(len(stream) + 1, np.int64)
+    if len(stream) >= RUN and len(runs):
+        own = shingle_hashes(stream, RUN)
+        starts = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + RUN, -1)
+    return np.cumsum(cover)[:-1] > 0
 
+
+def _tokens(text: str | None) -> list[str]:
+    return text.split(" ") if text else []
+
+
+def _stream(text: str | None, memory: WordHashes) -> np.ndarray:
+    return word_hashes([t.encode("utf-8", "surrogatepass") for t in _tokens(text)], memory)
+
+
+def _different(texts: pd.Series) -> list[np.ndarray]:
+    """Streams of different texts."""
+    memory = WordHashes()
+    return [_stream(t, memory) for t in set(texts)]
+
+
+def block_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, text (its possible main text), page (hash of the text), first (whether this task meets the text first)."""
     id_type = pages.schema["page_id"].dataType.simpleString()
-    return dealt.groupBy("host", "shard").applyInPandas(run, f"page_id {id_type}, url string, text string, n_chars long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            texts = [" ".join(blocks(x.as_py())) for x in batch.column(3)]
+            hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts]
+            first = []
+            for key in zip(batch.column(2).to_pylist(), hashes, strict=True):
+                first.append(key not in seen)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+            columns = [*batch.columns[:3], pa.array(texts, pa.string()), pa.array(hashes, pa.int64()), pa.array(first, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "text", "page", "first"])
+
+    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    return rows.mapInArrow(run, f"page_id {id_type}, url string, host string, text string, page long, first boolean")
+
+
+def boilerplate(texts: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """host, run: hashes of the runs that enough different pages of a host hold. texts as of block_texts()."""
+    pages = texts.groupBy("host", "page").agg(F.max(F.length("text")).alias("chars"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.greatest(F.ceil(F.sum("chars") / shard_chars), F.lit(1)).alias("shards"))
+    hosts = cut(hosts.where(F.col("pages") >= LEAST_PAGES), "hosts")
+    if hosts.isEmpty():
+        return hosts.select("host", F.lit(0).cast("long").alias("run"))
+    few = F.broadcast(hosts) if hosts.count() <= BROADCAST_RUNS else hosts
+    dealt = texts.where("first").join(few, "host").select("host", "text", "pages", "shards", F.pmod("page", "shards").alias("shard"))
+
+    def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+        streams = _different(frame["text"])
+        runs, held = repeated_runs(streams)
+        one = frame["shards"].iloc[0] == 1
+        good = held >= (max(LEAST_PAGES, math.ceil(LEAST_SHARE * frame["pages"].iloc[0])) if one else math.ceil(LEAST_SHARE * len(streams)))
+        return pd.DataFrame({"host": frame["host"].iloc[0], "run": runs[good].view(np.int64), "whole": one})
+
+    found = cut(dealt.groupBy("host", "shard").applyInPandas(candidates, "host string, run long, whole boolean"), "runs")
+    done = found.where("whole").select("host", "run")
+    if hosts.where("shards > 1").isEmpty():
+        return done
+    asked = found.where("not whole").select("host", "run").distinct().join(hosts, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"host": [], "run": [], "n": []}).astype({"host": object, "run": "int64", "n": "int64"})
+        runs, held = repeated_runs(_different(left["text"]))
+        good = np.isin(runs, right["run"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({"host": left["host"].iloc[0], "run": runs[good].view(np.int64), "n": held[good]})
+
+    counted = dealt.where("shards > 1").groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(count, "host string, run long, n long")
+    total = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).join(hosts, "host")
+    enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.ceil(LEAST_SHARE * F.col("pages")))
+    return done.unionByName(total.where(enough).select("host", "run"))
+
+
+def _without(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    memory, out = WordHashes(), []
+    for text, gone in zip(texts, runs, strict=True):
+        marks = covered(_stream(text, memory), np.sort(np.asarray(gone, np.int64).view(np.uint64)))
+        out.append(" ".join(t for t, c in zip(_tokens(text), marks, strict=True) if not c) if marks.any() else text)
+    return pd.Series(out, dtype=object)
+
+
+def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """page_id, url, text, n_chars: one row for each row of pages (page_id, url, html; other columns, whatever their names, are ignored).
+
+    A null or empty html, and one without main text, gives an empty text. A null url, or one without
+    a host, belongs to the host ''. Character references are decoded, white space inside a block is
+    one space, and blocks are joined by one space in page order. Repeated rows give repeated rows;
+    pages of equal text count once as evidence, so a page under several urls is no boilerplate, nor
+    is anything on hosts of fewer than LEAST_PAGES different pages. Pages of any length are read
+    whole. An empty table gives an empty table.
+    """
+    texts = cut(block_texts(pages), "texts")
+    runs = cut(boilerplate(texts, shard_chars), "boilerplate")
+    out = lambda rows, text: rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    n = runs.count()
+    if not n:
+        return out(texts, F.col("text"))
+    lists = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    both = texts.join(F.broadcast(lists) if n <= BROADCAST_RUNS else lists, "host", "left")
+    clean = F.pandas_udf(_without, "string").asNondeterministic()
+    return out(both.where("runs is null"), F.col("text")).unionByName(out(both.where("runs is not null"), clean("text", "runs")))
