@@ -24,35 +24,54 @@ def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-OP2_SQL = r"""
+_NORMAL = r"regexp_replace(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), '^[[:punct:] ]+|[[:punct:] ]+$', '', 'g')"
+_SPOKEN = "len(list_filter(string_split({}, chr(10)), lambda y: " + _NORMAL.format("y") + " <> ''))"
+OP2_SQL = rf"""
 WITH RECURSIVE l AS (
   SELECT conv_id, turn, role, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS raw, row_number() OVER () AS row FROM conversations
 ), n AS (
   SELECT *, list_transform(raw, lambda x: len(regexp_replace(regexp_extract(x, '^(?:\s*>)+'), '[^>]', '', 'g'))) AS levels, list_transform(raw, lambda x: regexp_replace(x, '^(?:\s*>)+', '')) AS bodies FROM l
 ), e AS (
-  SELECT row, conv_id, turn, unnest(levels) AS level, unnest(bodies) AS body FROM n
+  SELECT row, conv_id, turn, unnest(levels) AS level, unnest(bodies) AS body, unnest(range(len(levels))) AS i FROM n WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), f AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY row ORDER BY i) THEN 1 ELSE 0 END AS new FROM e
+), g AS (
+  SELECT *, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM f
+), w AS (
+  SELECT row, conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY i) AS whole FROM g GROUP BY ALL
+), u AS (
+  SELECT row, conv_id, turn, run, level, 3 AS kind, whole AS t FROM w
+  UNION ALL SELECT row, conv_id, turn, run, level, 2, unnest(string_split_regex(whole, '\n\s*\n')) FROM w
+  UNION ALL SELECT row, conv_id, turn, run, level, 1, body FROM g
 ), p AS (
-  SELECT conv_id, turn, level, regexp_replace(trim(regexp_replace(lower(body), '\s+', ' ', 'g')), '^[[:punct:] ]+|[[:punct:] ]+$', '', 'g') AS passage FROM e WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  SELECT row, conv_id, turn, run, level, kind, {_NORMAL.format("t")} AS passage, {_SPOKEN.format("t")} AS n FROM u
 ), o AS (
   SELECT conv_id, passage, min(turn) AS origin FROM p WHERE level = 0 AND passage <> '' GROUP BY ALL
+), k AS (
+  SELECT q.*, CASE WHEN origin < q.turn THEN origin END AS origin FROM p q LEFT JOIN o USING (conv_id, passage) WHERE level > 0 AND passage <> ''
+), c AS (
+  SELECT *, max(kind) FILTER (origin IS NOT NULL) OVER (PARTITION BY row, run) AS best FROM k
 ), v AS (
-  SELECT q.conv_id, q.turn, level, CASE WHEN origin < q.turn THEN origin END AS origin, count(*) AS n FROM p q LEFT JOIN o USING (conv_id, passage) WHERE level > 0 AND passage <> '' GROUP BY ALL
+  SELECT conv_id, turn, level, origin, sum(n) AS n FROM c WHERE origin IS NOT NULL AND kind = best GROUP BY ALL
 ), totals AS (
-  SELECT conv_id, turn, sum(n) AS n_quoted, coalesce(sum(n) FILTER (origin IS NOT NULL), 0) AS n_linked, max(level) AS max_level FROM v GROUP BY ALL
+  SELECT conv_id, turn, sum(n) FILTER (kind = 3) AS n_quoted, sum(n) FILTER (origin IS NOT NULL AND kind = best) AS n_linked, max(level) AS max_level FROM c GROUP BY ALL
 ), best AS (
-  SELECT conv_id, turn, origin AS reply_to FROM v WHERE origin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1
+  SELECT conv_id, turn, origin AS reply_to FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1
 ), walk AS (
   SELECT conv_id, turn, reply_to AS root_turn, 1 AS depth FROM best
   UNION ALL
   SELECT w.conv_id, w.turn, b.reply_to, w.depth + 1 FROM walk w JOIN best b ON b.conv_id = w.conv_id AND b.turn = w.root_turn
 ), threads AS (
   SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM walk GROUP BY ALL
+), placed AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(root_turn, turn), coalesce(depth, 0), turn) AS position
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) LEFT JOIN threads USING (conv_id, turn)
 ), mine AS (
   SELECT row, list_filter(list_zip(levels, bodies), lambda x, i: x[1] = 0 AND NOT (regexp_matches(x[2], '(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$') AND i < len(levels) AND levels[i + 1] > 0)) AS own FROM n
 )
 SELECT n.conv_id, n.turn, role, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(array_to_string(list_transform(own, lambda x: x[2]), chr(10)), '^\s+|\s+$', '', 'g') END AS text, reply_to,
-  coalesce(root_turn, n.turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level
-FROM n LEFT JOIN mine USING (row) LEFT JOIN totals USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
+  coalesce(root_turn, n.turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth, position, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level
+FROM n LEFT JOIN mine USING (row) LEFT JOIN totals USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn) LEFT JOIN placed USING (conv_id, turn)
 """
 
 

@@ -1,5 +1,7 @@
 """Quotation linking and url filtering against their SQL and small cases by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.llm import queries, quotes, urls
@@ -35,6 +37,31 @@ def test_quotes_by_hand(spark):
     assert got[3, 0].text is None and got[None, 1].text == "b"
 
 
+def test_rewrapped_passages_and_threads(spark):
+    first = "One two three four\nfive six seven.\n\nYes"
+    rows = [(1, 0, first), (1, 1, "Yes"), (1, 2, "> one two three\n> four five six seven.\nAgreed"), (1, 3, ">> one two three four five six seven.\n>> yes\n> Agreed\nSo be it"), (1, 4, "> Yes\nWhich?"), (1, 5, "> no such line\n> Yes\n")]
+    got = {r.turn: (r.reply_to, r.root_turn, r.depth, r.position, r.n_quoted, r.n_linked) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    # a passage is found whole although its lines are broken elsewhere; "yes" is the first one's who says it
+    assert got == {0: (None, 0, 0, 1, 0, 0), 2: (0, 0, 1, 2, 2, 2), 4: (0, 0, 1, 3, 1, 1), 5: (0, 0, 1, 4, 2, 1), 3: (2, 0, 2, 5, 3, 3), 1: (None, 1, 0, 6, 0, 0)}
+
+
+def test_thousands_of_quoted_messages_equal_sql(spark, same_as_sql, tmp_path):
+    rng, rows = random.Random(3), []
+    for conv in range(60):
+        said = []
+        for turn in range(60 if conv else 800):
+            own = "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ".", "\n"]) for _ in range(rng.randrange(1, 5)))
+            quote = ""
+            if said and rng.random() < 0.7:
+                words = rng.choice(said).split(" ")
+                quote = "\n".join("> " + x for x in (" ".join(words) if rng.random() < 0.5 else "\n".join(words)).split("\n")) + "\n"
+            said.append(own)
+            rows.append((conv, turn, "r", quote + own))
+    rows += [rows[-1], (None, None, None, None), (1, 99, "r", ""), (1, 100, "r", "> " + "a b " * 50_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sum(1 for r in same_as_sql("op2_quote_linking", tmp_path) if r[4] is not None) > 1000
+
+
 def test_quotes_equal_sql(spark, sf_dir, same_as_sql, tmp_path):
     same_as_sql("op2_quote_linking", sf_dir)
     spark.createDataFrame(THREAD, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -62,11 +89,33 @@ def test_hosts_paths_and_rules(spark):
 
 
 def test_tree_generalises_merges_and_rejects(spark):
-    rows = [("h", [f"w{c}", "x"], 1, 0) for c in "abcdefghijklmnopqrstuvwxyz"]  # a wide level, all blocked
-    rows += [("g", ["a"], 50, 50), ("g", ["b"], 48, 52), ("g", ["c"], 90, 0), ("g", ["d"], 0, 0)]
-    got = {(r.host, tuple(r["shape"])): (tuple(r.template), r.purity) for r in urls.template_tree(spark.createDataFrame(rows, "host string, shape array<string>, blocked long, allowed long")).collect()}
+    rows = [("h", [f"w{c}", "x"], 1, 1, 0) for c in "abcdefghijklmnopqrstuvwxyz"]  # variable segments, all blocked
+    rows += [("g", ["a"], 100, 50, 50), ("g", ["b"], 100, 48, 52), ("g", ["c"], 90, 90, 0), ("g", ["d"], 9, 0, 0)]
+    rows += [("k", [f"s{i}"], 9, 9 * (i < 2), 0) for i in range(50)]  # many sections, two of them blocked
+    got = {(r.host, tuple(r["shape"])): (tuple(r.template), r.purity) for r in urls.template_tree(spark.createDataFrame(rows, "host string, shape array<string>, pages long, blocked long, allowed long")).collect()}
     assert got["h", ("wa", "x")] == (("*", "x"), 27 / 28)
-    assert got["g", ("c",)] == (("c",), 91 / 92) and got["g", ("d",)] == (("d",), 0.5)
+    assert got["g", ("c",)] == (("c",), 91 / 92) and got["g", ("d",)] == (("d",), None)
+    assert got["k", ("s7",)] == (("s7",), None) and got["k", ("s0",)] == (("~",), 19 / 20)
+
+
+#: Most users of h.org are blocked one by one; of i.org only a few.
+USER_RULES = [(f"{h}.org", f"/user/{c}", "block") for h, n in (("h", 20), ("i", 6)) for c in "abcdefghijklmnopqrstuvwxyz"[:n]] + [("org", "/about", "allow"), ("b.org", "/x", "block"), ("org", "/x/y", "allow"), ("c.b.org", "/", "allow")]
+
+
+def test_templates_decide_where_no_rule_fits(spark, tmp_path):
+    rows = [f"http://{h}.org/user/{c}/{i}" for h in "hi" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [f"http://h.org/news/{i}" for i in range(9)] + ["http://h.org/about", "http://b.org/x/y", "http://c.b.org/x", "http://h.org/" + "a/" * 30_000, "http://h.org/user/y/5", "http://h.org/user/z/5"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame, USER_RULES).collect()}
+    assert got[25] == (None, "block") and got[51] == (None, "allow")  # by their templates
+    assert all(got[i] == (None, "allow") for i in range(52, 61))
+    assert got[61] == ("org/about", "allow") and got[62] == ("b.org/x", "block") and got[63] == ("c.b.org/", "allow")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.execute(f"select page_id, rule, verdict from ({urls.oracle(USER_RULES)})").fetchall()
+    assert {i: (r, v) for i, r, v in want} == got
 
 
 def test_urls_equal_sql(spark, sf_dir, same_as_sql, tmp_path):
