@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from millrace.llm.common import WordHashes, cut, shingle_hashes, word_hashes
 from millrace.llm.urls import host_of
 
 #: Characters of a shard's texts, about; runs of all hosts that are broadcast, at most (beyond: a shuffled join).
-SHARD_CHARS, BROADCAST_RUNS = 8_000_000, 1_000_000
+SHARD_CHARS, BROADCAST_RUNS = 1_000_000, 1_000_000
 #: Tokens of a boilerplate run at least; different pages that hold it at least, as a number and as a share of the host's.
 RUN, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.5
 #: Texts that a task remembers in order to pass copies on once.
@@ -174,10 +175,18 @@ def _stream(text: str | None, memory: WordHashes) -> np.ndarray:
     return word_hashes([t.encode("utf-8", "surrogatepass") for t in _tokens(text)], memory)
 
 
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of a shard in a batch as one compressed row: less to shuffle than a row each."""
+    for frame in frames:
+        for (host, shard), part in frame.groupby(["host", "shard"], dropna=False):
+            texts = "\n".join(part["text"]).encode("utf-8", "surrogatepass")  # no text holds a line break
+            yield pd.DataFrame({"host": [host], "shard": [shard], "pages": [part["pages"].iloc[0]], "shards": [part["shards"].iloc[0]], "texts": [zstandard.compress(texts)]})
+
+
 def _different(texts: pd.Series) -> list[np.ndarray]:
-    """Streams of different texts."""
+    """Streams of the different texts in packed rows."""
     memory = WordHashes()
-    return [_stream(t, memory) for t in set(texts)]
+    return [_stream(t, memory) for t in {t for x in texts for t in zstandard.decompress(x).decode("utf-8", "surrogatepass").split("\n")}]
 
 
 def block_texts(pages: DataFrame) -> DataFrame:
@@ -211,9 +220,10 @@ def boilerplate(texts: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
         return hosts.select("host", F.lit(0).cast("long").alias("run"))
     few = F.broadcast(hosts) if hosts.count() <= BROADCAST_RUNS else hosts
     dealt = texts.where("first").join(few, "host").select("host", "text", "pages", "shards", F.pmod("page", "shards").alias("shard"))
+    dealt = dealt.mapInPandas(_packed, "host string, shard long, pages long, shards long, texts binary")
 
     def candidates(frame: pd.DataFrame) -> pd.DataFrame:
-        streams = _different(frame["text"])
+        streams = _different(frame["texts"])
         runs, held = repeated_runs(streams)
         one = frame["shards"].iloc[0] == 1
         good = held >= (max(LEAST_PAGES, math.ceil(LEAST_SHARE * frame["pages"].iloc[0])) if one else math.ceil(LEAST_SHARE * len(streams)))
@@ -228,7 +238,7 @@ def boilerplate(texts: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"host": [], "run": [], "n": []}).astype({"host": object, "run": "int64", "n": "int64"})
-        runs, held = repeated_runs(_different(left["text"]))
+        runs, held = repeated_runs(_different(left["texts"]))
         good = np.isin(runs, right["run"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"host": left["host"].iloc[0], "run": runs[good].view(np.int64), "n": held[good]})
 
@@ -256,7 +266,7 @@ def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     is anything on hosts of fewer than LEAST_PAGES different pages. Pages of any length are read
     whole. An empty table gives an empty table.
     """
-    texts = cut(block_texts(pages), "texts")
+    texts = cut(block_texts(pages), "texts", "zstd")
     runs = cut(boilerplate(texts, shard_chars), "boilerplate")
     out = lambda rows, text: rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
     n = runs.count()
