@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: log2 of the number of hashed n-gram features.
 FEATURE_BITS = 15
-#: Labelled documents learned from, at most (those with the smallest hashes); and languages, at most.
+#: Labelled documents learned from, at most (chosen by hash); and languages, at most.
 TRAIN_DOCS, MAX_LANGS = 20_000, 1000
 #: A language needs this much more loss than the best one, or the answer counts as ambiguous.
 AMBIGUOUS_LOSS = 0.5
@@ -88,16 +88,19 @@ SHARPNESS = 4.0
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from rows with a text and a language; at most train_docs of them, those with the smallest hash of key.
+    """Learns from rows with a text and a language: all, or train_docs of them at most, those with a small hash of key and text.
+
+    Which rows these are follows from a count, so none are sorted; row order and ties play no part.
+    Repeated rows count as often as they stand there; very long texts count whole.
 
     The counts of (language, n-gram) are summed on Spark. What reaches the driver is bounded by
     MAX_LANGS x 2**FEATURE_BITS counts.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    order = F.xxhash64(F.col(key))
-    bound = rows.select(order.alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    if bound is None:
-        return Model([], np.ones((0, 1)), np.zeros((2**FEATURE_BITS, 1), np.float32), np.ones(1))
+    n = rows.count()
+    # four standard deviations below the bound, so that chance does not exceed it
+    share = 1.0 if n <= train_docs else max(train_docs - 4 * train_docs**0.5, 1) / n
+    chosen = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key, text), F.lit(2**40)) < int(share * 2**40))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -110,7 +113,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 f = np.flatnonzero(total)
                 yield pd.DataFrame({"l": name, "f": f.astype(np.int32), "n": total[f]})
 
-    counts = rows.where(order <= bound).select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInPandas(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+    counts = chosen.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInPandas(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     langs = sorted(found["l"].unique())
     if len(langs) > MAX_LANGS:
@@ -159,7 +162,9 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred, lang_score (0 to 1) and lang_ambiguous; columns of these names are replaced.
 
     A text that is null or has no letter is 'und' with score 0, not ambiguous; so is every text
-    when nothing was learned. Only the text is looked at, the whole of it. Rows are independent.
+    when nothing was learned. Only the text is looked at, the whole of it, however long. Rows are
+    independent, so repeated rows are judged alike; of languages with equal loss the first by name
+    wins and the answer is ambiguous. An empty table gives an empty table.
     """
     new = ["lang_pred", "lang_score", "lang_ambiguous"]
     base = df.drop(*new)
