@@ -6,12 +6,25 @@ totals of the partitions before as an offset. A group of any size is spread over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.stores import cut
 
 
+#: Numbers that exploded_range() makes from one row at a time.
+RANGE_BLOCK = 10_000
+
+
+def exploded_range(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """A row for each whole number from first to last, in two steps, so that a long range is dealt over tasks."""
+    blocks = rows.withColumns({"_first": first.cast("long"), "_last": last.cast("long")})
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - F.col("_first")) / RANGE_BLOCK))))
+    start = F.col("_first") + F.col("_block") * RANGE_BLOCK
+    dealt = blocks.withColumn("_start", start).repartition("_start")
+    return dealt.withColumn(name, F.explode(F.sequence("_start", F.least("_last", F.col("_start") + RANGE_BLOCK - 1)))).drop("_first", "_last", "_block", "_start")
+
+
 def running_sum(rows: DataFrame, group: list[str], order: list[str], measure: str, name: str) -> DataFrame:
     """rows with the sum of measure over the rows of the group that stand before, in the order; order has to be unique in a group."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

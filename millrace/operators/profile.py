@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.ranking import exploded_range
 from millrace.functions.scalar import bin_edge, bin_index
 
 
@@ -49,13 +50,21 @@ def merge(*profiles: DataFrame, measure: str = "n") -> DataFrame:
     return out.groupBy(*[c for c in out.columns if c != measure]).agg(F.sum(measure).alias(measure))
 
 
+#: Bins that gaps are filled over, at most.
+MAX_BINS = 100_000_000
+
+
 def gap_filled(profile: DataFrame, flags: list[str] | None = None) -> DataFrame:
     """Every bin from lowest to highest, missing ones with 0 (AGG4).
 
-    With flags, one range for all flags of a value, and zeros for flags without a hit (AGG5).
+    With flags, one range for all flags of a value, and zeros for flags without a hit (AGG5). A span
+    of more than MAX_BINS bins, as a stray value makes, is an error.
     """
     spans = profile.groupBy("value_name").agg(F.min("bin_idx").alias("lo"), F.max("bin_idx").alias("hi"))
-    bins = spans.select("value_name", F.explode(F.sequence("lo", "hi")).alias("bin_idx"))
+    # compared as doubles: the difference of two longs may not fit into one
+    narrow = F.col("hi").cast("double") - F.col("lo").cast("double") < MAX_BINS
+    spans = spans.where(F.assert_true(narrow, F.concat(F.lit(f"more than {MAX_BINS} bins: "), "value_name")).isNull())
+    bins = exploded_range(spans, F.col("lo"), F.col("hi"), "bin_idx").select("value_name", "bin_idx")
     keys = ["value_name", "bin_idx"]
     if flags is not None:
         bins = bins.withColumn("flag", F.explode(F.array(*[F.lit(f) for f in flags])))
@@ -91,3 +100,9 @@ def observed(rows: DataFrame, name: str, **measures: Column) -> tuple[DataFrame,
 def counters_table(spark: SparkSession, values: dict[str, int]) -> DataFrame:
     """Counters that a driver holds as a table, to merge with stored ones."""
     return spark.createDataFrame(list(values.items()), "counter string, n long")
+
+
+def bins_lacking(profile: DataFrame, other: DataFrame) -> DataFrame:
+    """value_name, bin_idx of the bins of profile that other has no row for (SET3)."""
+    keys = ["value_name", "bin_idx"]
+    return profile.select(*keys).distinct().join(other.select(*keys), keys, "left_anti")

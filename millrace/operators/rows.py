@@ -139,3 +139,20 @@ def unfinished(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         match &= F.col(k).cast("string").eqNullSafe(F.col(f"_{k}"))
     return work.join(text(done).distinct(), match, "left_anti")
+
+
+def common_ids(*tables: DataFrame, id: str = "id") -> DataFrame:
+    """The ids that all tables have, each once (SET2)."""
+    out = tables[0].select(id).distinct()
+    for t in tables[1:]:
+        out = out.join(t.select(id), id, "left_semi")
+    return out
+
+
+def side_by_side(tables: dict[str, DataFrame], id: str = "id") -> DataFrame:
+    """The tables' columns beside each other by a unique id, named <key>_<column>; null where a table lacks the id (SET5)."""
+    out = None
+    for key, t in tables.items():
+        named = t.select(id, *[F.col(c).alias(f"{key}_{c}") for c in t.columns if c != id])
+        out = named if out is None else out.join(named, id, "full")
+    return out

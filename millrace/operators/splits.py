@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.ranking import with_row_number
+from millrace.functions.ranking import exploded_range, with_row_number
 from millrace.sources.stores import cut
 
 SPLIT = "resample int, cv string, id string, split string"
@@ -93,7 +93,7 @@ def grouped_kfold(items: DataFrame, group: str, k: int) -> DataFrame:
         plan += [(size, f, load[f], steps[f]) for f in range(k) if steps[f]]
         load = [x + s * size for x, s in zip(load, steps, strict=True)]
     spark = items.sparkSession
-    steps = spark.createDataFrame(plan, "size long, fold int, load long, steps long").select("size", "fold", "load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("i"))
+    steps = exploded_range(spark.createDataFrame(plan, "size long, fold int, load long, steps long"), F.lit(0), F.col("steps") - 1, "i")
     slots = with_row_number(steps.select("size", "fold", (F.col("load") + F.col("i") * F.col("size")).alias("level")), ["level", "fold"], "r", 0, ["size"])
     placed = with_row_number(sizes, ["_g"], "r", 0, ["size"]).join(slots, ["size", "r"])
     return rows.join(placed.select("_g", "fold"), "_g").select("id", "fold")

@@ -16,8 +16,9 @@ from millrace.functions import scalar
 from millrace.functions.vectors import share_of_group
 from millrace.operators import ensemble, features, metrics, models, profile, rows, search, similarity, splits
 from millrace.plans.spec import ScoreSpec
-from millrace.sources.readers import numbered, row_range
+from millrace.sources.readers import numbered, read_column, row_range
 from millrace.sources.stores import append_run, cut, merged, shared_folder
+from millrace.sources.writers import append_predictions, write_scored
 from millrace.streaming import profiles as streams
 
 QUERIES: dict = {}
@@ -346,7 +347,10 @@ def kendall_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT source, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS t, CASE WHEN n_chars > 1000 THEN 'good' WHEN n_chars > 100 THEN 'bad' ELSE 'short' END AS p FROM labels JOIN documents USING (doc_id))
-SELECT source, round(avg(CAST(t = p AS INTEGER)), 6) AS accuracy, round(avg(CAST(t = p AS INTEGER)), 6) AS recall, round(avg(CAST(t = p AS INTEGER)), 6) AS precision FROM j GROUP BY ALL""")
+, c AS (SELECT DISTINCT t AS class FROM j UNION SELECT DISTINCT p FROM j),
+k AS (SELECT source, class, count(*) FILTER (t = class AND p = class) AS tp, count(*) FILTER (t <> class AND p = class) AS fp, count(*) FILTER (t = class AND p <> class) AS fn FROM j, c GROUP BY ALL)
+SELECT source, round(CAST(count(*) FILTER (t = p) AS DOUBLE) / count(*), 6) AS accuracy, any_value(recall) AS recall, any_value(precision) AS precision
+FROM j JOIN (SELECT source, round(CAST(sum(tp) AS DOUBLE) / sum(tp + fn), 6) AS recall, round(CAST(sum(tp) AS DOUBLE) / sum(tp + fp), 6) AS precision FROM k GROUP BY ALL) USING (source) GROUP BY ALL""")
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, micro recall and precision (MET10-MET12)."""
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
@@ -491,7 +495,7 @@ def early_stop_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query("SELECT name FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber', 'one']) AS name) WHERE name = 'one' AND (SELECT count(*) FROM lineitem) > 0")
+@query("WITH s AS (SELECT " + ", ".join(f"CAST(min({c}) = max({c}) AS INTEGER) AS {c}" for c in [*NUMBERS, "one"]) + " FROM (SELECT *, 1 AS one FROM lineitem)) SELECT name FROM (SELECT * FROM s UNPIVOT (same FOR name IN (*))) WHERE same = 1")
 def const_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that hold one value (FEA1)."""
     found = features.constant_columns(table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1)), [*NUMBERS, "one"])
@@ -504,11 +508,15 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.correlations(table(spark, sf_dir, "lineitem"), NUMBERS).withColumn("r", six(F.col("r")))
 
 
-@query("SELECT unnest(['q2']) AS removed")
+_CORRELATED = ["l_quantity", "l_discount", "q2", "l_tax"]
+
+
+# the later column of a pair at the cut-off goes if no stronger pair has taken its partner; one pair is that strong here
+@query("WITH c AS (SELECT " + ", ".join(f"abs(corr({a}, {b})) AS \"{a}|{b}\"" for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1 :]) + " FROM (SELECT *, l_quantity * 2 AS q2 FROM lineitem)) SELECT split_part(pair, '|', 2) AS removed FROM (SELECT * FROM c UNPIVOT (r FOR pair IN (*))) WHERE r >= 0.95")
 def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that go for correlation of 0.95 or more; q2 is twice the quantity (FEA2, WIN7)."""
     li = table(spark, sf_dir, "lineitem").withColumn("q2", F.col("l_quantity") * 2)
-    model = features.CorrelationFilter(inputCols=["l_quantity", "l_discount", "q2", "l_tax"], cutoff=0.95).fit(li)
+    model = features.CorrelationFilter(inputCols=_CORRELATED, cutoff=0.95).fit(li)
     return spark.createDataFrame([(c,) for c in model.getOrDefault(model.removed)], "removed string")
 
 
@@ -522,13 +530,14 @@ def scaled_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), six(F.col("l_quantity")).alias("l_quantity"), six(F.col("l_tax")).alias("l_tax"))
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, round(l_extendedprice, 4) AS y FROM lineitem")
+@query("""WITH f AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, round((l_extendedprice - m) / s, 6) AS scaled, round((l_extendedprice - m) / s * s + m, 4) AS y FROM lineitem, f""")
 def target_unscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target scaled and put back (FEA4, UDF8)."""
     li = table(spark, sf_dir, "lineitem")
     fitted = features.moments(li, ["l_extendedprice"])
     y = features.unscaled(F.col("l_extendedprice"), *fitted["l_extendedprice"])
-    return features.scaled(li, fitted).select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.round(y, 4).alias("y"))
+    return features.scaled(li, fitted).select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), six(F.col("l_extendedprice")).alias("scaled"), F.round(y, 4).alias("y"))
 
 
 LEVELS = ["ECONOMY", "STANDARD", "other"]
@@ -735,15 +744,66 @@ def stream_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS start, CAST(floor(value / 50.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def stream_windowed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A profile for each day of event time, all windows closed at the end of the replay (STR4)."""
-    name = f"w{uuid.uuid4().hex}"
-    windows = streams.windowed_histogram(_replay(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 50, "1 day", "3650 days")
+    """A profile for each day of event time, each window written once, when the watermark has passed it (STR4).
+
+    A replay ends, so a row a month after the last event closes the windows; its own window stays open.
+    """
     here = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    events.agg(F.max("ts").alias("ts")).where("ts is not null").select((F.col("ts").cast("timestamp") + F.expr("interval 30 days")).alias("ts"), F.lit(0.0).alias("value")).write.parquet(f"{here}/end")
+    rows = _replay(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    rows = rows.unionByName(streams.arriving(spark, f"{here}/end", spark.read.parquet(f"{here}/end").schema))
+    windows = streams.windowed_histogram(rows, "ts", "value", 50, "1 day", "1 day")
+    windows.writeStream.format("parquet").outputMode("append").option("path", f"{here}/windows").option("checkpointLocation", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{here}/windows").select(F.unix_timestamp("start").alias("start"), "bin_idx", "n")
+
+
+# ---- round trips: written and read again
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_type AS structure FROM part")
+def scored_csv_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows written as gzipped ';' CSV and scanned again (SNK1, SRC1)."""
+    path = _scratch(spark, "scored")
+    write_scored(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), F.col("p_type").alias("structure")), path, "csv")
+    return read_column(spark, path, "structure", ";", ("p_partkey",)).select("p_partkey", "structure")
+
+
+@query(f"WITH {PAIRS} SELECT id, CAST(floor(id / 8) AS BIGINT) % 3 AS resample, model AS data_split, p AS prediction FROM pairs UNION ALL SELECT id, 7, 'again', t FROM pairs WHERE task = 'O'")
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions appended to a log twice, by resample and split (SNK8, SNK9)."""
+    path, pairs = _scratch(spark, "log"), _pairs(spark, sf_dir)
+    append_predictions(pairs.select("id", (F.floor(F.col("id") / 8) % 3).alias("resample"), F.col("model").alias("data_split"), F.col("p").alias("prediction")), path)
+    append_predictions(pairs.where("task = 'O'").select("id", F.lit(7).cast("long").alias("resample"), F.lit("again").alias("data_split"), F.col("t").alias("prediction")), path)
+    return spark.read.parquet(path).select("id", F.col("resample").cast("long").alias("resample"), "data_split", "prediction")
+
+
+@query("SELECT 100000 + l_partkey AS part, l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber FROM lineitem")
+def renamed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under the ids of another naming (JN10)."""
+    mapping = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") + 100000).alias("part"))
+    return rows.renamed_ids(table(spark, sf_dir, "lineitem"), mapping, "l_partkey", "part").select(F.col("l_partkey").alias("part"), "l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("SELECT o_custkey AS id FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def common_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in both tables (SET2)."""
+    return rows.common_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT 'q' AS value_name, bin_idx FROM (SELECT CAST(floor(l_extendedprice / 100.0::DOUBLE) AS BIGINT) AS bin_idx FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT CAST(floor(l_extendedprice / 100.0::DOUBLE) AS BIGINT) FROM lineitem WHERE l_returnflag = 'A')")
+def bins_of_one_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of one profile that another lacks (SET3)."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("q"))
+    return profile.bins_lacking(*[profile.histogram(li.where(F.col("l_returnflag") == f), {"q": 100}) for f in "RA"])
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{here}/{name}")
 
-    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.parquet(f"{here}/{name}")
-    last = stored.agg(F.max("batch")).first()[0]
-    return stored.where(F.col("batch") == last).select(F.unix_timestamp("start").alias("start"), "bin_idx", "n")
+@query("SELECT coalesce(a.id, b.id) AS id, a.n AS orders_n, b.balance AS customer_balance FROM (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL) a FULL JOIN (SELECT c_custkey AS id, round(c_acctbal, 2) AS balance FROM customer) b ON a.id = b.id")
+def orders_beside_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keyed tables side by side (SET5)."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    return rows.side_by_side({"orders": counts, "customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("balance"))})

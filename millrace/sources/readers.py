@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.ranking import with_row_number
+from millrace.sources.stores import cut
 
 #: Files of these endings are token lists; the others delimited tables with a header. A further .gz is transparent.
 TOKEN_ENDINGS, TABLE_ENDINGS = (".inchi", ".smi", ".txt"), (".csv", ".tsv")
@@ -44,8 +45,14 @@ def numbered(items: DataFrame, *order: str, start: int = 0, name: str = "line_no
     """
     if order:
         return with_row_number(items, list(order), name, start)
-    schema = T.StructType([*items.schema.fields, T.StructField(name, T.LongType(), False)])
-    return items.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)).toDF(schema)
+    # the id's upper bits are the partition, the lower ones the row in it
+    told = cut(items.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = told.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(sizes.select("_part", before.alias("_before")))  # a row a partition
+    placed = told.withColumn("_part", F.shiftright("_at", 33)).join(first, "_part")
+    line = F.col("_before") + F.col("_at").bitwiseAND(2**33 - 1) + start
+    return placed.select(*items.columns, line.cast("long").alias(name))
 
 
 def row_range(items: DataFrame, start: int, end: int = -1, name: str = "line_no") -> DataFrame:

@@ -349,3 +349,20 @@ def test_refit_rows_need_every_task(spark):
     assert {(r.id, r.task, r.cv_fold, r.resample) for r in ensemble.refit_rows(log).collect()} == {(1, "a", "av_over_refits", -1), (1, "b", "av_over_refits", -1)}
     check = models.check_data(log.withColumn("public", F.lit(True)), F.col("public"))
     assert check.count() == 3
+
+
+def test_long_ranges_are_dealt_and_stray_values_refused(spark, monkeypatch):
+    from millrace.functions import ranking
+
+    monkeypatch.setattr(ranking, "RANGE_BLOCK", 10)
+    got = ranking.exploded_range(spark.createDataFrame([("a", -5, 37), ("b", 3, 3)], "k string, x long, y long"), F.col("x"), F.col("y"), "i").select("k", "i").collect()
+    assert sorted(map(tuple, got)) == [("a", i) for i in range(-5, 38)] + [("b", 3)]
+    far = spark.createDataFrame([("v", 0, 1), ("v", 10**16, 1)], "value_name string, bin_idx long, n long")
+    with pytest.raises(Exception, match="bins: v"):
+        profile.gap_filled(far).collect()
+
+
+def test_sets(spark):
+    a, b = (spark.createDataFrame(x, "id long, v string") for x in ([(1, "a"), (2, "b"), (2, "b")], [(2, "c"), (3, "d")]))
+    assert [r.id for r in rows.common_ids(a, b).collect()] == [2]
+    assert sorted((r.id, r.a_v, r.b_v) for r in rows.side_by_side({"a": a.distinct(), "b": b}).collect()) == [(1, "a", None), (2, "b", "c"), (3, None, "d")]
