@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_slices
+from millrace.llm.common import give_back, text_slices
 
 #: The published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -214,7 +214,8 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
                 if decoded:
                     arrays.append(pa.array([c.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, ids, *([decoded] if decoded else [])])
-        c.known.clear()  # a worker outlives its task
+        c.known.clear()
+        give_back()
 
     out = T.StructType([T.StructField(a, f.dataType) for a, f in zip(carry, schema.fields, strict=False)] + schema.fields[len(kept) :])
     return source.mapInArrow(run, out).toDF(*schema.names)

@@ -381,8 +381,8 @@ def _gathered(sums: DataFrame, sizes: Sizes) -> dict[str, np.ndarray]:
     out = {}
     for i, t in enumerate(_STEPS):
         mine = found[found["part"] == i]
-        out[t] = np.zeros((sizes.rows(t), sizes.classes))
-        out[t][mine["row"].to_numpy()] = mine.iloc[:, 2:].to_numpy(np.float64)
+        out[t] = np.zeros((sizes.rows(t), sizes.classes), np.float32)
+        out[t][mine["row"].to_numpy()] = mine.iloc[:, 2:].to_numpy(np.float32)
     return out
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, cut, mix, shingle_hashes, word_hashes, words
+from millrace.llm.common import WordHashes, cut, give_back, mix, shingle_hashes, word_hashes, words
 from millrace.llm.graph import components
 
 #: Words of a shingle; similarity in hundredths from which documents are linked.
@@ -91,6 +91,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(band_keys(sketch(s)) if len(s) else [])
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "digest", "bands"])
+        memory.clear()
+        give_back()
 
     return docs.select("doc_id", row_key().alias("h"), "text").mapInArrow(run, _SKETCH)
 
@@ -124,6 +126,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py(), memory) for t in batch.column(1)]
             digests = pa.array([digest_of(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
+        memory.clear()
+        give_back()
 
     texts = rows.select(F.pmod("h", F.lit(2**bits)).alias("at"), "text").mapInArrow(run, "digest binary, shingles array<long>")
     return texts.join(wanted.select("cls", "digest"), "digest").select("cls", "shingles").dropDuplicates(["cls"])
