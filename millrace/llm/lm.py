@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_slices, words
+from millrace.llm.common import cut, give_back, text_slices, words
 
 #: Tokens whose counts every task holds, at most, the most frequent ones; the others' counts are joined.
 HEAVY = 200_000
@@ -376,13 +376,15 @@ def expected(told: DataFrame, model_on: Broadcast, observed: bool) -> DataFrame:
 
 
 def _gathered(sums: DataFrame, sizes: Sizes) -> dict[str, np.ndarray]:
-    """The sums as tables; bounded by the tables' sizes."""
-    found = sums.toPandas()
+    """The sums as tables; bounded by the tables' sizes, and gathered as Arrow columns, not as rows of Python objects."""
+    found = sums.toArrow()
+    part, row = found.column("part").to_numpy(), found.column("row").to_numpy()
     out = {}
     for i, t in enumerate(_STEPS):
-        mine = found[found["part"] == i]
+        mine = part == i
         out[t] = np.zeros((sizes.rows(t), sizes.classes), np.float32)
-        out[t][mine["row"].to_numpy()] = mine.iloc[:, 2:].to_numpy(np.float32)
+        for k in range(sizes.classes):
+            out[t][row[mine], k] = found.column(f"x{k}").to_numpy()[mine]
     return out
 
 
@@ -415,7 +417,7 @@ def prepare(docs: DataFrame) -> Model:
             break
         least = r.b
     heavy = counts.where(bin_ >= least) if least is not None else counts.limit(0)
-    held = heavy.toPandas().sort_values(["n", "key", "key2"], ascending=[False, True, True])
+    held = heavy.toArrow().to_pandas().sort_values(["n", "key", "key2"], ascending=[False, True, True])
     n, frequent = held["n"].to_numpy(np.int64), min(sizes.frequent, len(held))
     outputs = np.full(len(held), -1, np.int64)
     outputs[:frequent] = np.arange(frequent)
@@ -445,10 +447,17 @@ def train(model: Model, encoded: DataFrame, rounds: int = ROUNDS) -> Model:
     told = cut(contexts(encoded, model.sizes.outputs + 1), "contexts")
     # every task passes on whole tables, so a task is worth its shuffle only with many contexts
     told = told.coalesce(max(1, math.ceil(told.count() / TASK_CONTEXTS)))
-    share = encoded.sparkSession.sparkContext.broadcast
-    observed = _gathered(expected(told, share(model.shared()), True), model.sizes) if rounds else {}
+
+    def summed(observed: bool) -> dict[str, np.ndarray]:
+        shared = encoded.sparkSession.sparkContext.broadcast(model.shared())
+        sums = _gathered(expected(told, shared, observed), model.sizes)
+        shared.destroy()  # the sums are here: nothing asks for this round's weights again
+        give_back()
+        return sums
+
+    observed = summed(True) if rounds else {}
     for _ in range(rounds):
-        model = replace(model, weights=moved(model.weights, observed, _gathered(expected(told, share(model.shared()), False), model.sizes)))
+        model = replace(model, weights=moved(model.weights, observed, summed(False)))
     return model
 
 
