@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,10 +151,17 @@ REGISTRY: dict[str, Callable] = {
 }
 
 
-def pipeline(columns: list[str], name: str, y: str = "y", selectors: list = (), **params) -> Pipeline:
-    """Selectors, assembler and a model by name; params are '<stage>__<param>' or the model's own (FEA8)."""
+def pipeline(columns: list[str], name: str, y: str = "y", selectors: list = (), constants: bool = True, scaled: bool = False, **params) -> Pipeline:
+    """Selectors, assembler, stages fitted with the model, and a model by name (MOD8, FEA8).
+
+    constants=False leaves out columns that don't vary in training, scaled=True takes columns to mean 0
+    and deviation 1. params are '<stage>__<param>' or the model's own.
+    """
     own = {k.split("__", 1)[1] if k.startswith(f"{name}__") else k: v for k, v in params.items()}
-    return Pipeline(stages=[*selectors, VectorAssembler(inputCols=columns, outputCol="features"), REGISTRY[name](y=y, **own)])
+    steps: list = [] if constants else [VarianceThresholdSelector(featuresCol="_assembled", outputCol="_varying" if scaled else "features", varianceThreshold=0.0)]
+    if scaled:
+        steps.append(StandardScaler(inputCol="_assembled" if constants else "_varying", outputCol="features", withMean=True))
+    return Pipeline(stages=[*selectors, VectorAssembler(inputCols=columns, outputCol="_assembled" if steps else "features"), *steps, REGISTRY[name](y=y, **own)])
 
 
 def search(rows: DataFrame, splits: DataFrame, make: Callable[[dict], Pipeline], combinations: list[dict], y: str = "y", classes: bool = False) -> tuple[dict, PipelineModel, list[tuple[int, str, float]]]:

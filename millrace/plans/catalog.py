@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar
 from millrace.functions.vectors import share_of_group
 from millrace.operators import ensemble, features, metrics, models, profile, rows, search, similarity, splits
+from millrace.plans import jobs
 from millrace.plans.spec import ScoreSpec
 from millrace.sources.readers import numbered, read_column, row_range
 from millrace.sources.stores import append_run, cut, merged, shared_folder
@@ -90,6 +91,29 @@ def screening_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.with_edges(profile.gap_filled(profile.histogram(spec.score(valid, ["mpo"]), spec.profiles)), spec.profiles)
 
 
+@query("""
+WITH j AS (SELECT p_size, p_retailprice, coalesce(p_retailprice > 1000, false) AS valid, coalesce(p_size > 40, false) AS d1, coalesce(p_type LIKE '%STEEL%', false) AS x1 FROM part),
+s AS (SELECT p_size, ln(p_retailprice) AS lp FROM j WHERE valid AND NOT x1),
+m AS (SELECT p_size, -lp * (1.0::DOUBLE / (1.0::DOUBLE + exp((p_size + lp) / 5.0::DOUBLE - 8.0::DOUBLE))) AS mpo FROM s),
+h AS (SELECT 'mpo' AS value, CAST(floor(mpo / 0.1::DOUBLE) AS BIGINT) AS bin_idx FROM m UNION ALL SELECT 'p_size', CAST(floor(p_size / 1.0::DOUBLE) AS BIGINT) FROM m)
+SELECT value, bin_idx, count(*) AS n FROM h WHERE bin_idx IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'items', NULL, count(*) FROM j
+UNION ALL SELECT 'valid', NULL, count(*) FILTER (valid) FROM j
+UNION ALL SELECT 'invalid', NULL, count(*) FILTER (NOT valid) FROM j
+UNION ALL SELECT 'passed', NULL, count(*) FILTER (valid AND NOT x1) FROM j
+""")
+def scoring_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles and counters of a whole scoring job in two runs, the first of them done again."""
+    part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    small = F.coalesce(F.col("p_size") <= 25, F.lit(True))
+    job = jobs.ScoringJob(_spec(), ["mpo"], F.col("p_retailprice") > 1000, [("D1", F.col("p_size") > 40), ("X1", F.col("p_type").contains("STEEL"))], "D")
+    folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    for run_id, which in (("small", small), ("large", ~small), ("small", small)):
+        jobs.run_scoring(part.where(which), job, folder, run_id)
+    profiled, counted = jobs.totals(spark, folder)
+    return profiled.select(F.col("value_name").alias("value"), "bin_idx", "n").unionByName(counted.select(F.col("counter").alias("value"), F.lit(None).cast("long").alias("bin_idx"), "n"))
+
+
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, 'a-i' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, doc_id FROM documents QUALIFY line_no >= 25")
 def row_range_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows [25, end) by line number, with text IDs (SRC4, ID1, ID2)."""
