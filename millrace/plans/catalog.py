@@ -92,7 +92,7 @@ def screening_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH j AS (SELECT p_size, p_retailprice, coalesce(p_retailprice > 1000, false) AS valid, coalesce(p_size > 40, false) AS d1, coalesce(p_type LIKE '%STEEL%', false) AS x1 FROM part),
+WITH j AS (SELECT p_size, p_retailprice, coalesce(p_retailprice > 910, false) AS valid, coalesce(p_size > 40, false) AS d1, coalesce(p_type LIKE '%PROMO%', false) AS x1 FROM part),
 s AS (SELECT p_size, ln(p_retailprice) AS lp FROM j WHERE valid AND NOT x1),
 m AS (SELECT p_size, -lp * (1.0::DOUBLE / (1.0::DOUBLE + exp((p_size + lp) / 5.0::DOUBLE - 8.0::DOUBLE))) AS mpo FROM s),
 h AS (SELECT 'mpo' AS value, CAST(floor(mpo / 0.1::DOUBLE) AS BIGINT) AS bin_idx FROM m UNION ALL SELECT 'p_size', CAST(floor(p_size / 1.0::DOUBLE) AS BIGINT) FROM m)
@@ -106,7 +106,7 @@ def scoring_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles and counters of a whole scoring job in two runs, the first of them done again."""
     part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
     small = F.coalesce(F.col("p_size") <= 25, F.lit(True))
-    job = jobs.ScoringJob(_spec(), ["mpo"], F.col("p_retailprice") > 1000, [("D1", F.col("p_size") > 40), ("X1", F.col("p_type").contains("STEEL"))], "D")
+    job = jobs.ScoringJob(_spec(), ["mpo"], F.col("p_retailprice") > 910, [("D1", F.col("p_size") > 40), ("X1", F.col("p_type").contains("PROMO"))], "D")
     folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
     for run_id, which in (("small", small), ("large", ~small), ("small", small)):
         jobs.run_scoring(part.where(which), job, folder, run_id)

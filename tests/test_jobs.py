@@ -53,3 +53,11 @@ def test_pipeline_stages_leave_least_squares_alone(spark):
         model = models.pipeline(["a", "b", "c"], "ridge", constants=constants, scaled=scaled, regParam=0.0).fit(frame)
         got = np.array([r.prediction for r in model.transform(frame).select("prediction").collect()])
         assert np.allclose(got, np.column_stack([x, np.ones(80)]) @ plain)
+
+
+def test_one_rule_that_is_not_tolerated_rejects(spark, tmp_path):
+    job = _job(tolerated="D")
+    job.rules.append(("X2", F.col("size") == 10))
+    jobs.run_scoring(_items(spark, [9, 10]), job, str(tmp_path), "a")
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/scored").collect()] == ["0"]
+    assert [r.reason for r in spark.read.parquet(f"{tmp_path}/rejects").collect()] == ["D1:X2"]
