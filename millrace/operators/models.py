@@ -5,20 +5,26 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from millrace.operators.features import gram
+from millrace.operators.features import gram, moments, scaled
 from millrace.operators.similarity import dense_nearest
+from millrace.sources.stores import cut_at
 
 
 def assembled(rows: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -143,11 +149,154 @@ def svc(rows: DataFrame, y: str, z: str = "z", c: float = 1.0):
     return LinearSVC(featuresCol="_z", labelCol=y, regParam=1.0 / c).fit(rows.withColumn("_z", array_to_vector(z)))
 
 
+class _Stage(Params, DefaultParamsReadable, DefaultParamsWritable):
+    """Column names that the stages below share."""
+
+    features = Param(Params._dummy(), "features", "vector column", TypeConverters.toString)
+    label = Param(Params._dummy(), "label", "target column", TypeConverters.toString)
+
+    def _settle(self, given: dict, **defaults) -> None:
+        self._setDefault(features="features", label="y", **defaults)
+        self._set(**{k: v for k, v in given.items() if v is not None})
+
+    def _arrays(self, rows: DataFrame) -> DataFrame:
+        return rows.select(vector_to_array(self.getOrDefault("features")).alias("z"), F.col(self.getOrDefault("label")).cast("double").alias("y"))
+
+
+class LinearPrediction(Model, _Stage):
+    """Predicts with given weights and intercept, as a DataFrame expression."""
+
+    weights = Param(Params._dummy(), "weights", "weight of each feature", TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "intercept", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, weights: list[float] | None = None, intercept: float | None = None, features: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        weights = F.array(*[F.lit(w) for w in self.getOrDefault("weights")])
+        terms = F.zip_with(vector_to_array(self.getOrDefault("features")), weights, lambda x, w: x * w)
+        return dataset.withColumn("prediction", F.aggregate(terms, F.lit(self.getOrDefault("intercept")), lambda total, x: total + x))
+
+
+class PartialLeastSquares(Estimator, _Stage):
+    """pls() on a vector column (MOD3)."""
+
+    components = Param(Params._dummy(), "components", "number of components", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, components: int | None = None, features: str | None = None, label: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, components=2)
+
+    def _fit(self, dataset: DataFrame) -> LinearPrediction:
+        arrays = self._arrays(dataset)
+        one = arrays.select(F.size("z")).first()
+        if one is None:
+            raise ValueError("no rows to learn from")
+        names = [f"x{i}" for i in range(one[0])]
+        weights, intercept = pls(arrays.select(*[F.get("z", F.lit(i)).alias(n) for i, n in enumerate(names)], "y"), names, "y", self.getOrDefault("components"))
+        return LinearPrediction(weights=list(weights.values()), intercept=intercept, features=self.getOrDefault("features"))
+
+
+class KernelFeatures(Transformer, _Stage):
+    """Random Fourier features of a vector column, as fourier_features() has them for single columns (MOD6, MOD7)."""
+
+    n = Param(Params._dummy(), "n", "number of features made", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the draw", TypeConverters.toInt)
+    made = Param(Params._dummy(), "made", "column made", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, n: int | None = None, gamma: float | None = None, seed: int | None = None, made: str | None = None, features: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, n=64, gamma=1.0, seed=3, made="kernel")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        n, gamma, seed = (self.getOrDefault(k) for k in ("n", "gamma", "seed"))
+
+        @F.pandas_udf("array<double>")
+        def mapped(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return vectors
+            x, rng = np.stack(vectors.to_numpy()), np.random.default_rng(seed)
+            w, b = rng.normal(0, np.sqrt(2 * gamma), (n, x.shape[1])), rng.uniform(0, 2 * np.pi, n)
+            return pd.Series(list(np.sqrt(2 / n) * np.cos(x @ w.T + b)))
+
+        return dataset.withColumn(self.getOrDefault("made"), array_to_vector(mapped(vector_to_array(self.getOrDefault("features")))))
+
+
+class SupportVectorRegression(Estimator, _Stage):
+    """svr() on a vector column, the target taken to mean 0 and deviation 1 for the fit; epsilon is in such deviations (MOD6)."""
+
+    c = Param(Params._dummy(), "c", "weight of the loss", TypeConverters.toFloat)
+    epsilon = Param(Params._dummy(), "epsilon", "deviation without loss", TypeConverters.toFloat)
+    rounds = Param(Params._dummy(), "rounds", "gradient rounds", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, c: float | None = None, epsilon: float | None = None, rounds: int | None = None, features: str | None = None, label: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, c=1.0, epsilon=0.1, rounds=40)
+
+    def _fit(self, dataset: DataFrame) -> LinearPrediction:
+        arrays = self._arrays(dataset).persist()
+        mean, sd = moments(arrays, ["y"])["y"]
+        weights, intercept = svr(scaled(arrays, {"y": (mean, sd)}), "y", "z", self.getOrDefault("c"), self.getOrDefault("epsilon"), self.getOrDefault("rounds"))
+        arrays.unpersist()
+        return LinearPrediction(weights=[float(w * sd) for w in weights], intercept=float(intercept * sd + mean), features=self.getOrDefault("features"))
+
+
+class NeighbourPrediction(Model, _Stage):
+    """Mean target of the nearest rows of a written training table (MOD1). Rows need an id that is theirs alone."""
+
+    k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
+    id = Param(Params._dummy(), "id", "column that tells rows apart", TypeConverters.toString)
+    path = Param(Params._dummy(), "path", "folder of the training table", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, k: int | None = None, id: str | None = None, path: str | None = None, features: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, k=5, id="id")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        key = self.getOrDefault("id")
+        training = dataset.sparkSession.read.parquet(self.getOrDefault("path"))
+        asked = dataset.select(F.col(key).alias("id"), vector_to_array(self.getOrDefault("features")).alias("vec"))
+        near = knn_regress(asked, training, self.getOrDefault("k")).select(F.col("query_id").alias(key), F.col("pred").alias("prediction"))
+        return dataset.join(near, key, "left")
+
+
+class NearestNeighbours(Estimator, _Stage):
+    """Writes the training rows once into the shared folder; the model holds the path, and saved models need that folder (MOD1)."""
+
+    k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
+    id = Param(Params._dummy(), "id", "column that tells rows apart", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, k: int | None = None, id: str | None = None, features: str | None = None, label: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, k=5, id="id")
+
+    def _fit(self, dataset: DataFrame) -> NeighbourPrediction:
+        features, key = self.getOrDefault("features"), self.getOrDefault("id")
+        rows = dataset.select(F.col(key).alias("id"), vector_to_array(features).alias("vec"), F.col(self.getOrDefault("label")).cast("double").alias("y"))
+        return NeighbourPrediction(k=self.getOrDefault("k"), id=key, path=cut_at(rows, "neighbours"), features=features)
+
+
+def _kernel(model: Callable, n: int = 64, gamma: float = 1.0, seed: int = 3, **own) -> Pipeline:
+    return Pipeline(stages=[KernelFeatures(n=n, gamma=float(gamma), seed=seed), model(**own)])
+
+
 #: Estimators by name (MOD8); nothing is looked up by evaluating text.
 REGISTRY: dict[str, Callable] = {
     "ridge": lambda y="y", **k: LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal", **k),
     "forest": lambda y="y", **k: forest(True, y=y, **k),
     "forest_classifier": lambda y="y", **k: forest(False, y=y, **k),
+    "neighbours": lambda y="y", **k: NearestNeighbours(label=y, **k),
+    "pls": lambda y="y", **k: PartialLeastSquares(label=y, **k),
+    "svr": lambda y="y", **k: _kernel(lambda c=1.0, **o: SupportVectorRegression(features="kernel", label=y, c=float(c), **o), **k),
+    "svc": lambda y="y", **k: _kernel(lambda c=1.0: LinearSVC(featuresCol="kernel", labelCol=y, regParam=1.0 / c), **k),
 }
 
 
@@ -164,11 +313,17 @@ def pipeline(columns: list[str], name: str, y: str = "y", selectors: list = (),
     return Pipeline(stages=[*selectors, VectorAssembler(inputCols=columns, outputCol="_assembled" if steps else "features"), *steps, REGISTRY[name](y=y, **own)])
 
 
-def search(rows: DataFrame, splits: DataFrame, make: Callable[[dict], Pipeline], combinations: list[dict], y: str = "y", classes: bool = False) -> tuple[dict, PipelineModel, list[tuple[int, str, float]]]:
+def at_once(spark: SparkSession, function: Callable, values: list, parallelism: int = 2) -> list:
+    """function of each value, in order, with so many Spark jobs running at the same time."""
+    with ThreadPool(max(1, min(parallelism, len(values) or 1))) as pool:
+        return pool.map(inheritable_thread_target(spark)(function), values)
+
+
+def search(rows: DataFrame, splits: DataFrame, make: Callable[[dict], Pipeline], combinations: list[dict], y: str = "y", classes: bool = False, parallelism: int = 2) -> tuple[dict, PipelineModel, list[tuple[int, str, float]]]:
     """Best combination by mean validation R2 (accuracy for classes) over given folds, refitted on train and val (MOD9, MOD10).
 
     splits: (cv, id, split), folds may overlap. The first combination wins ties. Gives (combination,
-    model, [(number, cv, score)]).
+    model, [(number, cv, score)]). parallelism fits of a fold run at the same time.
     """
     judge = MulticlassClassificationEvaluator(labelCol=y, metricName="accuracy") if classes else RegressionEvaluator(labelCol=y, metricName="r2")
     folds = [r[0] for r in splits.where("cv != 'refit'").select("cv").distinct().orderBy("cv").collect()]
@@ -176,8 +331,8 @@ def search(rows: DataFrame, splits: DataFrame, make: Callable[[dict], Pipeline],
     log = []
     for cv in folds:
         train, val = part(cv, "train").cache(), part(cv, "val").cache()
-        for i, one in enumerate(combinations):
-            log.append((i, cv, float(judge.evaluate(make(one).fit(train).transform(val)))))
+        score = lambda one, train=train, val=val: float(judge.evaluate(make(one).fit(train).transform(val)))
+        log += [(i, cv, s) for i, s in enumerate(at_once(rows.sparkSession, score, combinations, parallelism))]
         train.unpersist()
         val.unpersist()
     mean = [np.mean([s for j, _, s in log if j == i]) for i in range(len(combinations))]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ranking import exploded_range, with_row_number
-from millrace.sources.stores import cut
+from millrace.sources.stores import cut, there
 
 SPLIT = "resample int, cv string, id string, split string"
 
@@ -118,10 +118,8 @@ def predefined_splits(ids: DataFrame, lists: DataFrame) -> DataFrame:
 
 def stored_splits(spark: SparkSession, path: str, make) -> DataFrame:
     """The stored table if there is one, else make() written there and read; a restart re-reads and never re-draws (SPL10)."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        make().write.partitionBy("resample").parquet(path)
+    if not there(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").partitionBy("resample").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -1,15 +1,23 @@
-"""A whole scoring job in one call: rejects, rule cascade, expansion, scores, profiles and counters, by run (FIL1-FIL3, EXP1, SNK1, SNK3, SNK4, SNK6, AGG1-AGG6, FIL13, FIL14)."""
+"""Whole jobs in one call each, which take up where they stopped.
+
+A scoring job: rejects, rule cascade, expansion, scores, profiles and counters, by run (FIL1-FIL3,
+EXP1, SNK1, SNK3, SNK4, SNK6, AGG1-AGG6, FIL13, FIL14). A model-building job: splits, search by a work
+list, refit, predictions and performance (SPL1-SPL10, SPL12, SPL13, MOD8-MOD10, MOD12, FIL13, JN5).
+"""
 
 from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import profile, rows
-from millrace.plans.spec import ScoreSpec
+from millrace.functions.scalar import typed_value
+from millrace.operators import metrics, models, profile, rows, search, splits
+from millrace.plans.spec import ScoreSpec, checked_settings
+from millrace.sources.stores import there
 
 
 @dataclass
@@ -77,3 +85,128 @@ def totals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Profile and counters, summed over all runs."""
     profiled, counted = (_stored(spark, folder, kind).drop("run_id") for kind in ("profile", "counters"))
     return profile.merge(profiled), profile.merge(counted)
+
+
+def _outer(items: DataFrame, how: dict, seed: int) -> DataFrame:
+    """resample, id, split by the settings of the train / test split."""
+    n, test = int(how.get("n_splits", 1)), float(how.get("frac_test", 0.25))
+    train = float(how["frac_train"]) if "frac_train" in how else None
+    by = how.get("strat_field")
+    match how.get("split_method", "random"):
+        case "rand" | "random":
+            return splits.random_splits(items, n, test, train, seed)
+        case "strat" | "stratified":
+            return splits.stratified_splits(items, by, n, 1 - test if train is None else train, seed)
+        case "group":
+            return splits.grouped_splits(items, by, n, 1 - test if train is None else train, seed)
+        case "predefined":
+            lists = items.sparkSession.read.parquet(how["from_file"])
+            return splits.predefined_splits(items, lists).select(F.lit(0).alias("resample"), "id", "split")
+    raise ValueError(f"unknown split method {how['split_method']}")
+
+
+def _inner(items: DataFrame, how: dict, seed: int):
+    """A function of (ids, resample) that gives cv, id, split by the settings of the train / validation split."""
+    n = int(how.get("n_splits", 5))
+
+    def drawn(ids: DataFrame, resample: int) -> DataFrame:
+        method = how.get("split_method", "k-fold")
+        if method in ("rand", "random"):
+            return splits.random_splits(ids, n, float(how.get("frac_test", 0.25)), None, seed + resample).withColumnRenamed("resample", "cv")
+        if method == "group":
+            folds = splits.grouped_kfold(items.join(ids, "id", "left_semi"), how["strat_field"], n)
+        elif method == "k-fold":
+            folds = splits.kfold(ids, n, seed + resample)
+        else:
+            raise ValueError(f"unknown split method {method}")
+        cv = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return folds.withColumn("cv", cv).select("cv", "id", F.when(F.col("cv") == F.col("fold"), "test").otherwise("train").alias("split"))
+
+    return drawn
+
+
+def _measures(classes: bool) -> dict[str, Column]:
+    """Aggregates of y and prediction; loss is what selection takes if nothing else is named."""
+    if classes:
+        right = F.avg((F.col("y") == F.col("prediction")).cast("double"))
+        return {"loss": 1 - right, "accuracy": right}
+    found = metrics.regression_metrics(F.col("y"), F.col("prediction"))
+    return {"loss": found["mse"], **{n: found[n] for n in ("r2", "rmsd", "bias", "mae", "pearson")}}
+
+
+def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, parallelism: int = 2) -> DataFrame:
+    """Builds models as the settings say, under folder, and returns dataset, metric, mean, std, sem, ci95_lower, ci95_upper.
+
+    Settings: dataset (one of tasks, descriptors, id_field, mode regression or classification),
+    train_test_split, train_val_split, training (model_fn_str a name in models.REGISTRY, search, n_iter,
+    selection_metric, select_max_value) and hyperparams (lists of values). Items without a target or with
+    a missing descriptor or id take no part; ids must be unique. Folder gets splits, a log row for each
+    model of each fold, and for each resample the refitted model, its predictions of train and test
+    items, and its metrics. A job that is called again does only what isn't written yet: splits are
+    never drawn anew and fits in the log are not repeated. The driver loops over models, never rows.
+    """
+    spark, told = items.sparkSession, checked_settings(settings)
+    data, training = told["dataset"], told["training"]
+    if len(data["tasks"]) != 1:
+        raise ValueError("a job has one target")
+    classes, name, columns = data.get("mode") == "classification", training["model_fn_str"], list(data["descriptors"])
+    if name not in models.REGISTRY:
+        raise ValueError(f"unknown model {name}")
+    extra = sorted({told.get(k, {}).get("strat_field") for k in ("train_test_split", "train_val_split")} - {None})
+    usable = items.select(F.col(data.get("id_field", "id")).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(c).alias(f"_by_{c}") for c in extra], F.col(data["tasks"][0]).cast("double").alias("y"))
+    usable = usable.na.drop(subset=["id", "y", *columns])
+    how = {k: {n: f"_by_{v}" if n == "strat_field" else v for n, v in told.get(k, {}).items()} for k in ("train_test_split", "train_val_split")}
+
+    def draw() -> DataFrame:
+        outer = splits.cut(_outer(usable, how["train_test_split"], seed), "outer")
+        return splits.nested(outer, _inner(usable, how["train_val_split"], seed))
+
+    table = splits.stored_splits(spark, f"{folder}/splits", draw)
+    space = told.get("hyperparams", {})
+    grid = search.grid(spark, space)
+    names = [c for c in grid.columns if c != "model_number"]
+    folds = [(r[0], r[1]) for r in table.where("cv != 'refit'").select("resample", "cv").distinct().orderBy("resample", "cv").collect()]
+    done = _log(spark, folder).select("resample", "cv_fold", *names) if there(spark, f"{folder}/log") else None
+    make = lambda values: models.pipeline(columns, name, constants=False, scaled=name in ("neighbours", "svr", "svc"), **values)
+    part = lambda r, cv, s: usable.join(table.where((F.col("resample") == r) & (F.col("cv") == cv) & (F.col("split") == s)).select("id"), "id", "left_semi")
+    measures = _measures(classes)
+    for r, cv in folds:
+        tried = search.sampled_grid(grid, int(training.get("n_iter", 10)), seed, r) if training["hyperparam_search"] == "random" else grid
+        one_fold = spark.range(1).select(F.lit(r).alias("resample"), F.lit(cv).alias("cv_fold"))
+        work = search.work_list(one_fold, tried, done).orderBy("model_number").collect()
+        if not work:
+            continue
+        train, val = part(r, cv, "train").persist(), part(r, cv, "val").persist()
+
+        def fit(row, train=train, val=val, r=r, cv=cv) -> None:
+            values = {n: typed_value(row[n]) for n in names}
+            judged = make(values).fit(train).transform(val).agg(*[m.cast("double").alias(n) for n, m in measures.items()])
+            kept = judged.select("*", *[F.lit(row[n]).alias(n) for n in names])
+            kept.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/resample={r}/cv_fold={cv}/model_number={row.model_number}")
+
+        models.at_once(spark, fit, work, parallelism)
+        train.unpersist()
+        val.unpersist()
+    best = search.best_configuration(_log(spark, folder), training["selection_metric"], training["select_max_value"])
+    chosen = {int(r.resample): r for r in best.join(grid, "model_number").collect()}
+    resamples = sorted(chosen)
+    for r in resamples:
+        if there(spark, f"{folder}/predictions/resample={r}/_SUCCESS"):
+            continue
+        model = make({n: typed_value(chosen[r][n]) for n in names}).fit(part(r, "refit", "train"))
+        model.write().overwrite().save(f"{folder}/models/resample={r}")
+        split = table.where((F.col("resample") == r) & (F.col("cv") == "refit")).select("id", "split")
+        found = model.transform(usable.join(split, "id")).select("id", "split", "y", "prediction", F.lit(int(chosen[r].model_number)).alias("model_number"))
+        found.write.mode("overwrite").parquet(f"{folder}/predictions/resample={r}")
+    valued = metrics.evaluated(spark.read.parquet(f"{folder}/predictions"), ["resample", "split"], measures)
+    valued.write.mode("overwrite").parquet(f"{folder}/performance")
+    return metrics.summary(spark.read.parquet(f"{folder}/performance").withColumnRenamed("split", "dataset"))
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(f"{folder}/log").withColumns({"resample": F.col("resample").cast("int"), "cv_fold": F.col("cv_fold").cast("string")})
+
+
+def built_model(folder: str, resample: int = 0) -> PipelineModel:
+    """The model that a job kept for a resample (MOD11)."""
+    return PipelineModel.load(f"{folder}/models/resample={resample}")

@@ -21,11 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back."""
+def cut_at(df: DataFrame, tag: str) -> str:
+    """Writes df as Parquet into the shared folder and gives its path."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(cut_at(df, tag))
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a store holds the path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import models, rows
+from millrace.operators import models, rows, similarity
 from millrace.plans import jobs
 from millrace.plans.spec import ScoreSpec
 
@@ -61,3 +62,84 @@ def test_one_rule_that_is_not_tolerated_rejects(spark, tmp_path):
     jobs.run_scoring(_items(spark, [9, 10]), job, str(tmp_path), "a")
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/scored").collect()] == ["0"]
     assert [r.reason for r in spark.read.parquet(f"{tmp_path}/rejects").collect()] == ["D1:X2"]
+
+
+def _modelled(spark, n=120, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, 2))
+    y = 3 * x[:, 0] - 2 * x[:, 1] + 5 + rng.normal(0, 0.1, n)
+    return spark.createDataFrame(pd.DataFrame({"item": np.arange(n), "a": x[:, 0], "b": x[:, 1], "flat": 1.0, "target": y, "kind": (y > 5).astype(float)}))
+
+
+def _settings(model="ridge", space=None, **training):
+    return {
+        "dataset": {"tasks": ["target"], "descriptors": ["a", "b", "flat"], "id_field": "item"},
+        "train_test_split": {"split_method": "random", "n_splits": 2, "frac_test": 0.25},
+        "train_val_split": {"split_method": "k-fold", "n_splits": 2},
+        "training": {"model_fn_str": model, **training},
+        "hyperparams": {"regParam": [0.0, 100.0]} if space is None else space,
+    }
+
+
+def test_model_job_against_least_squares_and_restart(spark, tmp_path, monkeypatch):
+    items, folder = _modelled(spark), str(tmp_path / "job")
+    found = {(r.dataset, r.metric): r for r in jobs.run_models(items, _settings(), folder, seed=4).collect()}
+    log = spark.read.parquet(f"{folder}/log").toPandas()
+    assert len(log) == 2 * 2 * 2
+    split = spark.read.parquet(f"{folder}/splits").where("cv = 'refit'").toPandas()
+    frame, rmsd = items.toPandas(), []
+    for r in (0, 1):
+        own = split[split["resample"] == r].merge(frame, left_on="id", right_on="item")
+        train, test = own[own.split == "train"], own[own.split == "test"]
+        assert len(test) == 30 and len(train) == 90
+        x = lambda f: np.column_stack([f.a, f.b, np.ones(len(f))])
+        w = np.linalg.lstsq(x(train), train.target, rcond=None)[0]
+        rmsd.append(np.sqrt(np.mean((x(test) @ w - test.target) ** 2)))
+    assert np.isclose(found["test", "rmsd"]["mean"], np.mean(rmsd))
+    assert set(spark.read.parquet(f"{folder}/predictions").select("model_number").distinct().toPandas().model_number) == {0}
+    kept = jobs.built_model(folder, 1).transform(items.withColumn("y", F.lit(0.0)))
+    assert kept.where("prediction is null").count() == 0
+
+    fits = []
+    make = models.pipeline
+    monkeypatch.setattr(models, "pipeline", lambda *a, **k: fits.append(k) or make(*a, **k))
+    again = jobs.run_models(items, _settings(), folder, seed=99)  # nothing is drawn or fitted again
+    assert not fits and {(r.dataset, r.metric): r for r in again.collect()} == found
+    jobs.run_models(items, _settings(space={"regParam": [0.0, 100.0, 3.0]}), folder, seed=4)
+    assert len(fits) == 4 and all(k["regParam"] == 3.0 for k in fits)
+
+
+@pytest.mark.parametrize(("model", "space", "least"), [("neighbours", {"k": [1, 3]}, 0.8), ("pls", {"components": [1, 2]}, 0.99), ("svr", {"gamma": [0.05], "c": [100.0], "rounds": [30]}, 0.5)])
+def test_model_job_by_name(spark, tmp_path, model, space, least):
+    told = _settings(model, space, selection_metric="r2", select_max_value=True)
+    told |= {"train_test_split": {"n_splits": 1}, "train_val_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.3}}
+    found = jobs.run_models(_modelled(spark), told, str(tmp_path / "job"))
+    assert found.where("dataset = 'test' and metric = 'r2'").first()["mean"] > least
+
+
+def test_classification_job_drops_items_without_target_or_descriptor(spark, tmp_path):
+    items = _modelled(spark).withColumn("kind", F.when(F.col("item") != 7, F.col("kind"))).withColumn("a", F.when(F.col("item") != 8, F.col("a")))
+    told = _settings("svc", {"gamma": [0.2]})
+    told["dataset"] |= {"tasks": ["kind"], "mode": "classification"}
+    told["train_val_split"] = {"split_method": "random", "n_splits": 1, "frac_test": 0.3}
+    found = {(r.dataset, r.metric): r["mean"] for r in jobs.run_models(items, told, str(tmp_path / "job")).collect()}
+    assert found["test", "accuracy"] > 0.7
+    assert {r.id for r in spark.read.parquet(f"{tmp_path}/job/splits").select("id").distinct().collect()} == set(range(120)) - {7, 8}
+
+
+def test_settings_that_a_job_refuses(spark, tmp_path):
+    for change in ({"training": {"model_fn_str": "other"}}, {"train_test_split": {"split_method": "other"}}, {"dataset": {"tasks": ["a", "b"], "descriptors": []}}):
+        with pytest.raises(ValueError):
+            jobs.run_models(_modelled(spark), _settings() | change, str(tmp_path / "job"))
+
+
+def test_nearest_of_blocks_against_plain(spark):
+    rng = np.random.default_rng(0)
+    x, q = rng.integers(0, 4, (60, 3)).astype(float), rng.integers(0, 4, (9, 3)).astype(float)
+    make = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    got = similarity.dense_nearest(make(q), make(x), 4, "euclidean", block=2)
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        want = sorted(range(60), key=lambda j: (round(d[j], 9), j))[:4]
+        assert [r.id for r in got.where(f"query_id = {i}").orderBy("rank").collect()] == want
+    assert similarity.dense_nearest(make(q), make(x[:2]), 4).groupBy("query_id").count().where("count = 2").count() == 9
