@@ -296,7 +296,7 @@ REGISTRY: dict[str, Callable] = {
     "neighbours": lambda y="y", **k: NearestNeighbours(label=y, **k),
     "pls": lambda y="y", **k: PartialLeastSquares(label=y, **k),
     "svr": lambda y="y", **k: _kernel(lambda c=1.0, **o: SupportVectorRegression(features="kernel", label=y, c=float(c), **o), **k),
-    "svc": lambda y="y", **k: _kernel(lambda c=1.0: LinearSVC(featuresCol="kernel", labelCol=y, regParam=1.0 / c), **k),
+    "svc": lambda y="y", **k: _kernel(lambda c=1.0, rounds=100: LinearSVC(featuresCol="kernel", labelCol=y, regParam=1.0 / c, maxIter=rounds), **k),
 }
 
 

@@ -193,7 +193,9 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
     for r in resamples:
         if there(spark, f"{folder}/predictions/resample={r}/_SUCCESS"):
             continue
-        model = make({n: typed_value(chosen[r][n]) for n in names}).fit(part(r, "refit", "train"))
+        train = part(r, "refit", "train").persist()
+        model = make({n: typed_value(chosen[r][n]) for n in names}).fit(train)
+        train.unpersist()
         model.write().overwrite().save(f"{folder}/models/resample={r}")
         split = table.where((F.col("resample") == r) & (F.col("cv") == "refit")).select("id", "split")
         found = model.transform(usable.join(split, "id")).select("id", "split", "y", "prediction", F.lit(int(chosen[r].model_number)).alias("model_number"))

@@ -119,9 +119,9 @@ def test_model_job_by_name(spark, tmp_path, model, space, least):
 
 def test_classification_job_drops_items_without_target_or_descriptor(spark, tmp_path):
     items = _modelled(spark).withColumn("kind", F.when(F.col("item") != 7, F.col("kind"))).withColumn("a", F.when(F.col("item") != 8, F.col("a")))
-    told = _settings("svc", {"gamma": [0.2]})
+    told = _settings("svc", {"gamma": [0.2], "rounds": [15]})
     told["dataset"] |= {"tasks": ["kind"], "mode": "classification"}
-    told["train_val_split"] = {"split_method": "random", "n_splits": 1, "frac_test": 0.3}
+    told |= {"train_test_split": {"n_splits": 1}, "train_val_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.3}}
     found = {(r.dataset, r.metric): r["mean"] for r in jobs.run_models(items, told, str(tmp_path / "job")).collect()}
     assert found["test", "accuracy"] > 0.7
     assert {r.id for r in spark.read.parquet(f"{tmp_path}/job/splits").select("id").distinct().collect()} == set(range(120)) - {7, 8}
