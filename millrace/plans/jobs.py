@@ -7,6 +7,8 @@ list, refit, predictions and performance (SPL1-SPL10, SPL12, SPL13, MOD8-MOD10,
 
 from __future__ import annotations
 
+import hashlib
+import json
 import warnings
 from dataclasses import dataclass, field
 
@@ -143,7 +145,7 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
     a missing descriptor or id take no part; ids must be unique. Folder gets splits, a log row for each
     model of each fold, and for each resample the refitted model, its predictions of train and test
     items, and its metrics. A job that is called again does only what isn't written yet: splits are
-    never drawn anew and fits in the log are not repeated. The driver loops over models, never rows.
+    never drawn anew and fits in the log are not repeated; the values of a grid may change, not its names. The driver loops over models, never rows.
     """
     spark, told = items.sparkSession, checked_settings(settings)
     data, training = told["dataset"], told["training"]
@@ -182,29 +184,36 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
             values = {n: typed_value(row[n]) for n in names}
             judged = make(values).fit(train).transform(val).agg(*[m.cast("double").alias(n) for n, m in measures.items()])
             kept = judged.select("*", *[F.lit(row[n]).alias(n) for n in names])
-            kept.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/resample={r}/cv_fold={cv}/model_number={row.model_number}")
+            kept.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/resample={r}/cv_fold={cv}/fit={_fit_key(row, names)}")
 
         models.at_once(spark, fit, work, parallelism)
         train.unpersist()
         val.unpersist()
-    best = search.best_configuration(_log(spark, folder), training["selection_metric"], training["select_max_value"])
+    # numbers are those of this call's grid, whatever grid the log was begun with
+    log = _log(spark, folder).join(grid, names) if names else _log(spark, folder).crossJoin(grid)
+    best = search.best_configuration(log, training["selection_metric"], training["select_max_value"])
     chosen = {int(r.resample): r for r in best.join(grid, "model_number").collect()}
     resamples = sorted(chosen)
     for r in resamples:
-        if there(spark, f"{folder}/predictions/resample={r}/_SUCCESS"):
+        key = _fit_key(chosen[r], names)
+        if there(spark, f"{folder}/predictions/resample={r}/_SUCCESS") and spark.read.parquet(f"{folder}/predictions/resample={r}").where(F.col("fit") == key).take(1):
             continue
         train = part(r, "refit", "train").persist()
         model = make({n: typed_value(chosen[r][n]) for n in names}).fit(train)
         train.unpersist()
         model.write().overwrite().save(f"{folder}/models/resample={r}")
         split = table.where((F.col("resample") == r) & (F.col("cv") == "refit")).select("id", "split")
-        found = model.transform(usable.join(split, "id")).select("id", "split", "y", "prediction", F.lit(int(chosen[r].model_number)).alias("model_number"))
+        found = model.transform(usable.join(split, "id")).select("id", "split", "y", "prediction", F.lit(int(chosen[r].model_number)).alias("model_number"), F.lit(key).alias("fit"))
         found.write.mode("overwrite").parquet(f"{folder}/predictions/resample={r}")
     valued = metrics.evaluated(spark.read.parquet(f"{folder}/predictions"), ["resample", "split"], measures)
     valued.write.mode("overwrite").parquet(f"{folder}/performance")
     return metrics.summary(spark.read.parquet(f"{folder}/performance").withColumnRenamed("split", "dataset"))
 
 
+def _fit_key(row, names: list[str]) -> str:
+    return hashlib.md5(json.dumps([row[n] for n in names]).encode()).hexdigest()
+
+
 def _log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{folder}/log").withColumns({"resample": F.col("resample").cast("int"), "cv_fold": F.col("cv_fold").cast("string")})
 
