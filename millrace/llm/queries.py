@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, quotes, urls
-from millrace.llm.common import fold, small_batches, table
+from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, packing, quotes, urls
+from millrace.llm.common import cut, fold, small_batches, table
 
 
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +169,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text)}
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of 2048 tokens at most and its place there."""
+    small_batches(spark)
+    made = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    digests = cut(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    small_batches(spark, 10_000)
+    return packing.packed(digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text, op12_best_fit_packing)}
 ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
