@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, packing, quotes, urls
+from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, packing, periodic, quotes, urls
 from millrace.llm.common import cut, fold, small_batches, table
 
 
@@ -169,6 +169,33 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+def repeating_tails(docs: DataFrame) -> DataFrame:
+    """docs where of every tenth document, by h = crc32 of the id, the words from the a-th on repeat with period p (a = g % n, p = 1 + (n - a) div (3 + g % 8), g = h div 10); others, null ids and texts without words stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words)).withColumn("_n", F.size("_w"))
+    chosen = chosen.withColumn("_a", F.when(F.col("_n") > 0, F.expr("(_h div 10) % _n")).cast("int"))
+    chosen = chosen.withColumn("_p", F.expr("1 + (_n - _a) div (3 + (_h div 10) % 8)").cast("int"))
+    tail = F.flatten(F.array_repeat(F.expr("slice(_w, _a + 1, _p)"), F.expr("cast(ceil((_n - _a) / _p) as int)")))
+    changed = F.concat(F.expr("slice(_w, 1, _a)"), F.slice(tail, F.lit(1), F.col("_n") - F.col("_a")))
+    return chosen.withColumn("text", F.when(F.col("_n") > 0, F.array_join(changed, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document with repeating tails, the greatest of them, and digests of the runs and of the words that stay."""
+    small_batches(spark)
+    found = periodic.with_runs(repeating_tails(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top_run.*",
+        F.expr("(1000 * top_run.length) div top_run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of 2048 tokens at most and its place there."""
     small_batches(spark)
@@ -178,5 +205,5 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text, op12_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text, op11_periodic_runs, op12_best_fit_packing)}
 ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
