@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from millrace.llm import bpe, decontam, html, knn, langid, linededup, lm, neardup, packing, periodic, quotes, urls
+from millrace.llm import align, bpe, decontam, html, knn, langid, linededup, lm, neardup, packing, periodic, quotes, urls
 from millrace.llm.common import cut, fold, small_batches, table
 
 
@@ -205,5 +205,15 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text, op11_periodic_runs, op12_best_fit_packing)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, with how common its links are in the corpus."""
+    small_batches(spark)
+    made = align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = cut(made.withColumn("groups_sha256", digest).drop("groups").withColumn("_row", F.monotonically_increasing_id()), "aligned", "zstd")
+    counts = cut(align.link_counts(rows), "link-counts")
+    return align.with_counts(rows, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_quote_linking, op3_bpe, op4_line_dedup, op5_exact_topk, op6_near_dedup, op7_language_id, op8_url_filter, op9_decontamination, op10_html_text, op11_periodic_runs, op12_best_fit_packing, op13_token_alignment)}
 ORACLES = {"op2_quote_linking": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_url_filter": urls.oracle(URL_RULES)}
