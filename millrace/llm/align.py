@@ -39,8 +39,8 @@ from millrace.llm.common import cut, give_back, mix, text_slices
 ID_BITS = 21
 #: Links that are broadcast at most.
 HEAD = 1_000_000
-#: Remembered words and windows; beyond that a memory is emptied, and so it is of words longer than LONG letters and windows of more ids.
-REMEMBERED, LONG = 400_000, 64
+#: Remembered words, and windows, which may have IDS ids each on average; beyond that a memory is emptied. Words longer than LONG letters are not remembered.
+REMEMBERED, LONG, IDS = 600_000, 64, 16
 #: Steps of a doubling in which links are counted by frequency.
 STEPS = 8
 _MADE = T.StructType(
@@ -119,27 +119,21 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def distinct(a: np.ndarray, first_a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, first_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A window for each different pair of id tuples, and for each window its place among these."""
-    if not len(first_a):
-        return first_a, first_a
+def window_hashes(a: np.ndarray, first_a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, first_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """64 bits for each window's pair of id tuples."""
     hashes = np.zeros(len(first_a), np.uint64)
     for ids, first, sizes in ((a, first_a, sizes_a), (b, first_b, sizes_b)):
-        place = (np.arange(len(ids)) - np.repeat(first, sizes)).astype(np.uint64)
-        hashes = mix(hashes + np.add.reduceat(mix(ids.astype(np.uint64) + (place << np.uint64(32)) + np.uint64(1)), first))
-    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    same = all(
-        np.array_equal(sizes, sizes[one][which]) and np.array_equal(ids, ids[spread(first[one][which], sizes)])
-        for ids, first, sizes in ((a, first_a, sizes_a), (b, first_b, sizes_b))
-    )
-    return (one, which) if same else (np.arange(len(first_a)), np.arange(len(first_a)))  # hashes met: every window by itself
+        if len(first):
+            place = (np.arange(len(ids)) - np.repeat(first, sizes)).astype(np.uint64)
+            hashes = mix(hashes + np.add.reduceat(mix(ids.astype(np.uint64) + (place << np.uint64(32)) + np.uint64(1)), first))
+    return hashes
 
 
 class Lists:
     """Lists of numbers one behind the other, which only grow until they are emptied."""
 
-    def __init__(self):
-        self.ends, self.n, self.flat = np.zeros(1024, np.int64), 0, np.zeros(4096, np.int64)
+    def __init__(self, kind: type = np.int64):
+        self.ends, self.n, self.flat = np.zeros(1024, np.int64), 0, np.zeros(4096, kind)
 
     def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
         begin = int(self.ends[self.n])
@@ -157,6 +151,16 @@ class Lists:
     def take(self, which: np.ndarray) -> np.ndarray:
         return self.flat[spread(self.ends[which], self.sizes(which))]
 
+    def same(self, which: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Whether each of the lists is the one given, values holding those of all."""
+        fits = self.sizes(which) == sizes
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = spread(upto[:-1][fits], sizes[fits])
+        differs = np.concatenate([[0], np.cumsum(self.take(which[fits]) != values[at])])
+        ends = np.concatenate([[0], np.cumsum(sizes[fits])])
+        fits[fits] = differs[ends[1:]] == differs[ends[:-1]]
+        return fits
+
 
 class Aligner:
     """Aligns texts, remembering words and windows. One per worker process and pair of files."""
@@ -169,28 +173,55 @@ class Aligner:
         self.a_spaced, self.b_spaced = (np.array([x.startswith(b" ") for x in s.bytes]) for s in (self.a, self.b))
         # an id as text with what may follow it: another id of its side, the other side, a group, a window
         self.written = [f"{i}{x}" for i in range(max(len(self.a.bytes), len(self.b.bytes))) for x in (",", "|", ";", "\n")]
-        self.number: dict[tuple[bytes, bytes], int] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.number.clear()
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known windows by hash
         self.text: list[str] = []
+        self.ids = [Lists(np.int32), Lists(np.int32)]
         self.links, self.n_groups = Lists(), Lists()
 
-    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        """Aligns new windows and gives them the next numbers."""
-        if not keys:
+    def windows(self, ids: list[np.ndarray], first: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """The number of each window, whose ids stand at first; new ones are aligned and remembered.
+
+        Windows are looked up by hash and compared by their ids, so a hash that two of them share costs time only.
+        """
+        hashes = window_hashes(ids[0], first[0], sizes[0], ids[1], first[1], sizes[1])
+        part = lambda which: [(sizes[k][which], ids[k][spread(first[k][which], sizes[k][which])]) for k in (0, 1)]
+        while True:
+            order = np.argsort(hashes)
+            begins = np.concatenate([[True], np.diff(hashes[order]) != 0]) if len(order) else np.zeros(0, bool)
+            one, which = order[begins], np.empty(len(order), np.int64)
+            which[order] = np.cumsum(begins) - 1
+            at = np.minimum(np.searchsorted(self.hashes, hashes[one]), max(len(self.hashes) - 1, 0))
+            known = self.hashes[at] == hashes[one] if len(self.hashes) else np.zeros(len(one), bool)
+            number = np.empty(len(one), np.int64)
+            number[known] = self.numbers[at[known]]
+            fresh = np.flatnonzero(~known)
+            number[fresh] = len(self.text) + np.arange(len(fresh))
+            self.learn(part(one[fresh]))
+            place = np.searchsorted(self.hashes, hashes[one[fresh]])
+            self.hashes, self.numbers = np.insert(self.hashes, place, hashes[one[fresh]]), np.insert(self.numbers, place, number[fresh])
+            found = number[which]
+            wrong = ~np.logical_and(*[held.same(found, *given) for held, given in zip(self.ids, part(np.arange(len(found))), strict=True)])
+            if not wrong.any():
+                return found
+            hashes[wrong] = mix(hashes[wrong] + np.uint64(1))
+
+    def learn(self, windows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Aligns windows, given by the sizes and ids of both sides, and gives them the next numbers."""
+        (count_a, ids_a), (count_b, ids_b) = windows
+        if not len(count_a):
             return
-        for key in keys:
-            self.number[key] = len(self.number)
-        ids = [np.frombuffer(b"".join(k[side] for k in keys), np.int32) for side in (0, 1)]
-        count = [np.array([len(k[side]) // 4 for k in keys], np.int64) for side in (0, 1)]
+        n, ids, count = len(count_a), [ids_a, ids_b], [count_a, count_b]
+        for held, given in zip(self.ids, windows, strict=True):
+            held.add(*given)
         ends = [np.cumsum(size[x]) for size, x in zip((self.a_size, self.b_size), ids, strict=True)]
         shared = np.intersect1d(*ends, assume_unique=True)  # of all windows, which have the same bytes on both sides
         group = [np.searchsorted(shared, x) for x in ends]
         per_group = [np.bincount(x, minlength=len(shared)) for x in group]
         window_of = np.empty(len(shared), np.int64)
-        window_of[group[0]] = np.repeat(np.arange(len(keys)), count[0])
+        window_of[group[0]] = np.repeat(np.arange(n), count[0])
         last = np.append(window_of[1:] != window_of[:-1], True)
         # the tokens by group, first those of a: one text for all windows, parted again where they end
         place = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
@@ -204,8 +235,8 @@ class Aligner:
         left = np.repeat(ids[0].astype(np.int64), times)
         first_b = np.cumsum(per_group[1]) - per_group[1]
         right = ids[1].astype(np.int64)[spread(first_b[group[0]], times)]
-        self.links.add(np.bincount(window_of, weights=per_group[0] * per_group[1], minlength=len(keys)).astype(np.int64), left << ID_BITS | right)
-        self.n_groups.add(np.ones(len(keys), np.int64), np.bincount(window_of, minlength=len(keys)))
+        self.links.add(np.bincount(window_of, weights=per_group[0] * per_group[1], minlength=n).astype(np.int64), left << ID_BITS | right)
+        self.n_groups.add(np.ones(n, np.int64), np.bincount(window_of, minlength=n))
 
     def batch(self, texts: list[str | None]) -> dict[str, pa.Array]:
         """Columns of _MADE for texts."""
@@ -218,8 +249,7 @@ class Aligner:
         n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         n_a[docs], n_b[docs] = [len(x) for _, x, _ in right], [len(b) // 4 for _, _, b in right]
         a = np.fromiter(chain.from_iterable(x for _, x, _ in right), np.int32, n_a.sum())
-        a_bytes, b_bytes = a.tobytes(), b"".join(b for _, _, b in right)
-        b = np.frombuffer(b_bytes, np.int32)
+        b = np.frombuffer(b"".join(b for _, _, b in right), np.int32)
         # offsets run on over the documents, whose bytes are the same on both sides
         from_a, from_b = (np.cumsum(size[x]) - size[x] for size, x in ((self.a_size, a), (self.b_size, b)))
         spaced = np.zeros(int(self.a_size[a].sum()) + 1, bool)
@@ -229,15 +259,10 @@ class Aligner:
         spaced[from_a[first_a]] = True
         first_b = np.flatnonzero(spaced[from_b])
         doc = np.searchsorted(np.cumsum(n_a[docs]), first_a, side="right")  # of each window, among docs
-        sizes_a, sizes_b = np.diff(np.append(first_a, len(a))), np.diff(np.append(first_b, len(b)))
-        one, which = distinct(a, first_a, sizes_a, b, first_b, sizes_b)
-        cuts = (4 * np.stack([first_a, first_a + sizes_a, first_b, first_b + sizes_b], 1)[one]).tolist()
-        keys = [(a_bytes[s:e], b_bytes[u:v]) for s, e, u, v in cuts]
-        if len(self.number) > REMEMBERED:
+        if len(self.text) > REMEMBERED or self.ids[0].ends[self.ids[0].n] > IDS * REMEMBERED:
             self.forget()
-        new = set(keys) - self.number.keys()
-        self.learn(list(new))
-        window_of = np.array(list(map(self.number.__getitem__, keys)), np.int64)[which]
+        sizes = [np.diff(np.append(first_a, len(a))), np.diff(np.append(first_b, len(b)))]
+        window_of = self.windows([a, b], [first_a, first_b], sizes)
         windows = window_of.tolist()
         groups, at = [""] * n, 0
         for i, end in zip(docs.tolist(), np.searchsorted(doc, np.arange(len(docs)), side="right").tolist(), strict=True):
@@ -250,13 +275,13 @@ class Aligner:
         sizes = self.links.sizes(window)
         n_groups, n_links = (np.bincount(owner, weights=x * often, minlength=n).astype(np.int64) for x in (self.n_groups.take(window), sizes))
         held, times, owner = self.links.take(window), np.repeat(often, sizes), np.repeat(owner, sizes)
-        order = np.lexsort((held, owner))
-        owner, held, times = owner[order], held[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(held) != 0) | (np.diff(owner) != 0)])) if len(held) else np.zeros(0, np.int64)
+        both = owner << 2 * ID_BITS | held  # a batch has fewer rows than bits are left
+        order = np.argsort(both)
+        both, times = both[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(both) != 0])) if len(both) else order
         times = np.add.reduceat(times, first) if len(first) else times
+        owner, held = both >> 2 * ID_BITS, both & ((1 << 2 * ID_BITS) - 1)
         upto = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=n))]).astype(np.int32))
-        if any(len(k[0]) > 4 * LONG for k in new):
-            self.forget()
         return {
             "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups), "n_links": pa.array(n_links), "groups": pa.array(groups, pa.string()),
             "links": pa.ListArray.from_arrays(upto, pa.array(held[first])), "times": pa.ListArray.from_arrays(upto, pa.array(times)),

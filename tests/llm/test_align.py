@@ -134,3 +134,11 @@ def test_empty_table_and_table_without_tokens(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = queries.op13_token_alignment(spark, f"{tmp_path}/{name}").collect()
         assert sorted(map(tuple, got), key=repr) == sorted(((i, 0, 0, 0, 0, 0, 0, "") for i, _ in rows), key=repr)
+
+
+def test_windows_whose_hashes_meet_are_told_apart(libraries, monkeypatch):
+    hashes = align.window_hashes
+    monkeypatch.setattr(align, "window_hashes", lambda *a: hashes(*a) % 5)
+    made, texts = align.Aligner(A, B), ODD + noise(200, 4)
+    got = [x for i in range(0, len(texts), 50) for x in made.batch(texts[i : i + 50])["groups"].to_pylist()]
+    assert got == [written(g) for g in plain(texts, libraries)]
