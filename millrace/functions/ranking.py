@@ -25,6 +25,15 @@ def exploded_range(rows: DataFrame, first: Column, last: Column, name: str) -> D
     return dealt.withColumn(name, F.explode(F.sequence("_start", F.least("_last", F.col("_start") + RANGE_BLOCK - 1)))).drop("_first", "_last", "_block", "_start")
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; the keys stand once."""
+    match, renamed = F.lit(True), right
+    for i, k in enumerate(on):
+        renamed = renamed.withColumnRenamed(k, f"_k{i}")
+        match &= left[k].eqNullSafe(F.col(f"_k{i}"))
+    return left.join(renamed, match).drop(*[f"_k{i}" for i in range(len(on))])
+
+
 def running_sum(rows: DataFrame, group: list[str], order: list[str], measure: str, name: str) -> DataFrame:
     """rows with the sum of measure over the rows of the group that stand before, in the order; order has to be unique in a group."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -53,4 +62,4 @@ def average_rank(rows: DataFrame, group: list[str], value: str, name: str) -> Da
     """
     distinct = rows.groupBy(*group, value).agg(F.count("*").alias("_n"))
     ranked = running_sum(distinct, group, [value], "_n", "_before").select(*group, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(ranked, [*group, value])
+    return joined(rows, ranked, [*group, value])

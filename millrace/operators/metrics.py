@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ranking import average_rank, running_sum, with_row_number
-
+from millrace.functions.ranking import average_rank, joined, running_sum, with_row_number
 
 
 def correlation(t: Column, p: Column) -> Column:
@@ -58,16 +57,18 @@ def kendall(rows: DataFrame, keys: list[str], t: str, p: str) -> DataFrame:
     number = with_row_number(pairs.select(*keys, "t").distinct(), ["t"], "i", 0, keys)
     most = number.agg(F.max("i")).first()[0] or 0
     levels = F.sequence(F.lit(0), F.lit(max(int(most).bit_length() - 1, 0)))
-    leaves = pairs.join(number, [*keys, "t"]).select(*keys, "p", "w", "i", F.explode(levels).alias("level"))
+    leaves = joined(pairs, number, [*keys, "t"]).select(*keys, "p", "w", "i", F.explode(levels).alias("level"))
     half = F.expr("i >> level")
     nodes = leaves.withColumn("half", half).groupBy(*keys, "level", F.expr("half >> 1").alias("node"), "p").agg(F.sum(F.when(F.col("half") % 2 == 0, F.col("w")).otherwise(0)).alias("left"), F.sum(F.when(F.col("half") % 2 == 1, F.col("w")).otherwise(0)).alias("right"))
     group = [*keys, "level", "node"]
     totals = nodes.groupBy(*group).agg(F.sum("right").alias("all_right"))
-    counted = running_sum(nodes, group, ["p"], "right", "less").join(totals, group)
+    counted = joined(running_sum(nodes, group, ["p"], "right", "less"), totals, group)
     sums = counted.groupBy(*keys).agg(F.sum(F.col("left") * F.col("less")).cast("double").alias("q"), F.sum(F.col("left") * (F.col("all_right") - F.col("less") - F.col("right"))).cast("double").alias("c"))
     tied = lambda by, name: pairs.groupBy(*keys, by).agg(F.sum("w").alias("w")).groupBy(*keys).agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias(name))
     both = pairs.groupBy(*keys).agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("both"))
-    all_ = sums.join(tied("t", "in_t"), keys).join(tied("p", "in_p"), keys).join(both, keys) if keys else sums.crossJoin(tied("t", "in_t")).crossJoin(tied("p", "in_p")).crossJoin(both)
+    all_ = sums
+    for part in (tied("t", "in_t"), tied("p", "in_p"), both):
+        all_ = joined(all_, part, keys) if keys else all_.crossJoin(part)  # a row each
     only_t, only_p = F.col("in_t") - F.col("both"), F.col("in_p") - F.col("both")
     s = F.col("c") + F.col("q")
     return all_.select(*keys, F.try_divide(F.col("c") - F.col("q"), F.sqrt((s + only_t) * (s + only_p))).alias("kendall"))
@@ -111,12 +112,13 @@ def unmatched(truth: DataFrame, predictions: DataFrame, key: str = "id") -> Data
     return a.join(b, key, "left_anti").withColumn("side", F.lit("truth")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("prediction")))
 
 
-def summary(values: DataFrame, z: float = 1.69, bounded: tuple[str, ...] = ("rmsd",)) -> DataFrame:
-    """dataset, metric, mean, std, sem, ci95_lower, ci95_upper over resamples (AGG8, AGG9, D14)."""
-    base = values.groupBy("dataset", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("_n"))
+def summary(values: DataFrame, z: float = 1.69, bounded: tuple[str, ...] = ("rmsd",), keys: list[str] = ()) -> DataFrame:
+    """keys, dataset, metric, mean, std, sem, ci95_lower, ci95_upper over resamples (AGG8, AGG9, D14)."""
+    keys = [*keys, "dataset", "metric"]
+    base = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("_n"))
     base = base.withColumn("sem", F.try_divide(F.col("std"), F.sqrt("_n")))
     has = F.col("metric").isin(*bounded)
-    return base.select("dataset", "metric", "mean", "std", "sem", F.when(has, F.col("mean") - z * F.col("sem")).alias("ci95_lower"), F.when(has, F.col("mean") + z * F.col("sem")).alias("ci95_upper"))
+    return base.select(*keys, "mean", "std", "sem", F.when(has, F.col("mean") - z * F.col("sem")).alias("ci95_lower"), F.when(has, F.col("mean") + z * F.col("sem")).alias("ci95_upper"))
 
 
 def drift(rows: DataFrame, keys: list[str], stored: str, fresh: str, id_column: str) -> DataFrame:

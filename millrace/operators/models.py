@@ -33,8 +33,8 @@ def assembled(rows: DataFrame, columns: list[str], name: str = "features") -> Da
 
 def knn_regress(queries: DataFrame, training: DataFrame, k: int = 5) -> DataFrame:
     """query_id, pred: mean y of the k nearest training vectors by Euclidean distance, ties to the smaller id (MOD1)."""
-    near = dense_nearest(queries, training, k, "euclidean")
-    return near.join(training.select("id", "y"), "id").groupBy("query_id").agg(F.avg("y").alias("pred"))
+    near = dense_nearest(queries, training, k, "euclidean", carry=["y"])
+    return near.groupBy("query_id").agg(F.avg("y").alias("pred"))
 
 
 def ridge(rows: DataFrame, columns: list[str], y: str, alpha: float):
@@ -80,9 +80,9 @@ def pls(rows: DataFrame, columns: list[str], y: str, components: int = 2) -> tup
     return dict(zip(columns, b.tolist(), strict=True)), float(mean[-1] - b @ mean[:-1])
 
 
-def forest(regression: bool = True, trees: int = 100, depth: int = 5, min_leaf: int = 1, seed: int = 56, y: str = "y"):
+def forest(regression: bool = True, trees: int = 100, depth: int = 5, min_leaf: int = 1, seed: int = 56, y: str = "y", features: str = "features"):
     """Random forest estimator (MOD4, MOD5); regression looks at all features at each split."""
-    common = {"featuresCol": "features", "labelCol": y, "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": min_leaf, "seed": seed}
+    common = {"featuresCol": features, "labelCol": y, "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": min_leaf, "seed": seed}
     return RandomForestRegressor(featureSubsetStrategy="all", **common) if regression else RandomForestClassifier(**common)
 
 
@@ -247,6 +247,22 @@ class SupportVectorRegression(Estimator, _Stage):
         return LinearPrediction(weights=[float(w * sd) for w in weights], intercept=float(intercept * sd + mean), features=self.getOrDefault("features"))
 
 
+class Ridge(Estimator, _Stage):
+    """Ridge regression on a vector column, penalty alpha on unscaled coefficients, as ridge() has it (MOD2)."""
+
+    alpha = Param(Params._dummy(), "alpha", "penalty", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, alpha: float | None = None, features: str | None = None, label: str | None = None):
+        super().__init__()
+        self._settle(self._input_kwargs, alpha=1.0)
+
+    def _fit(self, dataset: DataFrame):
+        features, y = self.getOrDefault("features"), self.getOrDefault("label")
+        n, sd = dataset.agg(F.count(y), F.stddev_pop(y)).first()
+        return LinearRegression(featuresCol=features, labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal", regParam=self.getOrDefault("alpha") * (sd or 1.0) / max(n, 1)).fit(dataset)
+
+
 class NeighbourPrediction(Model, _Stage):
     """Mean target of the nearest rows of a written training table (MOD1). Rows need an id that is theirs alone."""
 
@@ -290,7 +306,7 @@ def _kernel(model: Callable, n: int = 64, gamma: float = 1.0, seed: int = 3, **o
 
 #: Estimators by name (MOD8); nothing is looked up by evaluating text.
 REGISTRY: dict[str, Callable] = {
-    "ridge": lambda y="y", **k: LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal", **k),
+    "ridge": lambda y="y", alpha=None, **k: Ridge(label=y, alpha=float(alpha)) if alpha is not None else LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal", **k),
     "forest": lambda y="y", **k: forest(True, y=y, **k),
     "forest_classifier": lambda y="y", **k: forest(False, y=y, **k),
     "neighbours": lambda y="y", **k: NearestNeighbours(label=y, **k),

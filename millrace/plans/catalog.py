@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar
 from millrace.functions.vectors import share_of_group
 from millrace.operators import ensemble, features, metrics, models, profile, rows, search, similarity, splits
-from millrace.plans import jobs
+from millrace.operators.scoring import BatchModel
+from millrace.plans import jobs, packaging
 from millrace.plans.spec import ScoreSpec
-from millrace.sources.readers import numbered, read_column, row_range
+from millrace.sources.readers import numbered, packaged_training_data, read_column, read_tokens, row_range
 from millrace.sources.stores import append_run, cut, merged, shared_folder
 from millrace.sources.writers import append_predictions, write_scored
 from millrace.streaming import profiles as streams
+from millrace.streaming.epochs import stopping_stream, write_stops
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +93,7 @@ def screening_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.with_edges(profile.gap_filled(profile.histogram(spec.score(valid, ["mpo"]), spec.profiles)), spec.profiles)
 
 
-@query("""
+SCORING_JOB = """
 WITH j AS (SELECT p_size, p_retailprice, coalesce(p_retailprice > 910, false) AS valid, coalesce(p_size > 40, false) AS d1, coalesce(p_type LIKE '%PROMO%', false) AS x1 FROM part),
 s AS (SELECT p_size, ln(p_retailprice) AS lp FROM j WHERE valid AND NOT x1),
 m AS (SELECT p_size, -lp * (1.0::DOUBLE / (1.0::DOUBLE + exp((p_size + lp) / 5.0::DOUBLE - 8.0::DOUBLE))) AS mpo FROM s),
@@ -101,17 +103,52 @@ UNION ALL SELECT 'items', NULL, count(*) FROM j
 UNION ALL SELECT 'valid', NULL, count(*) FILTER (valid) FROM j
 UNION ALL SELECT 'invalid', NULL, count(*) FILTER (NOT valid) FROM j
 UNION ALL SELECT 'passed', NULL, count(*) FILTER (valid AND NOT x1) FROM j
-""")
+"""
+
+
+def _scoring_job() -> jobs.ScoringJob:
+    return jobs.ScoringJob(_spec(), ["mpo"], F.col("p_retailprice") > 910, [("D1", F.col("p_size") > 40), ("X1", F.col("p_type").contains("PROMO"))], "D")
+
+
+def _job_totals(spark: SparkSession, folder: str) -> DataFrame:
+    profiled, counted = jobs.totals(spark, folder)
+    return profiled.select(F.col("value_name").alias("value"), "bin_idx", "n").unionByName(counted.select(F.col("counter").alias("value"), F.lit(None).cast("long").alias("bin_idx"), "n"))
+
+
+@query(SCORING_JOB)
 def scoring_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles and counters of a whole scoring job in two runs, the first of them done again."""
     part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
     small = F.coalesce(F.col("p_size") <= 25, F.lit(True))
-    job = jobs.ScoringJob(_spec(), ["mpo"], F.col("p_retailprice") > 910, [("D1", F.col("p_size") > 40), ("X1", F.col("p_type").contains("PROMO"))], "D")
-    folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    folder = _scratch(spark, "job")
     for run_id, which in (("small", small), ("large", ~small), ("small", small)):
-        jobs.run_scoring(part.where(which), job, folder, run_id)
-    profiled, counted = jobs.totals(spark, folder)
-    return profiled.select(F.col("value_name").alias("value"), "bin_idx", "n").unionByName(counted.select(F.col("counter").alias("value"), F.lit(None).cast("long").alias("bin_idx"), "n"))
+        jobs.run_scoring(part.where(which), _scoring_job(), folder, run_id)
+    return _job_totals(spark, folder)
+
+
+def _price_model(weights, size, price):
+    """A made-up model with two outputs."""
+    return weights[0] * price + weights[1] * size, abs(weights[1]) * size / price
+
+
+def _fragile(_, size):
+    """A model that raises on a batch with a large part in it."""
+    if (size > 45).any():
+        raise ValueError("too large")
+    return 2 * size
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS s, p_retailprice AS r FROM part WHERE p_retailprice > 910)
+SELECT id, round(0.5::DOUBLE * r - 3.0::DOUBLE * s, 6) AS worth, round(3.0::DOUBLE * s / r, 6) AS doubt, CASE WHEN s <= 45 THEN 2.0::DOUBLE * s END AS twice, round(0.5::DOUBLE * r - 3.0::DOUBLE * s + coalesce(CASE WHEN s <= 45 THEN 2.0::DOUBLE * s END, 0), 6) AS total, true AS timed FROM p""")
+def scoring_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scoring job with two models, one of two outputs and one that fails on some rows, and a score from both (MOD12, UDF1, FN2)."""
+    made = {"price": BatchModel(["p_size", "p_retailprice"], ["worth", "doubt"], _price_model, [0.5, -3.0]), "fragile": BatchModel(["p_size"], ["twice"], _fragile)}
+    spec = ScoreSpec({"total": F.col("worth") + F.coalesce("twice", F.lit(0.0))}, {}, {"worth": 10, "total": 10})
+    folder = _scratch(spark, "models")
+    parts = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    jobs.run_scoring(parts, jobs.ScoringJob(spec, ["total"], F.col("p_retailprice") > 910, models=made, timed=True), folder, "all")
+    found = spark.read.parquet(f"{folder}/scored")
+    return found.select("id", *[six(F.col(c)).alias(c) for c in ("worth", "doubt", "twice", "total")], ((F.col("worth_time") >= 0) & (F.col("twice_time") >= 0)).alias("timed"))
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, 'a-i' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, doc_id FROM documents QUALIFY line_no >= 25")
@@ -508,9 +545,19 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.running_best(_epochs(spark, sf_dir)).select("run", "epoch", "best_loss", "best_epoch")
 
 
-@query()
+STOPS = f"""WITH RECURSIVE {EPOCHS}, f AS (
+  SELECT DISTINCT run, CAST(0 AS BIGINT) AS epoch, CAST(3 AS BIGINT) AS due, CAST('inf' AS DOUBLE) AS before, CAST('inf' AS DOUBLE) AS best, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS stop FROM epochs
+  UNION ALL
+  SELECT run, epoch, CASE WHEN checked THEN greatest(least(place + 3, 30), epoch + 1) ELSE due END, CASE WHEN checked THEN best ELSE before END, best, place,
+    CASE WHEN checked AND epoch = 30 THEN 30 WHEN checked AND before - best <= 0.5 THEN place ELSE stop END
+  FROM (SELECT f.run, e.epoch, f.due, f.before, f.stop, f.stop IS NULL AND e.epoch = f.due AS checked, CASE WHEN e.loss < f.best THEN e.loss ELSE f.best END AS best, CASE WHEN e.loss < f.best THEN e.epoch ELSE f.place END AS place
+    FROM f JOIN epochs e ON e.run = f.run AND e.epoch = f.epoch + 1 WHERE e.epoch <= 30)
+), stops AS (SELECT run, CAST(max(stop) AS INTEGER) AS stop_epoch FROM f GROUP BY run)"""
+
+
+@query(f"{STOPS} SELECT run, stop_epoch FROM stops")
 def early_stop_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Early-stop epoch of each run (WIN6); a fold, tested against a plain loop."""
+    """Early-stop epoch of each run (WIN6)."""
     return search.stopping_epoch(_epochs(spark, sf_dir), 30, 3, 0.5)
 
 
@@ -610,9 +657,9 @@ c AS (SELECT id, count(*) AS k FROM g GROUP BY ALL), q AS (SELECT * FROM g WHERE
 hits AS (SELECT q.id AS query_id, t.id AS id, count(*) AS c FROM q JOIN g t USING (bit) GROUP BY ALL), sims AS (SELECT query_id, hits.id, c / (a.k + b.k - c) AS similarity FROM hits JOIN c a ON a.id = query_id JOIN c b ON b.id = hits.id)"""
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bits = cut(_bits(spark, sf_dir), "bits")
-    return bits.where("id % 100 = 0"), similarity.tanimoto_hits(bits.where("id % 100 = 0"), bits)
+def _hits(spark: SparkSession, sf_dir: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    bits = _bits(spark, sf_dir)
+    return bits.where("id % 100 = 0"), similarity.tanimoto_hits(bits.where("id % 100 = 0"), bits, k=k)
 
 
 @query(f"WITH {BITS} SELECT query_id, id, round(similarity, 6) AS similarity FROM sims")
@@ -626,7 +673,7 @@ def tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS query_id, round(coalesce(s, 0) / 3, 6) AS applicability FROM documents LEFT JOIN t ON doc_id = query_id WHERE doc_id % 100 = 0""")
 def applicability_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity to the three nearest documents (SIM4, WIN2)."""
-    queries, hits = _hits(spark, sf_dir)
+    queries, hits = _hits(spark, sf_dir, 3)
     n = table(spark, sf_dir, "documents").count()
     return similarity.applicability(queries, hits, n).withColumn("applicability", six(F.col("applicability")))
 
@@ -766,6 +813,78 @@ def model_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("dataset", "metric", F.when(F.col("metric") == "r2", F.round("mean", 6)).otherwise(F.round("mean", 2)).alias("mean"))
 
 
+@query(f"""WITH m AS (SELECT o_orderkey AS id, o_totalprice AS x, o_totalprice + o_custkey % 100 * 1000.0::DOUBLE AS y FROM orders WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_custkey IS NOT NULL),
+d AS (SELECT *, 0 AS resample FROM m), r AS (SELECT *, row_number() OVER (ORDER BY {DRAW}, id) - 1 AS r, count(*) OVER () AS n FROM d),
+o AS (SELECT *, CASE WHEN r < ceil(round(n * 0.25::DOUBLE, 9)) THEN 'test' ELSE 'train' END AS dataset FROM r),
+w AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o WHERE dataset = 'train')
+SELECT dataset, round(sqrt(avg((a * x + b - y) ^ 2)), 2) AS rmsd FROM o, w GROUP BY dataset""")
+def elimination_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model-building job whose pipeline drops a constant column and eliminates weak ones by forest importance before a ridge (FEA5, FEA8, MOD8)."""
+    settings = {
+        "dataset": {"tasks": ["y"], "descriptors": ["weak", "o_totalprice", "flat", "noise"], "id_field": "o_orderkey"},
+        "train_test_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.25},
+        "train_val_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.25},
+        "training": {"model_fn_str": "ridge_eliminate"},
+        "hyperparams": {"eliminate__keep": [1], "regParam": [0.0]},
+    }
+    orders = table(spark, sf_dir, "orders").where("o_custkey is not null")
+    orders = orders.select("o_orderkey", "o_totalprice", F.lit(3.0).alias("flat"), (F.col("o_orderkey") % 11).alias("weak"), (F.col("o_orderkey") * 7 % 13).alias("noise"), (F.col("o_totalprice") + F.col("o_custkey") % 100 * 1000.0).alias("y"))
+    found = jobs.run_models(orders, settings, _scratch(spark, "elimination"), seed=7)
+    return found.where("metric = 'rmsd'").select("dataset", F.round("mean", 2).alias("rmsd"))
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS id, o_totalprice AS x, o_custkey AS c, o_orderstatus AS s FROM orders WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_custkey IS NOT NULL),
+m AS (SELECT id, x, s, 'cost' AS task, x + c % 100 * 1000.0::DOUBLE AS y FROM b UNION ALL SELECT id, x, s, 'load', CASE WHEN c % 4 > 0 THEN 2.0::DOUBLE * x - c % 50 * 3000.0::DOUBLE END FROM b),
+d AS (SELECT * FROM b, (SELECT unnest(range(0, 2)) AS resample)),
+r AS (SELECT *, row_number() OVER (PARTITION BY resample ORDER BY {DRAW}, id) - 1 AS r, count(*) OVER (PARTITION BY resample) AS n FROM d),
+o AS (SELECT r.resample, m.task, m.id, m.x, m.y, CASE WHEN r < ceil(round(n * 0.25::DOUBLE, 9)) THEN 'test' ELSE 'train' END AS dataset FROM r JOIN m USING (id)),
+w AS (SELECT resample, task, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o WHERE dataset = 'train' AND y IS NOT NULL GROUP BY ALL),
+p AS (SELECT resample, task, id, dataset, y, a * x + b AS pred FROM o JOIN w USING (resample, task) UNION ALL SELECT resample, task, id, 'finished', y, a * x + b FROM m JOIN w USING (task) WHERE s = 'F'),
+e AS (SELECT -1 AS resample, task, id, 'ensemble' AS dataset, any_value(y) AS y, avg(pred) AS pred FROM p WHERE dataset = 'test' GROUP BY task, id),
+v AS (SELECT resample, task, dataset, sqrt(avg((pred - y) ^ 2)) AS rmsd, avg(abs(pred - y)) AS mae, 1.0::DOUBLE - sum((pred - y) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM (SELECT * FROM p UNION ALL SELECT * FROM e) WHERE y IS NOT NULL GROUP BY ALL)
+SELECT task, dataset, 'rmsd' AS metric, round(avg(rmsd), 2) AS mean FROM v GROUP BY ALL
+UNION ALL SELECT task, dataset, 'mae', round(avg(mae), 2) FROM v GROUP BY ALL
+UNION ALL SELECT task, dataset, 'r2', round(avg(r2), 6) FROM v GROUP BY ALL""")
+def model_job_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model-building job with two targets, one of which a quarter of the items lacks, an external set and averaged refits (MET15, AGG16, SRC9, SNK9)."""
+    orders = table(spark, sf_dir, "orders").select("*", (F.col("o_totalprice") + F.col("o_custkey") % 100 * 1000.0).alias("cost"), F.when(F.col("o_custkey") % 4 > 0, 2.0 * F.col("o_totalprice") - F.col("o_custkey") % 50 * 3000.0).alias("load"))
+    orders = orders.where("o_custkey is not null")
+    finished = _scratch(spark, "finished")
+    orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("code"), "o_totalprice", "cost", "load").write.parquet(finished)
+    settings = {
+        "dataset": {"tasks": ["cost", "load"], "descriptors": ["o_totalprice"], "id_field": "o_orderkey"},
+        "train_test_split": {"split_method": "random", "n_splits": 2, "frac_test": 0.25},
+        "train_val_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.25},
+        "training": {"model_fn_str": "ridge", "calculate_ensemble_performance": True, "n_cpus": 4},
+        "hyperparams": {"regParam": [1e15, 0.0]},
+        "ext_datasets": {"finished": {"dataset_file": finished, "id_field": "code"}},
+    }
+    found = jobs.run_models(orders, settings, _scratch(spark, "model-targets"), seed=7)
+    return found.where(F.col("metric").isin("rmsd", "mae", "r2")).select("task", "dataset", "metric", F.when(F.col("metric") == "r2", F.round("mean", 6)).otherwise(F.round("mean", 2)).alias("mean"))
+
+
+@query("""WITH m AS (SELECT * FROM orders WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_custkey IS NOT NULL)
+SELECT 'training' AS part, count(*) AS n, CAST(round(sum(o_totalprice), 0) AS BIGINT) AS total FROM m UNION ALL SELECT 'check', 2 * CAST(ceil(round(count(*) * 0.25::DOUBLE, 9)) AS BIGINT), 0 FROM m""")
+def packaged_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's models packaged and read back: training rows under public names, and how many check rows the package's models reproduce (MOD15, SNK13, SNK14)."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey is not null and o_totalprice is not null and o_custkey is not null")
+    orders = orders.select("o_orderkey", "o_totalprice", (F.col("o_totalprice") + F.col("o_custkey") % 100 * 1000.0).alias("y"))
+    settings = {
+        "dataset": {"tasks": ["y"], "descriptors": ["o_totalprice"], "id_field": "o_orderkey"},
+        "train_test_split": {"split_method": "random", "n_splits": 2, "frac_test": 0.25},
+        "train_val_split": {"split_method": "random", "n_splits": 1, "frac_test": 0.25},
+        "training": {"model_fn_str": "ridge"},
+        "hyperparams": {"alpha": [1.0]},
+    }
+    here = _scratch(spark, "packaged")
+    jobs.run_models(orders, settings, f"{here}/job", seed=7)
+    packaging.package(orders, f"{here}/job", f"{here}/package", {"o_orderkey": "code", "o_totalprice": "price"})
+    packaging.checked_package(spark, f"{here}/package")
+    training = packaged_training_data(spark, f"{here}/package/training").agg(F.lit("training").alias("part"), F.count("code").alias("n"), F.round(F.sum("price")).cast("long").alias("total"))
+    again = packaging.reproduced(spark, f"{here}/package", orders).where("largest_diff < 1e-6").agg(F.lit("check").alias("part"), F.sum("n").alias("n"), F.lit(0).cast("long").alias("total"))
+    return training.unionByName(again)
+
+
 @query(f"""WITH {PAIRS}, m AS (SELECT unnest(['a', 'b', 'c']) AS member, unnest([0.5::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE]) AS w), p AS (SELECT id, (q * w + 1.0::DOUBLE) * 100.0::DOUBLE + 7.0::DOUBLE AS pred FROM pairs, m)
 SELECT id, round(avg(pred), 4) AS mean, round(stddev_pop(pred), 4) AS spread FROM p GROUP BY ALL""")
 def ensemble_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -791,6 +910,26 @@ def stream_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.stored_profile(spark, f"{here}/store")
 
 
+@query(SCORING_JOB)
+def scoring_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring job on parts as they arrive, begun a second time after its end; totals as of the job over all parts (STR1)."""
+    here = _scratch(spark, "scoring-stream")
+    parts = _replay(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    for _ in range(2):
+        streams.scoring_stream(parts, _scoring_job(), here, f"{here}/checkpoint", "parts").awaitTermination()
+    return _job_totals(spark, here)
+
+
+@query(f"{STOPS} SELECT run, stop_epoch FROM stops WHERE stop_epoch IS NOT NULL")
+def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early stops decided while epochs arrive out of order, with state by run (WIN6, UDF7)."""
+    here = _scratch(spark, "epochs")
+    _epochs(spark, sf_dir).repartition(3, F.xxhash64("run", "epoch")).write.parquet(f"{here}/epochs")
+    epochs = streams.arriving(spark, f"{here}/epochs", spark.read.parquet(f"{here}/epochs").schema, 1)
+    write_stops(stopping_stream(epochs, 30, 3, 0.5), f"{here}/stops", f"{here}/checkpoint").awaitTermination()
+    return spark.read.schema("run long, stop_epoch int").parquet(f"{here}/stops")
+
+
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS start, CAST(floor(value / 50.0::DOUBLE) AS BIGINT) AS bin_idx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def stream_windowed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile for each day of event time, each window written once, when the watermark has passed it (STR4).
@@ -831,6 +970,14 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", F.col("resample").cast("long").alias("resample"), "data_split", "prediction")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS line_no, CAST(o_orderkey AS VARCHAR) AS structure FROM orders WHERE o_orderstatus IS NOT NULL QUALIFY line_no >= 100")
+def file_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows [100, end) of token files of unequal size, numbered in the order of the files (SRC2, SRC4, ID1)."""
+    path, orders = _scratch(spark, "tokens"), table(spark, sf_dir, "orders").where("o_orderstatus is not null")
+    orders.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey").select("o_orderstatus", F.col("o_orderkey").cast("string")).write.partitionBy("o_orderstatus").text(path)
+    return row_range(numbered(read_tokens(spark, path)), 100).select("line_no", "structure")
+
+
 @query("SELECT 100000 + l_partkey AS part, l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber FROM lineitem")
 def renamed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows under the ids of another naming (JN10)."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import warnings
 from dataclasses import dataclass, field
 
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import typed_value
-from millrace.operators import metrics, models, profile, rows, search, splits
+from millrace.operators import ensemble, metrics, models, profile, rows, search, selection, splits
+from millrace.operators.scoring import BatchModel, with_models
 from millrace.plans.spec import ScoreSpec, checked_settings
 from millrace.sources.stores import there
 
@@ -28,7 +30,8 @@ class ScoringJob:
 
     Invalid items are rejects. Items that break a rule of the cascade are rejects too, with its codes
     as the reason, but for those that break only rules with the prefix tolerated. variants, if given,
-    makes several rows of an item before names are scored.
+    makes several rows of an item before names are scored. models run over those rows in one pass; their
+    outputs are columns that names and profiles may use, with seconds a row if timed.
     """
 
     spec: ScoreSpec
@@ -37,6 +40,8 @@ class ScoringJob:
     rules: list[tuple[str, Column]] = field(default_factory=list)
     tolerated: str | None = None
     variants: Column | None = None
+    models: dict[str, BatchModel] = field(default_factory=dict)
+    timed: bool = False
 
 
 def _folder(folder: str, kind: str, run_id: str) -> str:
@@ -44,7 +49,9 @@ def _folder(folder: str, kind: str, run_id: str) -> str:
 
 
 def _stored(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{kind}")
+    # run ids are text: 001 is not 1
+    own = spark.read.parquet(f"{folder}/{kind}/run_id=*").schema
+    return spark.read.schema(own.add("run_id", "string")).parquet(f"{folder}/{kind}")
 
 
 def run_scoring(items: DataFrame, job: ScoringJob, folder: str, run_id: str) -> None:
@@ -64,7 +71,8 @@ def run_scoring(items: DataFrame, job: ScoringJob, folder: str, run_id: str) ->
     good = judged.where("reason is null")
     if job.variants is not None:
         good = rows.expanded(good, job.variants)
-    job.spec.score(good.drop("reason", "pass"), job.names).write.mode("overwrite").parquet(_folder(folder, "scored", run_id))
+    good = with_models(good.drop("reason", "pass"), job.models, job.timed)
+    job.spec.score(good, job.names).write.mode("overwrite").parquet(_folder(folder, "scored", run_id))
     judged.where("reason is not null").drop("pass", "warning").write.mode("overwrite").parquet(_folder(folder, "rejects", run_id))
     scored = spark.read.parquet(_folder(folder, "scored", run_id))
     flags = job.spec.flags
@@ -80,13 +88,13 @@ def run_scoring(items: DataFrame, job: ScoringJob, folder: str, run_id: str) ->
 
 def finished_runs(spark: SparkSession, folder: str) -> DataFrame:
     """run_id of the runs whose last table is written, to take from the work list with rows.unfinished()."""
-    return _stored(spark, folder, "counters").select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    return _stored(spark, folder, "counters").select("run_id").distinct()
 
 
 def totals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Profile and counters, summed over all runs."""
-    profiled, counted = (_stored(spark, folder, kind).drop("run_id") for kind in ("profile", "counters"))
-    return profile.merge(profiled), profile.merge(counted)
+    """Profile and counters, summed over all finished runs."""
+    profiled = _stored(spark, folder, "profile").join(finished_runs(spark, folder), "run_id", "left_semi")
+    return profile.merge(profiled.drop("run_id")), profile.merge(_stored(spark, folder, "counters").drop("run_id"))
 
 
 def _outer(items: DataFrame, how: dict, seed: int) -> DataFrame:
@@ -108,17 +116,31 @@ def _outer(items: DataFrame, how: dict, seed: int) -> DataFrame:
 
 
 def _inner(items: DataFrame, how: dict, seed: int):
-    """A function of (ids, resample) that gives cv, id, split by the settings of the train / validation split."""
-    n = int(how.get("n_splits", 5))
+    """A function of (ids, resample) that gives cv, id, split by the settings of the train / validation split.
+
+    A predefined split is a table (id, split) with a column cv for several folds and resample for those
+    of one resample; ids that are in a resample's test part are left out of it.
+    """
+    n, by = int(how.get("n_splits", 5)), how.get("strat_field")
 
     def drawn(ids: DataFrame, resample: int) -> DataFrame:
-        method = how.get("split_method", "k-fold")
+        method, here = how.get("split_method", "k-fold"), seed + resample
+        mine = items.join(ids, "id", "left_semi")
+        test = float(how.get("frac_test", 0.25))
         if method in ("rand", "random"):
-            return splits.random_splits(ids, n, float(how.get("frac_test", 0.25)), None, seed + resample).withColumnRenamed("resample", "cv")
+            return splits.random_splits(ids, n, test, None, here).withColumnRenamed("resample", "cv")
+        if method in ("strat", "stratified"):
+            return splits.stratified_splits(mine, by, n, float(how.get("frac_train", 1 - test)), here).withColumnRenamed("resample", "cv")
+        if method == "predefined":
+            lists = items.sparkSession.read.parquet(how["from_file"])
+            if "resample" in lists.columns:
+                lists = lists.where(F.col("resample") == resample)
+            cv = F.col("cv") if "cv" in lists.columns else F.lit(0)
+            return ids.join(lists.select("id", cv.cast("string").alias("cv"), F.when(F.col("split") == "val", "test").otherwise(F.col("split")).alias("split")), "id").select("cv", "id", "split")
         if method == "group":
-            folds = splits.grouped_kfold(items.join(ids, "id", "left_semi"), how["strat_field"], n)
+            folds = splits.grouped_kfold(mine, by, n)
         elif method == "k-fold":
-            folds = splits.kfold(ids, n, seed + resample)
+            folds = splits.kfold(ids, n, here)
         else:
             raise ValueError(f"unknown split method {method}")
         cv = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -136,88 +158,181 @@ def _measures(classes: bool) -> dict[str, Column]:
     return {"loss": found["mse"], **{n: found[n] for n in ("r2", "rmsd", "bias", "mae", "pearson")}}
 
 
-def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, parallelism: int = 2) -> DataFrame:
-    """Builds models as the settings say, under folder, and returns dataset, metric, mean, std, sem, ci95_lower, ci95_upper.
+#: Settings that belong to engines which this library doesn't have; a job that names them is refused.
+REFUSED = {"early_stopping", "early_stopping_patience", "early_stopping_threshold", "epochs", "uncertainty"}
 
-    Settings: dataset (one of tasks, descriptors, id_field, mode regression or classification),
-    train_test_split, train_val_split, training (model_fn_str a name in models.REGISTRY, search, n_iter,
-    selection_metric, select_max_value) and hyperparams (lists of values). Items without a target or with
-    a missing descriptor or id take no part; ids must be unique. Folder gets splits, a log row for each
-    model of each fold, and for each resample the refitted model, its predictions of train and test
-    items, and its metrics. A job that is called again does only what isn't written yet: splits are
-    never drawn anew and fits in the log are not repeated; the values of a grid may change, not its names. The driver loops over models, never rows.
+
+def _checked(settings: dict) -> dict:
+    """The job's settings; what the job wouldn't act on is an error."""
+    told = checked_settings(settings)
+    data, training = told["dataset"], told["training"]
+    ignored = sorted({k for k in REFUSED if training.get(k)} | {k for k in ("preprocessing", "trained_model", "training_data", "test_data", "output_options") if told.get(k)} | {k for k in ("fingerprints",) if data.get(k)})
+    if ignored:
+        raise ValueError(f"a job doesn't act on {ignored}")
+    if training["model_fn_str"] not in models.REGISTRY.keys() | selection.PIPELINES.keys():
+        raise ValueError(f"unknown model {training['model_fn_str']}")
+    if not data["tasks"] or len(set(data["tasks"])) < len(data["tasks"]):
+        raise ValueError("a job has targets, each once")
+    if training["save_model"] not in ("refit", "none") or training["save_predictions"] != "refit":
+        raise ValueError("save_model is refit or none, save_predictions refit, as a restart needs them")
+    return told
+
+
+def _prepared(items: DataFrame, data: dict, extra: list[str] = ()) -> DataFrame:
+    """id, descriptors, fields to split by and a column _y<i> for each target. Rows without id, a descriptor or any target go."""
+    columns = _descriptors(data)
+    targets = [f"_y{i}" for i in range(len(data["tasks"]))]
+    usable = items.select(
+        F.col(data.get("id_field", "id")).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(c).alias(f"_by_{c}") for c in extra],
+        *[F.nanvl(F.col(t).cast("double"), F.lit(None).cast("double")).alias(y) for t, y in zip(data["tasks"], targets, strict=True)],
+    )
+    return usable.na.drop(subset=["id", *columns]).na.drop("all", subset=targets)
+
+
+def _descriptors(data: dict) -> list[str]:
+    return list(dict.fromkeys([*data["descriptors"], *data.get("extra_desc", [])]))
+
+
+def job_key(usable: DataFrame, told: dict, seed: int) -> str:
+    """What a job's splits and fits depend on, but for the values tried: model, settings, seed and the data's count and sum of row hashes."""
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in usable.columns])
+    n, total = usable.agg(F.count("*"), F.sum(row.cast("decimal(38,0)"))).first()
+    space = told.get("hyperparams", {})
+    parts = [told["dataset"], told.get("train_test_split"), told.get("train_val_split"), told["training"]["model_fn_str"], sorted(k for k in space if k != "_order"), seed, n, str(total)]
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def external_items(spark: SparkSession, told: dict) -> dict[str, DataFrame]:
+    """The prepared external sets of the settings, each read from its dataset_file with the main set's settings where it gives none (SRC9)."""
+    found = {}
+    sets = told.get("ext_datasets") or {}
+    for name in sets.get("_order", [k for k in sets if k != "_order"]):
+        own = told["dataset"] | sets[name]
+        path = own["dataset_file"]
+        table = spark.read.option("header", True).csv(path) if path.removesuffix(".gz").endswith(".csv") else spark.read.parquet(path)
+        found[name] = _prepared(table, own | {"tasks": told["dataset"]["tasks"]})
+    if wrong := {"train", "test", "ensemble"} & found.keys():
+        raise ValueError(f"external sets can't be called {sorted(wrong)}")
+    return found
+
+
+def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, parallelism: int | None = None) -> DataFrame:
+    """Builds models as the settings say, under folder, and returns task, dataset, metric, mean, std, sem, ci95_lower, ci95_upper.
+
+    Settings: dataset (tasks, descriptors, extra_desc, id_field, mode regression or classification),
+    train_test_split, train_val_split, training (model_fn_str a name in models.REGISTRY or selection.PIPELINES, search, n_iter,
+    selection_metric, select_max_value, n_cpus fits at a time, save_model refit or
+    none, calculate_ensemble_performance), hyperparams (lists of values) and ext_datasets. What a job
+    wouldn't act on is refused. Items without an id, a descriptor or any target take no part; ids must be
+    unique. Each target has models of its own, learned and judged on the items that have it; splits and
+    the chosen combination are those of all targets together.
+
+    Folder gets, under the job's key, splits, a log row for each model of each fold, and for each resample and target
+    the refitted model, its predictions of train, test and external items, and a row of the run log;
+    further averages (mean of the refits' predictions of an item where it was in test, for items whole in
+    all targets) and performance. A job that is called again does only what isn't written yet. Another
+    model, target, column, split, seed or data has another key, so nothing of it is taken. The driver
+    loops over models, never rows.
     """
-    spark, told = items.sparkSession, checked_settings(settings)
+    spark, told = items.sparkSession, _checked(settings)
     data, training = told["dataset"], told["training"]
-    if len(data["tasks"]) != 1:
-        raise ValueError("a job has one target")
-    classes, name, columns = data.get("mode") == "classification", training["model_fn_str"], list(data["descriptors"])
-    if name not in models.REGISTRY:
-        raise ValueError(f"unknown model {name}")
-    extra = sorted({told.get(k, {}).get("strat_field") for k in ("train_test_split", "train_val_split")} - {None})
-    usable = items.select(F.col(data.get("id_field", "id")).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(c).alias(f"_by_{c}") for c in extra], F.col(data["tasks"][0]).cast("double").alias("y"))
-    usable = usable.na.drop(subset=["id", "y", *columns])
+    classes, name, columns, tasks = data.get("mode") == "classification", training["model_fn_str"], _descriptors(data), list(data["tasks"])
+    parallelism = parallelism or int(training.get("n_cpus", 2))
+    fields = sorted({told.get(k, {}).get("strat_field") for k in ("train_test_split", "train_val_split")} - {None})
+    usable = _prepared(items, data, fields)
     how = {k: {n: f"_by_{v}" if n == "strat_field" else v for n, v in told.get(k, {}).items()} for k in ("train_test_split", "train_val_split")}
+    key = job_key(usable, told, seed)
+    at = lambda kind: f"{folder}/{kind}/job={key}"
 
     def draw() -> DataFrame:
         outer = splits.cut(_outer(usable, how["train_test_split"], seed), "outer")
         return splits.nested(outer, _inner(usable, how["train_val_split"], seed))
 
-    table = splits.stored_splits(spark, f"{folder}/splits", draw)
-    space = told.get("hyperparams", {})
-    grid = search.grid(spark, space)
+    table = splits.stored_splits(spark, at("splits"), draw)
+    grid = search.grid(spark, told.get("hyperparams", {}))
     names = [c for c in grid.columns if c != "model_number"]
     folds = [(r[0], r[1]) for r in table.where("cv != 'refit'").select("resample", "cv").distinct().orderBy("resample", "cv").collect()]
-    done = _log(spark, folder).select("resample", "cv_fold", *names) if there(spark, f"{folder}/log") else None
-    make = lambda values: models.pipeline(columns, name, constants=False, scaled=name in ("neighbours", "svr", "svc"), **values)
+    if not folds:
+        raise ValueError("no items to build models from")
+    targets = spark.createDataFrame([(t,) for t in tasks], "task string")
+    done = _log(spark, at("log")).select("resample", "cv_fold", "task", *names) if there(spark, at("log")) else None
+
+    def make(values: dict):
+        if name in selection.PIPELINES:
+            return selection.staged_pipeline(columns, name, **values)
+        return models.pipeline(columns, name, constants=False, scaled=name in ("neighbours", "svr", "svc"), **values)
+
     part = lambda r, cv, s: usable.join(table.where((F.col("resample") == r) & (F.col("cv") == cv) & (F.col("split") == s)).select("id"), "id", "left_semi")
+    having = lambda rows, t: rows.withColumn("y", F.col(f"_y{tasks.index(t)}")).where("y is not null")
     measures = _measures(classes)
     for r, cv in folds:
         tried = search.sampled_grid(grid, int(training.get("n_iter", 10)), seed, r) if training["hyperparam_search"] == "random" else grid
         one_fold = spark.range(1).select(F.lit(r).alias("resample"), F.lit(cv).alias("cv_fold"))
-        work = search.work_list(one_fold, tried, done).orderBy("model_number").collect()
+        work = search.work_list(one_fold, tried.crossJoin(targets), done).orderBy("model_number", "task").collect()
         if not work:
             continue
         train, val = part(r, cv, "train").persist(), part(r, cv, "val").persist()
 
         def fit(row, train=train, val=val, r=r, cv=cv) -> None:
-            values = {n: typed_value(row[n]) for n in names}
-            judged = make(values).fit(train).transform(val).agg(*[m.cast("double").alias(n) for n, m in measures.items()])
-            kept = judged.select("*", *[F.lit(row[n]).alias(n) for n in names])
-            kept.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/resample={r}/cv_fold={cv}/fit={_fit_key(row, names)}")
+            values, began = {n: typed_value(row[n]) for n in names}, time.monotonic()
+            judged = make(values).fit(having(train, row.task)).transform(having(val, row.task)).agg(*[m.cast("double").alias(n) for n, m in measures.items()])
+            kept = judged.select("*", F.lit(row.task).alias("task"), *[F.lit(row[n]).alias(n) for n in names], F.lit(time.monotonic() - began).alias("seconds"))
+            kept.coalesce(1).write.mode("overwrite").parquet(f"{at('log')}/resample={r}/cv_fold={cv}/fit={_fit_key([row.task, *[row[n] for n in names]])}")
 
         models.at_once(spark, fit, work, parallelism)
         train.unpersist()
         val.unpersist()
     # numbers are those of this call's grid, whatever grid the log was begun with
-    log = _log(spark, folder).join(grid, names) if names else _log(spark, folder).crossJoin(grid)
+    log = _log(spark, at("log")).join(grid, names) if names else _log(spark, at("log")).crossJoin(grid)
     best = search.best_configuration(log, training["selection_metric"], training["select_max_value"])
     chosen = {int(r.resample): r for r in best.join(grid, "model_number").collect()}
-    resamples = sorted(chosen)
-    for r in resamples:
-        key = _fit_key(chosen[r], names)
-        if there(spark, f"{folder}/predictions/resample={r}/_SUCCESS") and spark.read.parquet(f"{folder}/predictions/resample={r}").where(F.col("fit") == key).take(1):
-            continue
-        train = part(r, "refit", "train").persist()
-        model = make({n: typed_value(chosen[r][n]) for n in names}).fit(train)
-        train.unpersist()
-        model.write().overwrite().save(f"{folder}/models/resample={r}")
+    external = external_items(spark, told)
+
+    def refit(work) -> None:
+        r, task = work
+        fit_id, began = _fit_key([task, *[chosen[r][n] for n in names]]), time.monotonic()
+        place = f"resample={r}/task={tasks.index(task)}"
+        if there(spark, f"{at('predictions')}/{place}/_SUCCESS") and spark.read.parquet(f"{at('predictions')}/{place}").where((F.col("fit") == fit_id) & F.col("split").isin("train", *external)).select("split").distinct().count() == 1 + len(external):
+            return
+        model = make({n: typed_value(chosen[r][n]) for n in names}).fit(having(part(r, "refit", "train"), task))
+        if training["save_model"] == "refit":
+            model.write().overwrite().save(f"{at('models')}/{place}")
         split = table.where((F.col("resample") == r) & (F.col("cv") == "refit")).select("id", "split")
-        found = model.transform(usable.join(split, "id")).select("id", "split", "y", "prediction", F.lit(int(chosen[r].model_number)).alias("model_number"), F.lit(key).alias("fit"))
-        found.write.mode("overwrite").parquet(f"{folder}/predictions/resample={r}")
-    valued = metrics.evaluated(spark.read.parquet(f"{folder}/predictions"), ["resample", "split"], measures)
-    valued.write.mode("overwrite").parquet(f"{folder}/performance")
-    return metrics.summary(spark.read.parquet(f"{folder}/performance").withColumnRenamed("split", "dataset"))
-
-
-def _fit_key(row, names: list[str]) -> str:
-    return hashlib.md5(json.dumps([row[n] for n in names]).encode()).hexdigest()
-
-
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{folder}/log").withColumns({"resample": F.col("resample").cast("int"), "cv_fold": F.col("cv_fold").cast("string")})
-
-
-def built_model(folder: str, resample: int = 0) -> PipelineModel:
-    """The model that a job kept for a resample (MOD11)."""
-    return PipelineModel.load(f"{folder}/models/resample={resample}")
+        judge = lambda rows, *more: model.transform(rows.withColumn("y", F.col(f"_y{tasks.index(task)}"))).select("id", *more, "y", "prediction")
+        found = judge(usable.join(split, "id"), "split")
+        for label, rows_ in external.items():
+            found = found.unionByName(judge(rows_, F.lit(label).alias("split")))
+        found = found.select(F.lit(task).alias("target"), "*", F.lit(int(chosen[r].model_number)).alias("model_number"), F.lit(fit_id).alias("fit"))
+        found.write.mode("overwrite").parquet(f"{at('predictions')}/{place}")  # what stands here is whole, the model before it
+        stored = spark.read.parquet(f"{at('predictions')}/{place}").where("y is not null")
+        figures = metrics.evaluated(stored, ["split"], measures).select(F.col("split").alias("data_split"), "metric", "value")
+        told_key = {"resample_number": r, "target": task, "model_fn_str": name, "model_number": int(chosen[r].model_number)}
+        models.run_record(spark, told_key, told, figures, time.monotonic() - began).coalesce(1).write.mode("overwrite").parquet(f"{at('run_log')}/{place}")
+
+    models.at_once(spark, refit, [(r, t) for r in sorted(chosen) for t in tasks], parallelism)
+    predicted = spark.read.parquet(at("predictions"))
+    as_log = predicted.select("resample", F.lit("refit").alias("cv_fold"), F.col("split").alias("data_split"), F.col("target").alias("task"), "id", F.col("prediction").alias("pred"))
+    ensemble.refit_rows(as_log).drop("resample", "cv_fold", "model_number", "data_split").write.mode("overwrite").parquet(at("averages"))
+    valued = metrics.evaluated(predicted.where("y is not null"), ["resample", "target", "split"], measures)
+    if training.get("calculate_ensemble_performance"):
+        truth = usable.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_y{i}").alias("y")) for i, t in enumerate(tasks)])).alias("t")).select("id", "t.*")
+        mean = spark.read.parquet(at("averages")).select(F.col("task").alias("target"), "id", F.col("pred").alias("prediction")).join(truth.where("y is not null"), ["target", "id"])
+        valued = valued.unionByName(metrics.evaluated(mean, ["target"], measures).select(F.lit(-1).alias("resample"), "target", F.lit("ensemble").alias("split"), "metric", "value"))
+    valued.write.mode("overwrite").parquet(at("performance"))
+    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    performance = spark.read.parquet(at("performance"))
+    return metrics.summary(performance.withColumnRenamed("split", "dataset"), keys=["target"]).withColumnRenamed("target", "task")
+
+
+def _fit_key(values: list) -> str:
+    return hashlib.md5(json.dumps(values).encode()).hexdigest()
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path).withColumns({"resample": F.col("resample").cast("int"), "cv_fold": F.col("cv_fold").cast("string")})
+
+
+def built_model(folder: str, resample: int = 0, task: int = 0) -> PipelineModel:
+    """The model of the last job under folder for a resample and the task-th target (MOD11)."""
+    key = SparkSession.getActiveSession().read.parquet(f"{folder}/current").first().key
+    return PipelineModel.load(f"{folder}/models/job={key}/resample={resample}/task={task}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,18 +42,22 @@ def read_items(spark: SparkSession, path: str, column: str = "structure", sep: s
 def numbered(items: DataFrame, *order: str, start: int = 0, name: str = "line_no") -> DataFrame:
     """Items with their line number in the given order, counted from start (ID1).
 
-    Without an order the file order is kept by numbering the scan's partitions.
+    Without an order the lines of a scan are numbered file by file, in the order of the paths, and inside a
+    file by block and line, however Spark deals files and blocks to tasks. Items that come from no
+    file are numbered by partition.
     """
     if order:
         return with_row_number(items, list(order), name, start)
-    # the id's upper bits are the partition, the lower ones the row in it
-    told = cut(items.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    sizes = told.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.broadcast(sizes.select("_part", before.alias("_before")))  # a row a partition
-    placed = told.withColumn("_part", F.shiftright("_at", 33)).join(first, "_part")
-    line = F.col("_before") + F.col("_at").bitwiseAND(2**33 - 1) + start
-    return placed.select(*items.columns, line.cast("long").alias(name))
+    try:
+        placed = items.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        placed = items.select("*", F.lit("").alias("_file"), F.shiftright(F.monotonically_increasing_id(), 33).alias("_block"))
+    told = cut(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # a block is read by one task, line after line; one row a block is put in order
+    blocks = told.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    line = F.col("_before") + F.col("_at") - F.col("_first") + start
+    return told.join(blocks.withColumn("_before", before), ["_file", "_block"]).select(*items.columns, line.cast("long").alias(name))
 
 
 def row_range(items: DataFrame, start: int, end: int = -1, name: str = "line_no") -> DataFrame:

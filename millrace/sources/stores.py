@@ -40,13 +40,14 @@ def there(spark: SparkSession, path: str) -> bool:
 
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Adds partial results under a run's key. Writing a run again replaces it, so retries and restarts don't count twice (SNK4, SNK6, AGG3)."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    """Adds partial results under a run's key. Writing a run again replaces it, with no rows too, so retries and restarts don't count twice (SNK4, SNK6, AGG3)."""
+    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
-def merged(spark: SparkSession, path: str, keys: list[str], measure: str = "n") -> DataFrame:
-    """Totals over all runs of a store: what stands in one only counts as it is (SRC14, JN8)."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.sum(measure).alias(measure))
+def merged(spark: SparkSession, path: str, keys: list[str], measure: str = "n", schema: str | None = None) -> DataFrame:
+    """Totals over all runs of a store: what stands in one only counts as it is (SRC14, JN8). With a schema, a store without runs is empty."""
+    stored = spark.createDataFrame([], schema) if schema and not there(spark, path) else spark.read.parquet(path)
+    return stored.groupBy(*keys).agg(F.sum(measure).alias(measure))
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

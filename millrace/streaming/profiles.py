@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.scalar import bin_index
 from millrace.operators.profile import histogram
+from millrace.plans.jobs import ScoringJob, run_scoring
 from millrace.sources.stores import append_run, merged
 
 
@@ -24,6 +25,23 @@ def score_stream(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path:
     return score(rows).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scoring_stream(rows: DataFrame, job: ScoringJob, folder: str, checkpoint: str, name: str) -> StreamingQuery:
+    """A whole scoring job on each batch: scored rows, rejects, profile and counters under one run, (name, batch) (STR1).
+
+    A batch that is run again replaces all of its tables, and jobs.totals() takes finished batches only, so after a
+    stop and restart the totals are those of the job over all rows at once.
+    """
+
+    def score(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            run_scoring(batch, job, folder, f"{name}-{number}")
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_histogram(rows: DataFrame, widths: dict[str, str | float]) -> DataFrame:
     """The running profile of a stream, for update or complete mode (STR2)."""
     return histogram(rows, widths)
@@ -39,7 +57,7 @@ def profile_stream(rows: DataFrame, widths: dict[str, str | float], store: str,
 
 
 def stored_profile(spark: SparkSession, store: str) -> DataFrame:
-    return merged(spark, store, ["value_name", "bin_idx"])
+    return merged(spark, store, ["value_name", "bin_idx"], schema="value_name string, bin_idx long, n long")
 
 
 def windowed_histogram(rows: DataFrame, time: str, value: str, width: str | float, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
