@@ -43,10 +43,13 @@ SEEN = 500_000
 DROP_TAGS = frozenset("nav header footer aside form head title noscript template button select option textarea iframe svg math object canvas audio video dialog menu map fieldset label".split())
 RAW_TAGS = "script|style|textarea|title|noscript|template|iframe|svg"
 DROP_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search form menu menubar toolbar".split())
-DROP_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|sidenav|aside|widget|"
-    r"cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|replies|pagination|pager|toolbar|skip)(?:$|[-_\s])"
-)
+#: Names of what is no part of an article wherever it stands, and names of places of a page.
+FOREIGN_NAMES = "ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|adblock|adslot|adunit|adspace|adzone|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|replies|pagination|pager"
+PLACE_NAMES = "banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|sidenav|aside|widget|notice|alert|popup|modal|overlay|toolbar|skip"
+#: Beginnings of names that say what an element has or lacks, or is part of; and places that an article has itself.
+STATE_NAMES = "has|have|no|not|with|without|is|show|shows|hide|hides"
+OWN_NAMES = "article|post|entry|story|content"
+OWN_PLACES = "header|masthead|banner"
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end may be left out; they never enclose others here.
@@ -59,26 +62,42 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-#: What names of parts of the main text itself begin with.
-OWN_NAMES = re.compile(r"(?:article|post|entry|story|content)[-_]")
+_word = lambda words: re.compile(rf"(?:^|[-_])(?:{words})(?:$|[-_])")
+_FOREIGN, _PLACE, _OTHER_PLACE = _word(FOREIGN_NAMES), _word(PLACE_NAMES), _word("|".join(x for x in PLACE_NAMES.split("|") if x not in OWN_PLACES.split("|")))
+_STATE, _OWN, _LAST = re.compile(rf"(?:{STATE_NAMES})[-_]"), re.compile(rf"(?:{OWN_NAMES})[-_]"), re.compile(rf"(?:^|[-_])(?:{FOREIGN_NAMES})$")
+
+FOREIGN, PLACE = 2, 1
 
 
-def _named_away(value: str) -> bool:
-    """Whether one of an element's names, but for those that name a part of the article, is that of something else."""
-    return any(DROP_NAMES.search(name) and not OWN_NAMES.match(name) for name in value.split())
+def _named_away(value: str) -> int:
+    """FOREIGN if one of an element's names is that of something that no article has in it, PLACE if one is that of another place of the page, else 0."""
+    found = 0
+    for name in value.split():
+        if _STATE.match(name):
+            continue
+        if _FOREIGN.search(name):
+            return FOREIGN
+        if (_OTHER_PLACE if _OWN.match(name) else _PLACE).search(name):
+            found = PLACE
+    return found
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+def _dropped(tag: str, attributes: str) -> int:
+    """FOREIGN, PLACE or 0: whether an element is left out, and if it is even around an article."""
     if tag in DROP_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return FOREIGN
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
-        if name == "role" and value in DROP_ROLES or name in ("class", "id") and _named_away(value) or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROP_ROLES:
+            return FOREIGN
+        if name in ("class", "id"):
+            # an article goes by a name that ends as a comment's, an advert's and so on does
+            found = max(found, (FOREIGN if any(_LAST.search(x) and not _STATE.match(x) for x in value.split()) else 0) if tag == "article" else _named_away(value))
+    return found
 
 
 def blocks(page: str | None) -> list[str]:
@@ -87,7 +106,7 @@ def blocks(page: str | None) -> list[str]:
         return []
     found: list[tuple[bool, str]] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, starts a dropped part, starts a main part
+    open_tags: list[tuple[str, int, bool]] = []  # tag, why it starts a dropped part if it does, starts a main part
     dropped = main = 0
 
     def flush() -> None:
@@ -112,18 +131,22 @@ def blocks(page: str | None) -> list[str]:
             if any(t == tag for t, _, _ in open_tags):
                 while True:
                     t, d, m = open_tags.pop()
-                    dropped, main = dropped - d, main - m
+                    dropped, main = dropped - (d > 0), main - m
                     if t == tag:
                         break
         elif not attributes.endswith("/"):
             if tag in LOOSE_TAGS and open_tags and open_tags[-1][0] == tag:  # left out by its name and never closed: the next one ends it
                 _, d, m = open_tags.pop()
-                dropped, main = dropped - d, main - m
+                dropped, main = dropped - (d > 0), main - m
             drop = _dropped(tag, attributes)
             if drop or tag in BLOCK_TAGS and tag not in LOOSE_TAGS:
                 is_main = tag in ("article", "main") or "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None
-                open_tags.append((tag, drop, is_main))
-                dropped, main = dropped + drop, main + is_main
+                if is_main and dropped and not drop and all(d < FOREIGN for _, d, _ in open_tags):
+                    # what was named as a place holds the article: its name is that of the whole page
+                    open_tags = [(t, 0, m) for t, _, m in open_tags]
+                    dropped = 0
+                open_tags.append((tag, drop, is_main and not drop))
+                dropped, main = dropped + (drop > 0), main + (is_main and not drop)
     if not dropped:
         flush()
     if any(m for m, _ in found):

@@ -24,6 +24,20 @@ def test_article_without_the_rest():
     assert texts_of([PAGE, None, "", "<p", "a < b", "<div>x</div><div hidden>y</div>z"]) == ["A & B First bold text next Second Said <b> é Last", "", "", "", "a < b", "x z"]
 
 
+def test_names_inside_and_around_an_article():
+    inside = lambda name: f"<article><p>one</p><div class=\"{name}\"><p>two</p></div><p>three</p></article>"
+    for name in ("post-comments", "article-comments", "content-ad", "article-related", "post-share", "adbox", "entry_comments", "post-sidebar", "x comments-area", "Ad"):
+        assert texts_of([inside(name)]) == ["one three"], name
+    for name in ("article-header", "post-header", "has-header", "no-sidebar", "with_comments", "entry-content", "loading", "admire", "no-comments post-body", "shared"):
+        assert texts_of([inside(name)]) == ["one two three"], name
+    comment = "<article><p>one</p></article><div><article class='comment depth-1'>no</article><article class=\"post-comment\">no</article></div><article class='no-comments'>yes</article>"
+    assert texts_of([comment]) == ["one yes"]
+    around = lambda name, body: f"<body><div class='{name}'><nav>menu</nav>{body}</div></body>"
+    assert texts_of([around(n, "<p>text</p>") for n in ("has-header", "no-sidebar", "page")]) == ["text"] * 3
+    assert texts_of([around(n, "<main><p>text</p></main>") for n in ("sidebar-left", "header-fixed", "page-with-banner")]) == ["text"] * 3
+    assert texts_of([around("comments", "<article>no</article>"), around("sidebar", "<p>no</p>"), "<nav><article>no</article></nav><p>text</p>"]) == ["", "", "text"]
+
+
 def test_unclosed_markup_is_linear():
     start = time.time()
     texts_of(["<a " + " \t" * 200_000, "<" * 300_000, '<div class="' + "x " * 200_000, "<div>" * 20_000 + "t", "<b " + '"' * 100_001])
