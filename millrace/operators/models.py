@@ -40,6 +40,8 @@ def knn_regress(queries: DataFrame, training: DataFrame, k: int = 5) -> DataFram
 def ridge(rows: DataFrame, columns: list[str], y: str, alpha: float):
     """Ridge regression, penalty alpha on unscaled coefficients (MOD2): Spark's lambda is alpha * sd_pop(y) / n."""
     n, sd = rows.agg(F.count(y), F.stddev_pop(y)).first()
+    if not n:
+        raise ValueError("no rows to learn from")
     model = LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha * (sd or 1.0) / max(n, 1))
     return model.fit(assembled(rows, columns))
 
@@ -122,7 +124,10 @@ def fourier_features(rows: DataFrame, columns: list[str], n: int = 64, gamma: fl
 
 def svr(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, epsilon: float = 0.1, rounds: int = 40, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept of support-vector regression on z: epsilon-insensitive loss plus |w|^2 / 2c, by full gradients summed on Spark (MOD6)."""
-    n_features = len(rows.select(z).first()[0])
+    one = rows.select(z).first()
+    if one is None:
+        raise ValueError("no rows to learn from")
+    n_features = len(one[0])
     start = rows.agg(F.avg(y)).first()[0]
     w, bias, n = np.zeros(n_features), float(start), rows.count()
     for t in range(rounds):

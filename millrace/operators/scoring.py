@@ -1,4 +1,4 @@
-"""Scoring of rows with several models in one pass (MOD12, UDF1, FN2, FN11)."""
+"""Scoring of rows with several models in one pass (MOD12, UDF1, FN2, FN11), and models' vectors by item (SIM5)."""
 
 from __future__ import annotations
 
@@ -94,3 +94,44 @@ def with_models(rows: DataFrame, models: dict[str, BatchModel], timed: bool = Fa
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
 
     return source.mapInArrow(run, schema)
+
+
+def with_embedding(rows: DataFrame, model: BatchModel, size: int = 256) -> DataFrame:
+    """rows with an array of doubles, model.outputs[0]: the vector that the model gives each row (SIM5).
+
+    predict gets batches of exactly size rows, as models with a fixed batch need them, and gives a matrix of
+    as many; a last batch is filled up with its last row and what it gives for these is cut off. A
+    row that the model fails on has a null vector and leaves the others alone. A column called like the output is
+    replaced; an empty table stays empty.
+    """
+    if len(model.outputs) != 1 or not model.inputs:
+        raise ValueError("an embedding has inputs and one output")
+    name = model.outputs[0]
+    if (held := len(pickle.dumps(model.state))) > MOST_STATE:
+        raise ValueError(f"the model's state has {held} bytes, more than {MOST_STATE}")
+    shared, inputs, predict = rows.sparkSession.sparkContext.broadcast(model.state), model.inputs, model.predict
+    kept = [c for c in rows.columns if c != name]
+    source = rows.select(*[rows[c] for c in kept], *[rows[c].alias(f"_in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def vectors(columns: list[np.ndarray]) -> list[np.ndarray | None]:
+        n = len(columns[0])
+        try:
+            found = np.asarray(predict(shared.value, *[np.concatenate([c, np.repeat(c[-1:], size - n, axis=0)]) for c in columns]), np.float64)
+            if found.shape[:1] != (size,) or found.ndim != 2:
+                raise TypeError("a model gives a vector a row")
+            return list(found[:n])
+        except Exception:
+            if n == 1:
+                return [None]
+        half = n // 2
+        return vectors([c[:half] for c in columns]) + vectors([c[half:] for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, made = [_as_array(batch.column(len(kept) + i)) for i in range(len(inputs))], []
+            for lo in range(0, batch.num_rows, size):
+                made += vectors([c[lo : lo + size] for c in columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(made, pa.list_(pa.float64()))], names=[*kept, name])
+
+    return source.mapInArrow(run, schema)

@@ -156,6 +156,61 @@ def nested_kfold(ids: DataFrame, n_splits: int, frac_test: float, k: int, seed:
     return outer.select("resample", F.lit("refit").alias("cv"), "id", "split").unionByName(inner).unionByName(tests)
 
 
+def nested_drawn(outer: DataFrame, method: str, n: int, frac_test: float = 0.25, seed: int = 0, strata: DataFrame | None = None) -> DataFrame:
+    """nested() of outer (written) with n inner splits, random, stratified or k-fold, drawn for all resamples in one job (SPL9).
+
+    Inner ids are ordered by md5(seed:resample:cv:id), k-fold ones by md5(seed:resample:id). Random: the first
+    ceil(size * frac_test) of a resample's train ids are validation. Stratified: as many, shared out to the strata
+    (table id, stratum) by largest remainder, ties to the smaller stratum; ids without a row there are in no inner
+    split. Every id of train is in train or val of every cv, and test ids are test in all.
+    """
+    cv = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cv")
+    train = outer.where("split = 'train'").select("resample", "id").distinct()
+    text = lambda *more: F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("resample", *more, "id")]))
+    if method in ("random", "rand"):
+        sizes = train.groupBy("resample").agg(F.ceil(F.round(F.count("*") * frac_test, 9)).alias("quota"))
+        placed = with_row_number(train.select("resample", "id", cv).withColumn("draw", text("cv")), ["draw", "id"], "r", 0, ["resample", "cv"]).join(sizes, "resample")
+        inner = placed.select("resample", "cv", "id", F.when(F.col("r") < F.col("quota"), "val").otherwise("train").alias("split"))
+    elif method in ("stratified", "strat"):
+        known = cut(train.join(strata.select("id", "stratum").distinct(), "id"), "strata")
+        sizes = known.groupBy("resample", "stratum").agg(F.count("*").alias("size"))
+        here = Window.partitionBy("resample")  # a row a stratum
+        total = F.sum("size").over(here)
+        quota = sizes.withColumn("total", total).withColumn("wanted", F.ceil(F.round(F.col("total") * frac_test, 9))).withColumn("exact", F.col("size") * F.col("wanted") / F.col("total"))
+        quota = quota.withColumn("base", F.floor("exact")).withColumn("rest", F.round(F.col("exact") - F.floor("exact"), 9)).withColumn("spare", F.col("wanted") - F.sum("base").over(here))
+        quota = quota.select("resample", F.col("stratum").alias("_s"), (F.col("base") + (F.row_number().over(here.orderBy(F.desc("rest"), "stratum")) <= F.col("spare")).cast("long")).alias("quota"))
+        placed = with_row_number(known.select("resample", "id", "stratum", cv).withColumn("draw", text("cv")), ["draw", "id"], "r", 0, ["resample", "cv", "stratum"])
+        both = placed.join(quota.withColumnRenamed("resample", "_r"), (F.col("resample") == F.col("_r")) & F.col("stratum").eqNullSafe(F.col("_s")))
+        inner = both.select("resample", "cv", "id", F.when(F.col("r") < F.col("quota"), "val").otherwise("train").alias("split"))
+    elif method == "k-fold":
+        placed = with_row_number(train.withColumn("draw", text()), ["draw", "id"], "r", 0, ["resample"]).join(train.groupBy("resample").agg(F.count("*").alias("n")), "resample")
+        size, larger = F.floor(F.col("n") / n), F.col("n") % n
+        first = larger * (size + 1)
+        fold = F.when(F.col("r") < first, F.floor(F.col("r") / (size + 1))).otherwise(larger + F.floor((F.col("r") - first) / F.greatest(size, F.lit(1))))
+        inner = placed.withColumn("fold", fold).select("resample", "id", "fold", cv).select("resample", "cv", "id", F.when(F.col("cv") == F.col("fold"), "val").otherwise("train").alias("split"))
+    else:
+        raise ValueError(f"unknown split method {method}")
+    return _with_tests(outer, inner, outer.where("split = 'test'").select("resample", "id", cv))
+
+
+def nested_predefined(outer: DataFrame, lists: DataFrame) -> DataFrame:
+    """nested() of outer (written) with the inner splits of a table (id, split train or val; cv for several, resample for those of one) (SPL7, SPL8, SPL9).
+
+    Ids that are in a resample's test part are test in it, whatever the table says; train ids that it doesn't name are in no inner split.
+    """
+    given = lists.select("id", (F.col("cv") if "cv" in lists.columns else F.lit(0)).alias("cv"), F.when(F.col("split") == "test", "val").otherwise(F.col("split")).alias("split"), *(["resample"] if "resample" in lists.columns else []))
+    on = ["resample", "id"] if "resample" in lists.columns else ["id"]
+    inner = outer.where("split = 'train'").select("resample", "id").join(given, on).select("resample", "cv", "id", "split")
+    cvs = inner.select("resample", "cv").distinct()
+    return _with_tests(outer, inner, outer.where("split = 'test'").select("resample", "id").join(cvs, "resample"))
+
+
+def _with_tests(outer: DataFrame, inner: DataFrame, tests: DataFrame) -> DataFrame:
+    parts = [outer.select("resample", F.lit("refit").alias("cv"), "id", "split"), inner, tests.withColumn("split", F.lit("test"))]
+    whole = [p.select(F.col("resample").cast("int").alias("resample"), F.col("cv").cast("string").alias("cv"), "id", "split") for p in parts]
+    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+
+
 def split_faults(splits: DataFrame, n_items: int) -> DataFrame:
     """(resample, cv) whose splits overlap or don't cover all items, with n_ids and n_overlapping; none if all is well (FIL12)."""
     per_id = splits.groupBy("resample", "cv", "id").agg(F.count_distinct("split").alias("k"))

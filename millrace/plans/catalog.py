@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
 from millrace.functions.vectors import share_of_group
 from millrace.operators import ensemble, features, metrics, models, profile, rows, search, similarity, splits
-from millrace.operators.scoring import BatchModel
+from millrace.operators.scoring import BatchModel, with_embedding
 from millrace.plans import jobs, packaging
 from millrace.plans.spec import ScoreSpec
 from millrace.sources.readers import numbered, packaged_training_data, read_column, read_tokens, row_range
@@ -151,6 +152,20 @@ def scoring_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", *[six(F.col(c)).alias(c) for c in ("worth", "doubt", "twice", "total")], ((F.col("worth_time") >= 0) & (F.col("twice_time") >= 0)).alias("timed"))
 
 
+def _layer(weights, size, price):
+    """A made-up hidden layer of three units."""
+    return np.maximum(np.stack([size, price], 1) @ np.array(weights), 0.0)
+
+
+@query("""SELECT p_partkey, round(greatest(2.0::DOUBLE * p_size - 0.01::DOUBLE * p_retailprice, 0), 6) AS a, round(greatest(p_size + 0.5::DOUBLE * p_retailprice, 0), 6) AS b, round(greatest(30.0::DOUBLE * p_size - p_retailprice, 0), 6) AS c
+FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL""")
+def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of a model's hidden layer for each part, batches filled up and cut again (SIM5)."""
+    parts = table(spark, sf_dir, "part").where("p_size is not null and p_retailprice is not null").select("p_partkey", "p_size", "p_retailprice")
+    found = with_embedding(parts, BatchModel(["p_size", "p_retailprice"], ["layer"], _layer, [[2.0, 1.0, 30.0], [-0.01, 0.5, -1.0]]))
+    return found.select("p_partkey", *[six(F.col("layer")[i]).alias(n) for i, n in enumerate("abc")])
+
+
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, 'a-i' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, doc_id FROM documents QUALIFY line_no >= 25")
 def row_range_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows [25, end) by line number, with text IDs (SRC4, ID1, ID2)."""
@@ -343,9 +358,15 @@ def split_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.grouped_splits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "source", 4, 0.75, seed=7)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM c),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(0 AS BIGINT) AS fold
+  UNION ALL
+  SELECT g.i, list_transform(range(1, 6), lambda k: w.load[k] + CASE WHEN k = list_position(w.load, list_min(w.load)) THEN g.n ELSE 0 END), CAST(list_position(w.load, list_min(w.load)) - 1 AS BIGINT) FROM w JOIN g ON g.i = w.i + 1
+)
+SELECT o_orderkey AS id, CAST(fold AS INTEGER) AS fold FROM orders JOIN g ON g.g = CAST(o_custkey AS VARCHAR) JOIN w ON w.i = g.i""")
 def split_grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced folds of whole customers (SPL5); the greedy walk has no SQL, tests have a brute-force one."""
+    """Balanced folds of whole customers (SPL5): each group, the largest first, goes to the lightest fold."""
     return splits.grouped_kfold(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "o_custkey", 5)
 
 
@@ -368,6 +389,37 @@ def split_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir)
 
 
+INNER = "md5(concat_ws(':', '7', CAST(resample AS VARCHAR), CAST(cv AS VARCHAR), CAST(id AS VARCHAR)))"
+
+
+@query(f"""WITH {NESTED.split("i AS (SELECT")[0]} t AS (SELECT o.resample, o.id, p_brand AS stratum, cv FROM o JOIN part ON p_partkey = o.id, (SELECT unnest(range(0, 2)) AS cv) WHERE split = 'train'),
+s AS (SELECT resample, stratum, count(*) AS size FROM t WHERE cv = 0 GROUP BY ALL), n AS (SELECT resample, CAST(sum(size) AS BIGINT) AS total, CAST(ceil(round(sum(size) * 0.3::DOUBLE, 9)) AS BIGINT) AS wanted FROM s GROUP BY resample),
+q AS (SELECT resample, stratum, wanted, CAST(size * wanted AS DOUBLE) / total AS exact FROM s JOIN n USING (resample)),
+b AS (SELECT resample, stratum, CAST(floor(exact) AS BIGINT) AS base, wanted, round(exact - floor(exact), 9) AS rest FROM q),
+u AS (SELECT resample, stratum, base + CAST(row_number() OVER (PARTITION BY resample ORDER BY rest DESC, stratum) <= wanted - sum(base) OVER (PARTITION BY resample) AS INTEGER) AS quota FROM b),
+i AS (SELECT resample, cv, id, stratum, row_number() OVER (PARTITION BY resample, cv, stratum ORDER BY {INNER}, id) - 1 AS r FROM t)
+SELECT CAST(resample AS INTEGER) AS resample, 'refit' AS cv, id, split FROM o
+UNION ALL SELECT CAST(resample AS INTEGER), CAST(cv AS VARCHAR), id, CASE WHEN r < quota THEN 'val' ELSE 'train' END FROM i JOIN u USING (resample, stratum)
+UNION ALL SELECT CAST(resample AS INTEGER), CAST(cv AS VARCHAR), id, 'test' FROM o, (SELECT unnest(range(0, 2)) AS cv) WHERE split = 'test'""")
+def split_nested_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples with stratified inner splits, drawn for all resamples at once (SPL3, SPL9)."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("stratum"))
+    outer = cut(splits.random_splits(part.select("id"), 2, 0.25, None, 7), "outer")
+    return splits.nested_drawn(outer, "stratified", 2, 0.3, 7, part)
+
+
+@query(f"""WITH {NESTED.split("i AS (SELECT")[0]} l AS (SELECT p_partkey AS id, p_size % 2 AS cv, CASE WHEN p_size > 30 THEN 'val' ELSE 'train' END AS split FROM part WHERE p_size IS NOT NULL)
+SELECT CAST(resample AS INTEGER) AS resample, 'refit' AS cv, id, split FROM o
+UNION ALL SELECT CAST(resample AS INTEGER), CAST(cv AS VARCHAR), id, l.split FROM o JOIN l USING (id) WHERE o.split = 'train'
+UNION ALL SELECT CAST(resample AS INTEGER), CAST(cv AS VARCHAR), id, 'test' FROM o, (SELECT unnest(range(0, 2)) AS cv) WHERE split = 'test'""")
+def split_nested_predefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples whose inner splits come from a table (SPL7, SPL8, SPL9)."""
+    part = table(spark, sf_dir, "part")
+    outer = cut(splits.random_splits(part.select(F.col("p_partkey").alias("id")), 2, 0.25, None, 7), "outer")
+    lists = part.where("p_size is not null").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 2).alias("cv"), F.when(F.col("p_size") > 30, "val").otherwise("train").alias("split"))
+    return splits.nested_predefined(outer, lists)
+
+
 @query(f"""WITH {NESTED}, broken AS (SELECT * FROM nested WHERE NOT (resample = 1 AND cv = '0' AND id % 50 = 0) UNION ALL SELECT resample, cv, id, 'test' FROM nested WHERE cv = 'refit' AND resample = 0 AND split = 'train'),
 p AS (SELECT resample, cv, id, count(DISTINCT split) AS k FROM broken GROUP BY ALL)
 SELECT CAST(resample AS INTEGER) AS resample, cv, count(*) AS n_ids, count(*) FILTER (k > 1) AS n_overlapping FROM p GROUP BY ALL HAVING count(*) <> (SELECT count(*) FROM part) OR count(*) FILTER (k > 1) > 0""")
@@ -748,10 +800,10 @@ def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in the order in which recursive elimination leaves them (FEA5)."""
-    data, left = _modelled(spark, sf_dir).cache(), list(FEATURES)
+    data, left = cut(_modelled(spark, sf_dir), "modelled"), list(FEATURES)
     order = []
     while len(left) > 1:
-        kept = models.eliminate(data, left, "y", len(left) - 1, trees=5)
+        kept = models.eliminate(data, left, "y", len(left) - 1)
         order += [c for c in left if c not in kept]
         left = kept
     return spark.createDataFrame([(c, i) for i, c in enumerate([*order, *left])], "name string, place int")
@@ -762,8 +814,8 @@ def svr_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel support-vector regression on random Fourier features, approximate (MOD6)."""
     data = _modelled(spark, sf_dir)
     scaled = features.scaled(data, features.moments(data, [*FEATURES, "y"]))
-    z = models.fourier_features(scaled, FEATURES, 32, 0.3)
-    w, bias = models.svr(z.select("z", "y").cache(), "y", rounds=10)
+    z = cut(models.fourier_features(scaled, FEATURES, 64, 0.3).select("id", "z", "y"), "kernel")
+    w, bias = models.svr(z, "y")
     pred = F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(float(bias)), lambda s, v: s + v)
     return z.select("id", pred.alias("pred"))
 

@@ -115,38 +115,25 @@ def _outer(items: DataFrame, how: dict, seed: int) -> DataFrame:
     raise ValueError(f"unknown split method {how['split_method']}")
 
 
-def _inner(items: DataFrame, how: dict, seed: int):
-    """A function of (ids, resample) that gives cv, id, split by the settings of the train / validation split.
+def _nested(outer: DataFrame, items: DataFrame, how: dict, seed: int) -> DataFrame:
+    """resample, cv, id, split by the settings of the train / validation split, from the outer split.
 
     A predefined split is a table (id, split) with a column cv for several folds and resample for those
-    of one resample; ids that are in a resample's test part are left out of it.
+    of one resample. Balanced folds of whole groups are walked one resample after another.
     """
-    n, by = int(how.get("n_splits", 5)), how.get("strat_field")
+    n, by, method, test = int(how.get("n_splits", 5)), how.get("strat_field"), how.get("split_method", "k-fold"), float(how.get("frac_test", 0.25))
+    if method == "predefined":
+        return splits.nested_predefined(outer, items.sparkSession.read.parquet(how["from_file"]))
+    if method in ("stratified", "strat"):
+        return splits.nested_drawn(outer, method, n, 1 - float(how["frac_train"]) if "frac_train" in how else test, seed, items.select("id", F.col(by).alias("stratum")))
+    if method != "group":
+        return splits.nested_drawn(outer, method, n, test, seed)
 
     def drawn(ids: DataFrame, resample: int) -> DataFrame:
-        method, here = how.get("split_method", "k-fold"), seed + resample
-        mine = items.join(ids, "id", "left_semi")
-        test = float(how.get("frac_test", 0.25))
-        if method in ("rand", "random"):
-            return splits.random_splits(ids, n, test, None, here).withColumnRenamed("resample", "cv")
-        if method in ("strat", "stratified"):
-            return splits.stratified_splits(mine, by, n, float(how.get("frac_train", 1 - test)), here).withColumnRenamed("resample", "cv")
-        if method == "predefined":
-            lists = items.sparkSession.read.parquet(how["from_file"])
-            if "resample" in lists.columns:
-                lists = lists.where(F.col("resample") == resample)
-            cv = F.col("cv") if "cv" in lists.columns else F.lit(0)
-            return ids.join(lists.select("id", cv.cast("string").alias("cv"), F.when(F.col("split") == "val", "test").otherwise(F.col("split")).alias("split")), "id").select("cv", "id", "split")
-        if method == "group":
-            folds = splits.grouped_kfold(mine, by, n)
-        elif method == "k-fold":
-            folds = splits.kfold(ids, n, here)
-        else:
-            raise ValueError(f"unknown split method {method}")
-        cv = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        return folds.withColumn("cv", cv).select("cv", "id", F.when(F.col("cv") == F.col("fold"), "test").otherwise("train").alias("split"))
-
-    return drawn
+        folds = splits.grouped_kfold(items.join(ids, "id", "left_semi"), by, n).withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return folds.select("cv", "id", F.when(F.col("cv") == F.col("fold"), "test").otherwise("train").alias("split"))
+
+    return splits.nested(outer, drawn)
 
 
 def _measures(classes: bool) -> dict[str, Column]:
@@ -246,14 +233,14 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
 
     def draw() -> DataFrame:
         outer = splits.cut(_outer(usable, how["train_test_split"], seed), "outer")
-        return splits.nested(outer, _inner(usable, how["train_val_split"], seed))
+        return _nested(outer, usable, how["train_val_split"], seed)
 
     table = splits.stored_splits(spark, at("splits"), draw)
     grid = search.grid(spark, told.get("hyperparams", {}))
     names = [c for c in grid.columns if c != "model_number"]
     folds = [(r[0], r[1]) for r in table.where("cv != 'refit'").select("resample", "cv").distinct().orderBy("resample", "cv").collect()]
     if not folds:
-        raise ValueError("no items to build models from")
+        raise ValueError("the settings give no inner split")
     targets = spark.createDataFrame([(t,) for t in tasks], "task string")
     done = _log(spark, at("log")).select("resample", "cv_fold", "task", *names) if there(spark, at("log")) else None
 

@@ -366,3 +366,27 @@ def test_sets(spark):
     a, b = (spark.createDataFrame(x, "id long, v string") for x in ([(1, "a"), (2, "b"), (2, "b")], [(2, "c"), (3, "d")]))
     assert [r.id for r in rows.common_ids(a, b).collect()] == [2]
     assert sorted((r.id, r.a_v, r.b_v) for r in rows.side_by_side({"a": a.distinct(), "b": b}).collect()) == [(1, "a", None), (2, "b", "c"), (3, None, "d")]
+
+
+@pytest.mark.parametrize("method", ["random", "k-fold", "stratified"])
+def test_inner_splits_of_all_resamples_at_once(spark, method):
+    ids = spark.range(50).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("stratum"))
+    outer = splits.cut(splits.random_splits(ids, 3, 0.2, None, 1), "outer")
+    found = splits.nested_drawn(outer, method, 4, 0.25, 1, ids)
+    assert splits.split_faults(found, 50).count() == 0
+    counts = {(r.resample, r.cv, r.split): r["count"] for r in found.groupBy("resample", "cv", "split").count().collect()}
+    assert {k[1] for k in counts} == {"refit", "0", "1", "2", "3"}
+    assert all(n == {"test": 10, "val": 10, "train": 40 if cv == "refit" else 30}[s] for (_, cv, s), n in counts.items())
+    if method == "stratified":
+        for r in found.where("split = 'val'").join(ids, "id").groupBy("resample", "cv", "stratum").count().collect():
+            size = outer.where(f"split = 'train' and resample = {r.resample}").join(ids.where(F.col("stratum").eqNullSafe(F.lit(r.stratum))), "id").count() if r.cv == "0" else None
+            assert size is None or abs(r["count"] - size / 4) < 1
+    again = splits.nested_drawn(outer.repartition(3), method, 4, 0.25, 1, ids)
+    assert again.exceptAll(found).count() == 0
+
+
+def test_empty_training_rows_are_one_defined_error(spark):
+    rows = spark.createDataFrame([], "a double, y double, z array<double>")
+    for fit in (lambda: models.ridge(rows, ["a"], "y", 1.0), lambda: models.svr(rows, "y")):
+        with pytest.raises(ValueError, match="no rows to learn from"):
+            fit()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.scoring import BatchModel, with_models
+from millrace.operators.scoring import BatchModel, with_embedding, with_models
 from millrace.plans import jobs
 from millrace.plans.spec import ScoreSpec
 
@@ -43,3 +43,18 @@ def test_job_scores_variants_with_models_and_profiles_them(spark, tmp_path):
     profiled, _ = jobs.totals(spark, str(tmp_path))
     assert {(r.bin_idx, r.n) for r in profiled.collect()} == {(0, 1), (1, 5)}
     assert [r.run_id for r in jobs.finished_runs(spark, str(tmp_path)).collect()] == ["001"]
+
+
+def test_embeddings_are_cut_to_the_items_and_a_failing_one_is_null(spark):
+    def layer(w, a, b):
+        assert len(a) == 8  # always a whole batch
+        if (a == 5).any():
+            raise ValueError("five")
+        return np.stack([a, b], 1) @ w
+
+    rows = spark.createDataFrame([(i, float(i), i * 2, "x") for i in range(21)], "id int, a double, b int, z string").repartition(2)
+    model = BatchModel(["a", "b"], ["z"], layer, np.array([[1.0, 0, 2], [0, 1, 1]]))
+    got = {r.id: r.z for r in with_embedding(rows, model, 8).collect()}
+    assert got == {i: None if i == 5 else [i, 2.0 * i, 4.0 * i] for i in range(21)}
+    assert with_embedding(rows.limit(0), model, 8).collect() == []
+    assert with_embedding(rows, BatchModel(["a"], ["z"], lambda _, a: a), 8).where("z is not null").count() == 0
