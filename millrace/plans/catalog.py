@@ -1055,3 +1055,7 @@ def orders_beside_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two keyed tables side by side (SET5)."""
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
     return rows.side_by_side({"orders": counts, "customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("balance"))})
+
+
+# the registered round trips of sources, sinks and run tables
+from millrace.plans import catalog_io  # noqa: E402, F401
