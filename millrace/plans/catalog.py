@@ -977,7 +977,8 @@ def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early stops decided while epochs arrive out of order, with state by run (WIN6, UDF7)."""
     here = _scratch(spark, "epochs")
     _epochs(spark, sf_dir).repartition(3, F.xxhash64("run", "epoch")).write.parquet(f"{here}/epochs")
-    epochs = streams.arriving(spark, f"{here}/epochs", spark.read.parquet(f"{here}/epochs").schema, 1)
+    written = spark.read.parquet(f"{here}/epochs")
+    epochs = streams.arriving(spark, f"{here}/epochs", written.schema, -(-len(written.inputFiles()) // 3))  # three batches
     write_stops(stopping_stream(epochs, 30, 3, 0.5), f"{here}/stops", f"{here}/checkpoint").awaitTermination()
     return spark.read.schema("run long, stop_epoch int").parquet(f"{here}/stops")
 
