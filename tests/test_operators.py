@@ -390,3 +390,17 @@ def test_empty_training_rows_are_one_defined_error(spark):
     for fit in (lambda: models.ridge(rows, ["a"], "y", 1.0), lambda: models.svr(rows, "y")):
         with pytest.raises(ValueError, match="no rows to learn from"):
             fit()
+
+
+def test_hashed_runs_are_those_of_the_texts(spark):
+    rows = spark.createDataFrame([("a b a b c",), ("a",), ("",), ("x x x x",)], "t string")
+    tokens = F.split("t", " ")
+    for n in (1, 2, 3):
+        for r in rows.select(F.size(similarity.ngrams(tokens, n)).alias("texts"), F.size(similarity.ngram_hashes(tokens, n)).alias("hashes")).collect():
+            assert r.texts == r.hashes
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4]), (3, []), (4, None), (None, [1])], "id long, bits array<int>")
+    by_text = sets.withColumn("bits", F.transform("bits", lambda x: x.cast("string")))
+    for block in (1, 100):
+        want = {(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5), (2, 2, 1.0)}
+        assert {tuple(r) for r in similarity.tanimoto_hits(sets, sets, block=block).collect()} == want == {tuple(r) for r in similarity.tanimoto_hits(by_text, by_text, block=block).collect()}
+    assert {(r.query_id, r.id) for r in similarity.tanimoto_hits(sets, sets, k=1).collect()} == {(1, 1), (2, 2)}
