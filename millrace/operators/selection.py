@@ -190,6 +190,9 @@ class CrossValidatedElimination(RecursiveElimination):
 STAGES = {"varying": VaryingFeatures, "uncorrelated": UncorrelatedFeatures, "scale": PopulationScaler, "eliminate": RecursiveElimination, "eliminate_cv": CrossValidatedElimination}
 #: Pipelines by name: their stages and the model behind them, a name of models.REGISTRY (MOD1-MOD8).
 PIPELINES: dict[str, tuple[list[str], str]] = {
+    "neighbours": (["varying", "scale"], "neighbours"),
+    "svr": (["varying", "scale"], "svr"),
+    "svc": (["varying", "scale"], "svc"),
     "neighbours_uncorrelated": (["varying", "uncorrelated", "scale"], "neighbours"),
     "forest_uncorrelated": (["varying", "uncorrelated"], "forest"),
     "forest_eliminate": (["varying", "eliminate"], "forest"),

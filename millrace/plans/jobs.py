@@ -247,7 +247,7 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
     def make(values: dict):
         if name in selection.PIPELINES:
             return selection.staged_pipeline(columns, name, **values)
-        return models.pipeline(columns, name, constants=False, scaled=name in ("neighbours", "svr", "svc"), **values)
+        return models.pipeline(columns, name, constants=False, **values)
 
     part = lambda r, cv, s: usable.join(table.where((F.col("resample") == r) & (F.col("cv") == cv) & (F.col("split") == s)).select("id"), "id", "left_semi")
     having = lambda rows, t: rows.withColumn("y", F.col(f"_y{tasks.index(t)}")).where("y is not null")
