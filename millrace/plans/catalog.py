@@ -700,8 +700,9 @@ def group_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.split(F.lower("text"), " ")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.ngram_hashes(tokens, 2).alias("bits"))
+    # tokens in a step of their own, so that they are made once for all that looks at them
+    tokens = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split(F.lower("text"), " ").alias("tokens"))
+    return tokens.select("id", similarity.ngram_hashes(F.col("tokens"), 2).alias("bits"))
 
 
 BITS = """w AS (SELECT doc_id AS id, string_split(lower(text), ' ') AS w FROM documents), g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS bit FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),
