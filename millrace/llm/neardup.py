@@ -32,7 +32,7 @@ SIZE = ROWS * BANDS
 #: log2 of the bits of the filter of wanted documents, at most: 16 MB.
 FILTER_BITS = 27
 #: Size classes of shingle sets grow by this factor. Rounds in which one class stands for a key before all of a key's are paired.
-SIZE_STEP, LEAD_ROUNDS = 1.2, 3
+SIZE_STEP, LEAD_ROUNDS = 1.05, 3
 _SKETCH = "doc_id long, h long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -180,14 +180,15 @@ def still_open(members: DataFrame) -> DataFrame:
 
 
 def meeting_keys(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, cls, n, left: any two classes of wanted (cls) that are similar enough share a key at which may_link() holds.
+    """key, cls, n, left, own, its: any two classes of wanted (cls) that are similar enough share a key at which may_link() holds.
 
     Shingles are ordered by how many of these classes hold them, rare ones first. If two sets of n
     and m shingles are linked, they have PERCENT / (100 + PERCENT) * (n + m) shingles in common, so
     the first common one has at least as many from its place on (left) in each. A shingle therefore
     is a key only for partners of a size that its place allows, and the frequent end of a set is
     never a key. Keys are hashes of (shingle, both size classes): equal hashes by chance only cost a
-    comparison.
+    comparison. Only classes of the size class that the other asks for (own of one is its of the
+    other) need to be paired at a key, as others meet at that of their own sizes.
     """
     told = cut(sets.join(wanted, "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "told")
     times = cut(told.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"), "times")
@@ -198,10 +199,10 @@ def meeting_keys(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     low = F.ceil(F.col("n") * PERCENT / 100)
     high = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("left") * ((100 + PERCENT) / PERCENT) + 1e-9) - F.col("n"))
     keyed = placed.withColumns({"own": size_class(F.col("n")), "low": low, "high": high}).where("high >= low")
-    # one size class more at each end: rounding can't part a pair
-    sizes = F.sequence(F.greatest(size_class(F.col("low")) - 1, F.lit(0)), size_class(F.col("high")) + 1)
+    # neighbouring whole numbers have logarithms far further apart than rounding, so classes keep the order of sizes
+    sizes = F.sequence(size_class(F.col("low")), size_class(F.col("high")))
     spread = keyed.select("cls", "n", "left", F.col("o.s").alias("s"), "own", F.explode(sizes).alias("its"))
-    return spread.select(F.xxhash64("s", F.least("own", "its"), F.greatest("own", "its")).alias("key"), "cls", "n", "left")
+    return spread.select(F.xxhash64("s", F.least("own", "its"), F.greatest("own", "its")).alias("key"), "cls", "n", "left", "own", "its")
 
 
 def may_link(n: str, left: str, m: str, its_left: str) -> Column:
@@ -226,23 +227,23 @@ def more_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     new = links.limit(0)
     rows = cut(relabelled(keys, links), "keyed")
     for round_ in range(LEAD_ROUNDS + 1):
-        ends = rows.groupBy("key").agg(F.min(F.struct("label", "cls", "n", "left")).alias("lead"), F.max("label").alias("last")).where("lead.label != last")
-        rows = cut(rows.join(cut(ends.select("key", F.col("lead.label").alias("its_label"), F.col("lead.cls").alias("its_cls"), F.col("lead.n").alias("m"), F.col("lead.left").alias("its_left")), "ends"), "key"), "mixed")
+        ends = rows.groupBy("key").agg(F.min(F.struct("label", "cls", "n", "left", "own")).alias("lead"), F.max("label").alias("last")).where("lead.label != last")
+        rows = cut(rows.join(cut(ends.select("key", F.col("lead.label").alias("its_label"), F.col("lead.cls").alias("its_cls"), F.col("lead.n").alias("m"), F.col("lead.left").alias("its_left"), F.col("lead.own").alias("its_own")), "ends"), "key"), "mixed")
         if rows.isEmpty():
             break
         if round_ < LEAD_ROUNDS:
-            pairs = rows.where((F.col("label") != F.col("its_label")) & may_link("n", "left", "m", "its_left")).select(F.col("its_cls").alias("x"), F.col("cls").alias("y"))
-            rows = rows.where("cls != its_cls").select("key", "cls", "n", "left", "label")
+            pairs = rows.where((F.col("label") != F.col("its_label")) & (F.col("its") == F.col("its_own")) & may_link("n", "left", "m", "its_left")).select(F.col("its_cls").alias("x"), F.col("cls").alias("y"))
+            rows = rows.where("cls != its_cls").select("key", "cls", "n", "left", "own", "its", "label")
         else:
             times = rows.groupBy("key", "label").agg(F.count("*").alias("times"))
             big = cut(times.groupBy("key").agg(F.max(F.struct("times", "label"))["label"].alias("big")), "big")
-            few = cut(rows.join(big, "key").where("label != big").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("m"), F.col("left").alias("its_left"), "big"), "few")
-            pairs = few.join(rows.select("key", F.col("cls").alias("y"), "label", "n", "left"), "key").where(F.expr("lx < label or label = big") & may_link("n", "left", "m", "its_left")).select("x", "y")
+            few = cut(rows.join(big, "key").where("label != big").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("m"), F.col("left").alias("its_left"), F.col("own").alias("its"), "big"), "few")
+            pairs = few.join(rows.select("key", F.col("cls").alias("y"), "label", "n", "left", "its"), ["key", "its"]).where(F.expr("lx < label or label = big") & may_link("n", "left", "m", "its_left")).select("x", "y")
         pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         found = cut(compared(pairs, sets).where(linked()).select("a", "b"), "found")
         if not found.isEmpty():
             new = new.unionByName(found)
-            rows = cut(relabelled(rows.select("key", "cls", "n", "left"), links.unionByName(new)), "keyed")
+            rows = cut(relabelled(rows.select("key", "cls", "n", "left", "own", "its"), links.unionByName(new)), "keyed")
     return new
 
 

@@ -107,3 +107,26 @@ def test_repeated_null_and_missing_rows(spark):
     assert sorted((r.component_id, r.kept) for r in neardup.groups(none).collect()) == [(None, True)] * 3
     assert neardup.kept_rows(none).count() == 2
     assert neardup.groups(frame.limit(0)).collect() == []
+
+
+def test_two_classes_meet_once_at_a_shingle(spark):
+    rng = random.Random(9)
+    base = [rng.randrange(2**40) for _ in range(200)]
+    sets = {i: sorted(set(base[: 200 - rng.randrange(60)]) | {rng.randrange(2**40) for _ in range(rng.randrange(40))}) for i in range(30)}
+    frame = spark.createDataFrame(list(sets.items()), "cls long, shingles array<long>").cache()
+    keys = neardup.meeting_keys(frame.select("cls"), frame).collect()
+    by_key = {}
+    for r in keys:
+        by_key.setdefault(r.key, []).append(r)
+    met = {}
+    for rows in by_key.values():
+        for x in rows:
+            for y in rows:
+                if x.cls < y.cls and x.own == y.its and y.own == x.its:
+                    met[x.cls, y.cls] = met.get((x.cls, y.cls), 0) + 1
+    for x in sets:
+        for y in sets:
+            common = len(set(sets[x]) & set(sets[y]))
+            if x < y:
+                assert met.get((x, y), 0) <= common  # nearly thrice as often before
+                assert 100 * common < 75 * len(set(sets[x]) | set(sets[y])) or (x, y) in met
