@@ -24,7 +24,7 @@ from pyspark.util import inheritable_thread_target
 
 from millrace.operators.features import gram, moments, scaled
 from millrace.operators.similarity import dense_nearest
-from millrace.sources.stores import cut_at
+from millrace.sources.stores import cut, cut_at
 
 
 def assembled(rows: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -344,22 +344,24 @@ def search(rows: DataFrame, splits: DataFrame, make: Callable[[dict], Pipeline],
     """Best combination by mean validation R2 (accuracy for classes) over given folds, refitted on train and val (MOD9, MOD10).
 
     splits: (cv, id, split), folds may overlap. The first combination wins ties. Gives (combination,
-    model, [(number, cv, score)]). parallelism fits of a fold run at the same time.
+    model, [(number, cv, score)]). parallelism fits of a fold run at the same time. Rows meet the splits
+    in one join, written once; folds are read from that.
     """
     judge = MulticlassClassificationEvaluator(labelCol=y, metricName="accuracy") if classes else RegressionEvaluator(labelCol=y, metricName="r2")
     folds = [r[0] for r in splits.where("cv != 'refit'").select("cv").distinct().orderBy("cv").collect()]
-    part = lambda cv, s: rows.join(splits.where((F.col("cv") == cv) & (F.col("split") == s)).select("id"), "id", "left_semi")
+    parts = [(cv, s) for cv in folds for s in ("train", "val")]
+    member = [F.max((F.col("cv") == cv) & (F.col("split") == s)).alias(f"_in{i}") for i, (cv, s) in enumerate(parts)]
+    used_at_all = F.max(F.col("split").isin("train", "val")).alias("_used")
+    placed = cut(rows.join(splits.groupBy("id").agg(*member, used_at_all), "id"), "placed")
+    part = lambda cv, s: placed.where(f"_in{parts.index((cv, s))}").select(*rows.columns)
     log = []
     for cv in folds:
-        train, val = part(cv, "train").cache(), part(cv, "val").cache()
+        train, val = part(cv, "train"), part(cv, "val")
         score = lambda one, train=train, val=val: float(judge.evaluate(make(one).fit(train).transform(val)))
         log += [(i, cv, s) for i, s in enumerate(at_once(rows.sparkSession, score, combinations, parallelism))]
-        train.unpersist()
-        val.unpersist()
     mean = [np.mean([s for j, _, s in log if j == i]) for i in range(len(combinations))]
     best = combinations[int(np.argmax(mean))]
-    used = rows.join(splits.where("split in ('train', 'val')").select("id").distinct(), "id", "left_semi")
-    return best, make(best).fit(used), log
+    return best, make(best).fit(placed.where("_used").select(*rows.columns)), log
 
 
 def scored(rows: DataFrame, models: dict[str, PipelineModel], keep: list[str]) -> DataFrame:
