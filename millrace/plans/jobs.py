@@ -21,7 +21,7 @@ from millrace.functions.scalar import typed_value
 from millrace.operators import ensemble, metrics, models, profile, rows, search, selection, splits
 from millrace.operators.scoring import BatchModel, with_models
 from millrace.plans.spec import ScoreSpec, checked_settings
-from millrace.sources.stores import there
+from millrace.sources.stores import cut, there
 
 
 @dataclass
@@ -249,7 +249,18 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
             return selection.staged_pipeline(columns, name, **values)
         return models.pipeline(columns, name, constants=False, **values)
 
-    part = lambda r, cv, s: usable.join(table.where((F.col("resample") == r) & (F.col("cv") == cv) & (F.col("split") == s)).select("id"), "id", "left_semi")
+    stands = [*folds, *[(r, "refit") for r in sorted({r for r, _ in folds})]]
+    in_split = lambda r, cv: F.col(f"_in{stands.index((r, cv))}")
+    met: list[DataFrame] = []
+
+    def placed() -> DataFrame:
+        """Usable rows with the split of each (resample, cv), joined once and written."""
+        if not met:
+            member = [F.max(F.when((F.col("resample") == r) & (F.col("cv") == cv), F.col("split"))).alias(f"_in{i}") for i, (r, cv) in enumerate(stands)]
+            met.append(cut(usable.join(table.groupBy("id").agg(*member), "id"), "placed"))
+        return met[0]
+
+    part = lambda r, cv, s: placed().where(in_split(r, cv) == s).select(*usable.columns)
     having = lambda rows, t: rows.withColumn("y", F.col(f"_y{tasks.index(t)}")).where("y is not null")
     measures = _measures(classes)
     for r, cv in folds:
@@ -258,7 +269,7 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
         work = search.work_list(one_fold, tried.crossJoin(targets), done).orderBy("model_number", "task").collect()
         if not work:
             continue
-        train, val = part(r, cv, "train").persist(), part(r, cv, "val").persist()
+        train, val = part(r, cv, "train"), part(r, cv, "val")
 
         def fit(row, train=train, val=val, r=r, cv=cv) -> None:
             values, began = {n: typed_value(row[n]) for n in names}, time.monotonic()
@@ -267,26 +278,25 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
             kept.coalesce(1).write.mode("overwrite").parquet(f"{at('log')}/resample={r}/cv_fold={cv}/fit={_fit_key([row.task, *[row[n] for n in names]])}")
 
         models.at_once(spark, fit, work, parallelism)
-        train.unpersist()
-        val.unpersist()
     # numbers are those of this call's grid, whatever grid the log was begun with
     log = _log(spark, at("log")).join(grid, names) if names else _log(spark, at("log")).crossJoin(grid)
     best = search.best_configuration(log, training["selection_metric"], training["select_max_value"])
     chosen = {int(r.resample): r for r in best.join(grid, "model_number").collect()}
     external = external_items(spark, told)
 
+    fit_of = lambda r, task: (_fit_key([task, *[chosen[r][n] for n in names]]), f"resample={r}/task={tasks.index(task)}")
+
+    def missing(work) -> bool:
+        fit_id, place = fit_of(*work)
+        return not there(spark, f"{at('predictions')}/{place}/_SUCCESS") or spark.read.parquet(f"{at('predictions')}/{place}").where((F.col("fit") == fit_id) & F.col("split").isin("train", *external)).select("split").distinct().count() != 1 + len(external)
+
     def refit(work) -> None:
-        r, task = work
-        fit_id, began = _fit_key([task, *[chosen[r][n] for n in names]]), time.monotonic()
-        place = f"resample={r}/task={tasks.index(task)}"
-        if there(spark, f"{at('predictions')}/{place}/_SUCCESS") and spark.read.parquet(f"{at('predictions')}/{place}").where((F.col("fit") == fit_id) & F.col("split").isin("train", *external)).select("split").distinct().count() == 1 + len(external):
-            return
+        (r, task), (fit_id, place), began = work, fit_of(*work), time.monotonic()
         model = make({n: typed_value(chosen[r][n]) for n in names}).fit(having(part(r, "refit", "train"), task))
         if training["save_model"] == "refit":
             model.write().overwrite().save(f"{at('models')}/{place}")
-        split = table.where((F.col("resample") == r) & (F.col("cv") == "refit")).select("id", "split")
         judge = lambda rows, *more: model.transform(rows.withColumn("y", F.col(f"_y{tasks.index(task)}"))).select("id", *more, "y", "prediction")
-        found = judge(usable.join(split, "id"), "split")
+        found = judge(placed().withColumn("split", in_split(r, "refit")).where("split is not null"), "split")
         for label, rows_ in external.items():
             found = found.unionByName(judge(rows_, F.lit(label).alias("split")))
         found = found.select(F.lit(task).alias("target"), "*", F.lit(int(chosen[r].model_number)).alias("model_number"), F.lit(fit_id).alias("fit"))
@@ -296,7 +306,10 @@ def run_models(items: DataFrame, settings: dict, folder: str, seed: int = 0, par
         told_key = {"resample_number": r, "target": task, "model_fn_str": name, "model_number": int(chosen[r].model_number)}
         models.run_record(spark, told_key, told, figures, time.monotonic() - began).coalesce(1).write.mode("overwrite").parquet(f"{at('run_log')}/{place}")
 
-    models.at_once(spark, refit, [(r, t) for r in sorted(chosen) for t in tasks], parallelism)
+    refits = [w for w in ((r, t) for r in sorted(chosen) for t in tasks) if missing(w)]
+    if refits:
+        placed()
+        models.at_once(spark, refit, refits, parallelism)
     predicted = spark.read.parquet(at("predictions"))
     as_log = predicted.select("resample", F.lit("refit").alias("cv_fold"), F.col("split").alias("data_split"), F.col("target").alias("task"), "id", F.col("prediction").alias("pred"))
     ensemble.refit_rows(as_log).drop("resample", "cv_fold", "model_number", "data_split").write.mode("overwrite").parquet(at("averages"))

@@ -145,6 +145,25 @@ def test_nearest_of_blocks_against_plain(spark):
     assert similarity.dense_nearest(make(q), make(x[:2]), 4).groupBy("query_id").count().where("count = 2").count() == 9
 
 
+def test_rows_meet_the_splits_once(spark, tmp_path, monkeypatch):
+    make, plans = models.pipeline, []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(models, "pipeline", lambda *a, **k: Watched(make(*a, **k)))
+    jobs.run_models(_modelled(spark), _settings(), str(tmp_path / "job"), seed=4)
+    data = _modelled(spark).selectExpr("item AS id", "a", "target AS y")
+    given = data.selectExpr("id", "explode(array('0', '1')) AS cv").selectExpr("cv", "id", "if(cv = id % 2, 'val', 'train') AS split")
+    models.search(data, given, lambda o: models.pipeline(["a"], "ridge", **o), [{"regParam": 0.0}])
+    assert len(plans) == 2 * 2 * 2 + 2 + 2 + 1 and not [p for p in plans if "Join" in p or "Exchange" in p]
+
+
 def test_another_model_data_or_seed_takes_nothing_of_the_last_job(spark, tmp_path):
     items, folder = _modelled(spark), str(tmp_path / "job")
     r2 = lambda found: found.where("dataset = 'test' and metric = 'r2'").first()["mean"]
