@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
@@ -122,36 +123,50 @@ def fourier_features(rows: DataFrame, columns: list[str], n: int = 64, gamma: fl
     return rows.withColumn(name, F.array(*[one(i) for i in range(n)]))
 
 
-def svr(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, epsilon: float = 0.1, rounds: int = 40, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of support-vector regression on z: epsilon-insensitive loss plus |w|^2 / 2c, by full gradients summed on Spark (MOD6)."""
+def svr(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, epsilon: float = 0.1, rounds: int = 40, rate: float = 1.0, weight: str | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept of support-vector regression on z: epsilon-insensitive loss plus |w|^2 / 2c, by full gradients summed on Spark (MOD6).
+
+    weight names a column that says how many equal rows a row stands for.
+    """
     one = rows.select(z).first()
     if one is None:
         raise ValueError("no rows to learn from")
     n_features = len(one[0])
-    start = rows.agg(F.avg(y)).first()[0]
-    w, bias, n = np.zeros(n_features), float(start), rows.count()
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    told = rows.select(F.col(z).cast("array<double>").alias("z"), F.col(y).cast("double").alias("y"), times.alias("times"))
+    total, n = told.agg(F.sum(F.col("y") * F.col("times")) / F.sum(F.when(F.col("y").isNotNull(), F.col("times"))), F.sum("times")).first()
+    w, bias = np.zeros(n_features), float(total)
     for t in range(rounds):
         here, there = w.copy(), bias
 
-        def run(frames: Iterator[pd.DataFrame], here=here, there=there) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], here=here, there=there) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_features + 1)
-            for frame in frames:
-                x = np.stack(frame[z].to_numpy())
-                off = x @ here + there - frame[y].to_numpy()
-                sign = np.where(off > epsilon, 1.0, np.where(off < -epsilon, -1.0, 0.0))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, n_features)
+                off = x @ here + there - batch.column(1).to_numpy(zero_copy_only=False)
+                sign = np.where(off > epsilon, 1.0, np.where(off < -epsilon, -1.0, 0.0)) * batch.column(2).to_numpy()
                 total += np.append(x.T @ sign, sign.sum())
-            yield pd.DataFrame({"i": np.arange(n_features + 1), "g": total})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n_features + 1), pa.int32()), "g": pa.array(total)})
 
-        sums = rows.select(z, y).mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
+        sums = told.mapInArrow(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
         step = rate / np.sqrt(t + 1)
         w = w - step * (sums[:-1] / n + w / (c * n))
         bias -= step * sums[-1] / n
     return w, bias
 
 
-def svc(rows: DataFrame, y: str, z: str = "z", c: float = 1.0):
-    """Support-vector classification of y in {0, 1} on kernel features (MOD7)."""
-    return LinearSVC(featuresCol="_z", labelCol=y, regParam=1.0 / c).fit(rows.withColumn("_z", array_to_vector(z)))
+def svc(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, weight: str | None = None):
+    """Support-vector classification of y in {0, 1} on kernel features (MOD7).
+
+    weight names a column that says how many equal rows a row stands for. Spark takes deviations of
+    weighted rows with another correction than of as many single ones; the penalty is taken to the same scale.
+    """
+    told = rows.withColumn("_z", array_to_vector(z))
+    if weight is None:
+        return LinearSVC(featuresCol="_z", labelCol=y, regParam=1.0 / c).fit(told)
+    n, squares = told.agg(F.sum(F.col(weight).cast("double")), F.sum(F.col(weight).cast("double") ** 2)).first()
+    scale = (n - 1) / (n - squares / n) if n and n > squares / n else 1.0
+    return LinearSVC(featuresCol="_z", labelCol=y, weightCol=weight, regParam=1.0 / c / scale).fit(told)
 
 
 class _Stage(Params, DefaultParamsReadable, DefaultParamsWritable):

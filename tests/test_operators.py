@@ -415,3 +415,21 @@ def test_shares_of_millions_of_rows_are_those_of_sql(spark):
     frame = spark.createDataFrame([(n,) for n, _ in cases], "n long")
     for (n, f), expected in zip(cases, sql, strict=True):
         assert frame.where(F.col("n") == n).select(splits.share_of(F.col("n"), f)).first()[0] == expected
+
+
+def test_a_row_with_a_weight_is_as_many_rows_to_kernel_models(spark):
+    rng = np.random.default_rng(11)
+    data = [([float(a), float(b)], float(a - b > 0), float(a - b), int(k)) for (a, b), k in zip(rng.normal(size=(60, 2)), rng.integers(1, 9, 60), strict=True)]
+    alike = spark.createDataFrame(data, "z array<double>, c double, y double, times long").coalesce(1).cache()
+    single = alike.withColumn("one", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "one").cache()
+    a, b = models.svr(alike, "y", rounds=3, weight="times"), models.svr(single, "y", rounds=3)
+    assert np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
+    a, b = models.svc(alike, "c", weight="times"), models.svc(single, "c")
+    z, label, times = np.array([d[0] for d in data]), np.array([2 * d[1] - 1 for d in data]), np.array([d[3] for d in data])
+    sd = np.repeat(z, times, 0).std(0, ddof=1)
+
+    def loss(m):
+        w = m.coefficients.toArray()
+        return np.average(np.maximum(0, 1 - label * (z @ w + m.intercept)), weights=times) + ((w * sd) ** 2).sum() / 2
+
+    assert abs(loss(a) - loss(b)) < 1e-3  # the hinge has a kink, at which Spark's search stops early
