@@ -100,9 +100,11 @@ def external_sets(spark: SparkSession, main: dict, sets: dict[str, dict]) -> Dat
 def two_header_table(spark: SparkSession, path: str, id_name: str = "id", sep: str = ";") -> DataFrame:
     """A table with two header rows as long rows (id, first, second, value) (SRC10).
 
-    The first column holds the id; an empty first header goes on as the one before.
+    The first column holds the id; an empty first header goes on as the one before. Of several files the
+    first by path begins with the headers.
     """
-    lines = spark.read.text(path).limit(2).collect()
+    first = spark.read.text(path).agg(F.min("_metadata.file_path")).first()[0]
+    lines = spark.read.text(first).limit(2).collect()
     head = [[x.strip() for x in line.value.split(sep)] for line in lines]
     top, under = head[0], head[1]
     for i in range(1, len(top)):

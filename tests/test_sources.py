@@ -45,6 +45,15 @@ def test_two_header_rows(spark, tmp_path):
     assert got == [("m1", "0", "0", "train"), ("m1", "0", "refit", "test"), ("m1", "1", "0", "val"), ("m2", "0", "0", "test"), ("m2", "0", "refit", "train")]
 
 
+def test_two_header_rows_stand_in_the_first_of_several_files(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("x;0\nid;a\n")
+    (folder / "part-1.csv").write_text("".join(f"m{i};v{i}\n" for i in range(500)))
+    got = sorted(map(tuple, readers.two_header_table(spark, str(folder)).collect()))
+    assert got == sorted((f"m{i}", "0", "a", f"v{i}") for i in range(500))
+
+
 def test_writers(spark, tmp_path):
     frame = spark.createDataFrame([("a", "CC", 1.0)], "id string, structure string, score double")
     writers.write_scored(frame, f"{tmp_path}/{writers.ranged_name('out', 0, -1)}", "csv")
