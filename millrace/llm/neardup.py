@@ -14,6 +14,7 @@ What the hubs leave open meets through rare shingles (see meeting_keys).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +134,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.select("cls", "digest"), "digest").select("cls", "shingles").dropDuplicates(["cls"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes with na, nb (sizes of their whole shingle sets) and common (of the intersection)."""
+def compared(pairs: DataFrame, sets: DataFrame, more: list[str] = ()) -> DataFrame:
+    """The pairs (a, b, more) of classes with na, nb (sizes of their whole shingle sets) and common (of the intersection)."""
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    both = pairs.select("a", "b", *more).join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", *more, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
 def linked() -> Column:
@@ -152,10 +153,10 @@ def candidates(open_rows: DataFrame) -> DataFrame:
     with, near-copies thus having their original. Each class is paired with the hubs of all classes
     in its buckets, so any two classes that share a bucket have been compared with a common hub.
     """
-    popular = cut(open_rows.groupBy("cls").agg(F.sum("size").alias("popularity")), "popular")
-    lead = cut(open_rows.join(popular, "cls").groupBy("key").agg(F.max(F.struct("popularity", "cls")).alias("lead")), "lead")
-    hubs = cut(open_rows.join(lead, "key").groupBy("cls").agg(F.max("lead")["cls"].alias("hub")), "hubs")
-    near = cut(open_rows.join(hubs, "cls").select("key", "hub").distinct(), "near")
+    popular = open_rows.groupBy("cls").agg(F.sum("size").alias("popularity"))
+    lead = open_rows.join(popular, "cls").groupBy("key").agg(F.max(F.struct("popularity", "cls")).alias("lead"))
+    hubs = open_rows.join(lead, "key").groupBy("cls").agg(F.max("lead")["cls"].alias("hub"))
+    near = open_rows.join(hubs, "cls").select("key", "hub").distinct()
     return open_rows.select("key", "cls").join(near, "key").where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
 
@@ -172,7 +173,7 @@ def still_open(members: DataFrame) -> DataFrame:
     big = labels.groupBy("hub").agg(F.count("*").alias("kinds"), F.max(F.struct("times", "label"))["label"].alias("big")).where("kinds > 1")
     other = F.col("label") != F.col("big")
     best = [f(F.when(other, F.col(x)) if which == "some" else F.col(x)).alias(f"{which}_{x}") for which in ("all", "some") for f, x in ((F.max, "c"), (F.max, "e"), (F.min, "least"))]
-    hubs = cut(labels.join(big, "hub").groupBy("hub", "big").agg(*best), "hubs")
+    hubs = labels.join(big, "hub").groupBy("hub", "big").agg(*best)
     near = own.join(hubs, "hub")
     c, e, least = (F.when(other, F.col(f"all_{x}")).otherwise(F.col(f"some_{x}")) for x in ("c", "e", "least"))
     can = (100 + PERCENT) * (F.least("common", c) + F.least("extra", e)) >= PERCENT * (F.col("n") + least)
@@ -191,7 +192,7 @@ def meeting_keys(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     other) need to be paired at a key, as others meet at that of their own sizes.
     """
     told = cut(sets.join(wanted, "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "told")
-    times = cut(told.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    times = told.groupBy("s").agg(F.count("*").alias("times")).where("times > 1")
     # a shingle of one class alone is no key; those come first, and their number gives the places of the rest
     order = told.join(times, "s").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("order"))
     size_class = lambda x: F.floor(F.log(x.cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
@@ -210,41 +211,49 @@ def may_link(n: str, left: str, m: str, its_left: str) -> Column:
     return (100 + PERCENT) * F.least(left, its_left) >= PERCENT * (F.col(n) + F.col(m))
 
 
-def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (cls, label; other columns stay) with the labels that links (a, b) between classes give."""
-    moved = components(links)
-    return rows.drop("label").join(moved.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def relabelled(rows: DataFrame, moves: list[DataFrame]) -> DataFrame:
+    """rows (cls; other columns stay) with label, the class that names cls's component after moves (node, label), one upon the other."""
+    rows = rows.drop("label").withColumn("label", F.col("cls"))
+    return reduce(moved, moves, rows)
 
 
-def more_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between classes that share a key of meeting_keys() and that links leave in different components.
+def moved(rows: DataFrame, move: DataFrame) -> DataFrame:
+    """rows with the labels that a move (node, label) between labels gives."""
+    step = move.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return rows.join(step, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def more_moves(keys: DataFrame, sets: DataFrame, moves: list[DataFrame]) -> list[DataFrame]:
+    """moves and what links between classes that share a key of meeting_keys() add to them.
 
     In each of LEAD_ROUNDS rounds one class of a key is compared with those of other components
     there and then leaves the key; what it links with becomes one component, and a key whose classes
     are all of one is done. What remains is paired within its key, those of the key's most frequent
-    component with the others only.
+    component with the others only. New links join components as they stand, so only those of a round
+    are walked through, never the ones before them again.
     """
-    new = links.limit(0)
-    rows = cut(relabelled(keys, links), "keyed")
+    rows = cut(relabelled(keys, moves), "keyed")
     for round_ in range(LEAD_ROUNDS + 1):
         ends = rows.groupBy("key").agg(F.min(F.struct("label", "cls", "n", "left", "own")).alias("lead"), F.max("label").alias("last")).where("lead.label != last")
-        rows = cut(rows.join(cut(ends.select("key", F.col("lead.label").alias("its_label"), F.col("lead.cls").alias("its_cls"), F.col("lead.n").alias("m"), F.col("lead.left").alias("its_left"), F.col("lead.own").alias("its_own")), "ends"), "key"), "mixed")
+        rows = cut(rows.join(ends.select("key", F.col("lead.label").alias("its_label"), F.col("lead.cls").alias("its_cls"), F.col("lead.n").alias("m"), F.col("lead.left").alias("its_left"), F.col("lead.own").alias("its_own")), "key"), "mixed")
         if rows.isEmpty():
             break
         if round_ < LEAD_ROUNDS:
-            pairs = rows.where((F.col("label") != F.col("its_label")) & (F.col("its") == F.col("its_own")) & may_link("n", "left", "m", "its_left")).select(F.col("its_cls").alias("x"), F.col("cls").alias("y"))
+            pairs = rows.where((F.col("label") != F.col("its_label")) & (F.col("its") == F.col("its_own")) & may_link("n", "left", "m", "its_left")).select(F.col("its_cls").alias("x"), F.col("cls").alias("y"), F.col("its_label").alias("lx"), F.col("label").alias("ly"))
             rows = rows.where("cls != its_cls").select("key", "cls", "n", "left", "own", "its", "label")
         else:
             times = rows.groupBy("key", "label").agg(F.count("*").alias("times"))
-            big = cut(times.groupBy("key").agg(F.max(F.struct("times", "label"))["label"].alias("big")), "big")
+            big = times.groupBy("key").agg(F.max(F.struct("times", "label"))["label"].alias("big"))
             few = cut(rows.join(big, "key").where("label != big").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("m"), F.col("left").alias("its_left"), F.col("own").alias("its"), "big"), "few")
-            pairs = few.join(rows.select("key", F.col("cls").alias("y"), "label", "n", "left", "its"), ["key", "its"]).where(F.expr("lx < label or label = big") & may_link("n", "left", "m", "its_left")).select("x", "y")
-        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        found = cut(compared(pairs, sets).where(linked()).select("a", "b"), "found")
+            pairs = few.join(rows.select("key", F.col("cls").alias("y"), F.col("label").alias("ly"), "n", "left", "its"), ["key", "its"]).where(F.expr("lx < ly or ly = big") & may_link("n", "left", "m", "its_left")).select("x", "y", "lx", "ly")
+        first = F.col("x") < F.col("y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("lx")).otherwise(F.col("ly")).alias("la"), F.when(first, F.col("ly")).otherwise(F.col("lx")).alias("lb"))
+        pairs = cut(pairs.distinct(), "pairs")
+        found = cut(compared(pairs, sets, ["la", "lb"]).where(linked()).select(F.col("la").alias("a"), F.col("lb").alias("b")), "found")
         if not found.isEmpty():
-            new = new.unionByName(found)
-            rows = cut(relabelled(rows.select("key", "cls", "n", "left", "own", "its"), links.unionByName(new)), "keyed")
-    return new
+            moves = [*moves, components(found)]
+            rows = cut(moved(rows, moves[-1]), "keyed")
+    return moves
 
 
 def placed_rows(docs: DataFrame) -> DataFrame:
@@ -253,20 +262,20 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     classes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows = cut(classes.select("cls", F.explode("bands").alias("key")), "bands")
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     open_rows = cut(rows.join(shared, "key"), "open")
     pairs = cut(candidates(open_rows), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     wanted = cut(classes.select("cls", "digest", "h").join(wanted, "cls", "left_semi"), "wanted")
     sets = cut(shingle_sets(docs, wanted), "sets")
     tested = cut(compared(pairs, sets), "tested")
-    links = cut(tested.where(linked()).select("a", "b"), "links")
-    members = relabelled(tested.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("nb").alias("n"), "common"), links)
+    moves = [components(tested.where(linked()).select("a", "b"))]
+    members = relabelled(tested.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("nb").alias("n"), "common"), moves)
     open_members = cut(still_open(cut(members, "members")), "open")
     if not open_members.isEmpty():
-        links = links.unionByName(more_links(meeting_keys(open_members, sets), sets, links))
-    labels = cut(relabelled(classes.select("cls", "digest", "rep"), links), "labels")
-    least = cut(labels.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+        moves = more_moves(meeting_keys(open_members, sets), sets, moves)
+    labels = cut(relabelled(classes.select("cls", "digest", "rep"), moves), "labels")
+    least = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
     own = cut(labels.join(least, "label").select("digest", "label", "component_id", (F.col("cls") == F.col("label")).alias("leads")), "own")
     base = found.select("doc_id", "h", "n_shingles", "digest")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("leads"))

@@ -84,6 +84,20 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_force(docs)
 
 
+def test_links_are_walked_through_once(spark, monkeypatch):
+    walked, whole = [], neardup.components
+
+    def told(links):
+        walked.append({(r.a, r.b) for r in links.collect()})
+        return whole(links)
+
+    monkeypatch.setattr(neardup, "components", told)
+    base = near_copies(1, 200, 0, seed=5)[0][1].split()
+    docs = near_copies(120, 60, 2) + [(2000 + i, " ".join(base[a : a + 120])) for i, a in enumerate(random.Random(2).choices(range(80), k=60))]
+    assert sorted(map(tuple, neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == brute_force(docs)
+    assert len(walked) > 1 and sum(map(len, walked)) == len(set().union(*walked))
+
+
 def test_one_doc_id_with_different_texts(spark):
     a, b = near_copies(1, 80, 0, seed=3)[0][1], near_copies(1, 80, 0, seed=4)[0][1]
     rows = [(1, a + " x"), (5, a), (5, b), (9, b + " y")]
