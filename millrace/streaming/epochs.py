@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "due int, before double, best double, at int, next int, decided boolean"
+_STATE = "due int, before double, best double, at int, next int, decided boolean, epochs array<int>, losses array<double>"
 
 
 @dataclass
@@ -46,7 +45,8 @@ class EarlyStop(StatefulProcessor):
 
     Epochs that come before their turn wait, limit of them at most. If the one waited for hasn't come
     after wait milliseconds, those that are there go on without it. An epoch that comes twice counts once, and
-    nothing is kept of a decided run but that it is decided.
+    nothing is kept of a decided run but that it is decided. All of a run's state is one value, so that a batch reads
+    and writes it once for a run, however many epochs it brings: each access is a round trip to the store.
     """
 
     def __init__(self, limit: int, patience: int, threshold: float, wait: int | None = None):
@@ -54,42 +54,48 @@ class EarlyStop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", _STATE)
-        self.early = handle.getMapState("early", "epoch int", "loss double")
+        self.state = handle.getValueState("run", _STATE)
 
-    def _go_on(self, key, fold: Fold, now: int | None, gaps: bool) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.early.iterator()}
+    def _known(self) -> tuple[Fold, dict[int, float | None]]:
+        """The fold so far and the losses of the epochs that wait."""
+        held = self.state.get()
+        if held is None:
+            return Fold(min(self.rule[1], self.rule[0])), {}
+        *fold, epochs, losses = held
+        return Fold(*fold), dict(zip(epochs, losses, strict=True))
+
+    def _go_on(self, key, fold: Fold, early: dict[int, float | None], now: int | None, gaps: bool) -> Iterator[Row]:
         stop = None
-        for epoch in sorted(held):
+        for epoch in sorted(early):
             if epoch > fold.next and not gaps:
                 break
+            loss = early.pop(epoch)
             if epoch >= fold.next:
-                stop = fold.add(epoch, held[epoch], *self.rule)
-            self.early.removeKey((epoch,))
+                stop = fold.add(epoch, loss, *self.rule)
             if stop is not None:
-                yield pd.DataFrame({"run": [key[0]], "stop_epoch": [stop]})
-                self.early.clear()
+                yield Row(run=key[0], stop_epoch=stop)
+                early.clear()
                 break
-        self.state.update(astuple(fold))
+        self.state.update((*astuple(fold), list(early), list(early.values())))
         if self.wait is not None and now is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if self.early.exists() and not fold.decided:
+            if early and not fold.decided:
                 self.handle.registerTimer(now + self.wait)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fold = Fold(*self.state.get()) if self.state.exists() else Fold(min(self.rule[1], self.rule[0]))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        fold, early = self._known()
         if fold.decided:
             return
-        for frame in rows:
-            for epoch, loss in zip(frame["epoch"].tolist(), frame["loss"].tolist(), strict=True):
-                if fold.next <= epoch <= self.rule[0] and not self.early.containsKey((epoch,)):
-                    self.early.updateValue((epoch,), (loss,))
-        yield from self._go_on(key, fold, timerValues.getCurrentProcessingTimeInMs() if self.wait is not None else None, False)
+        for row in rows:
+            if fold.next <= row.epoch <= self.rule[0]:
+                early.setdefault(row.epoch, row.loss)
+        yield from self._go_on(key, fold, early, timerValues.getCurrentProcessingTimeInMs() if self.wait is not None else None, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.state.exists():
-            yield from self._go_on(key, Fold(*self.state.get()), timerValues.getCurrentProcessingTimeInMs(), True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        fold, early = self._known()
+        if early:
+            yield from self._go_on(key, fold, early, timerValues.getCurrentProcessingTimeInMs(), True)
 
     def close(self) -> None:
         pass
@@ -103,14 +109,14 @@ def stopping_stream(epochs: DataFrame, limit: int, patience: int, threshold: flo
     """
     rows = epochs.select("run", F.col("epoch").cast("int").alias("epoch"), F.col("loss").cast("double").alias("loss")).where("run is not null and epoch is not null")
     schema = f"run {epochs.schema['run'].dataType.simpleString()}, stop_epoch int"
-    return rows.groupBy("run").transformWithStateInPandas(EarlyStop(limit, patience, threshold, wait), outputStructType=schema, outputMode="Append", timeMode="None" if wait is None else "ProcessingTime")
+    return rows.groupBy("run").transformWithState(EarlyStop(limit, patience, threshold, wait), outputStructType=schema, outputMode="Append", timeMode="None" if wait is None else "ProcessingTime")
 
 
 def write_stops(stops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes decisions as they come, each once; a query begun again with the checkpoint goes on where it was."""
     conf, name = stops.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name)
-    conf.set(name, ROCKS)  # the only store that holds several states of a key
+    conf.set(name, ROCKS)  # the store that keeps states out of the JVM's heap, and that this operator asks for
     try:
         return stops.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:

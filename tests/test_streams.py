@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.operators import search
@@ -10,7 +11,7 @@ from millrace.plans import jobs
 from millrace.plans.spec import ScoreSpec
 from millrace.sources.readers import numbered, read_tokens, row_range
 from millrace.streaming import profiles
-from millrace.streaming.epochs import Fold, stopping_stream, write_stops
+from millrace.streaming.epochs import EarlyStop, Fold, stopping_stream, write_stops
 
 
 def test_a_killed_scoring_stream_gives_the_batch_jobs_totals(spark, tmp_path, monkeypatch):
@@ -62,6 +63,33 @@ def test_early_stops_of_a_stream_are_those_of_the_batch_in_any_order(spark, tmp_
     assert {r.run: r.stop_epoch for r in rows} == want | {99: 1} and len(rows) == len(want) + 1
 
 
+class _Store:
+    """A handle and its only state, which counts how often it is used."""
+
+    def __init__(self):
+        self.value, self.used = None, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.used += 1
+        return self.value
+
+    def update(self, value):
+        self.used += 1
+        self.value = value
+
+
+def test_a_run_uses_its_state_twice_a_batch_whatever_its_epochs():
+    store, stop = _Store(), EarlyStop(30, 3, 0.5)
+    stop.init(store)
+    rows = [Row(epoch=e, loss=100.0 - e) for e in range(1, 31)]
+    assert list(stop.handleInputRows((7,), iter(rows[15:]), None)) == [] and store.used == 2
+    assert list(stop.handleInputRows((7,), iter(rows[:15]), None)) == [Row(run=7, stop_epoch=30)] and store.used == 4
+    assert list(stop.handleInputRows((7,), iter(rows), None)) == [] and store.used == 5
+
+
 def test_fold_against_a_plain_loop():
     rng = random.Random(5)
     for _ in range(300):
