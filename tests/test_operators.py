@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,3 +434,13 @@ def test_a_row_with_a_weight_is_as_many_rows_to_kernel_models(spark):
         return np.average(np.maximum(0, 1 - label * (z @ w + m.intercept)), weights=times) + ((w * sd) ** 2).sum() / 2
 
     assert abs(loss(a) - loss(b)) < 1e-3  # the hinge has a kink, at which Spark's search stops early
+
+
+def test_a_task_holds_k_scores_a_query_from_its_first_rows_on():
+    rng = np.random.default_rng(3)
+    asked = {"vec": rng.normal(size=(40, 8))}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(500)), "vec": rng.normal(size=(500, 8)).tolist()})
+    [(query, place, score)] = similarity._dense_scores("euclidean")(asked, batch, np.full(40, -np.inf), 5)
+    assert len(query) == 40 * 5
+    far = np.linalg.norm(asked["vec"][:, None] - np.array(batch["vec"].to_pylist())[None], axis=2)
+    assert all(set(place[query == q]) == set(np.argsort(far[q])[:5]) for q in range(40))
