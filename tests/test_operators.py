@@ -444,3 +444,11 @@ def test_a_task_holds_k_scores_a_query_from_its_first_rows_on():
     assert len(query) == 40 * 5
     far = np.linalg.norm(asked["vec"][:, None] - np.array(batch["vec"].to_pylist())[None], axis=2)
     assert all(set(place[query == q]) == set(np.argsort(far[q])[:5]) for q in range(40))
+
+
+def test_pairs_of_all_similarities_are_written_nowhere(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(similarity, "shared_folder", lambda _: str(tmp_path))
+    sets = spark.createDataFrame([(i, [i % 3, 5 + i % 2]) for i in range(30)], "id long, bits array<int>")
+    got = {(r.query_id, r.id) for r in similarity.tanimoto_hits(sets.where("id < 10"), sets, block=3).collect()}
+    assert got == {(a, b) for a in range(10) for b in range(30) if a % 3 == b % 3 or a % 2 == b % 2}
+    assert not list(tmp_path.glob("nearest-*"))
