@@ -452,3 +452,23 @@ def test_pairs_of_all_similarities_are_written_nowhere(spark, tmp_path, monkeypa
     got = {(r.query_id, r.id) for r in similarity.tanimoto_hits(sets.where("id < 10"), sets, block=3).collect()}
     assert got == {(a, b) for a in range(10) for b in range(30) if a % 3 == b % 3 or a % 2 == b % 2}
     assert not list(tmp_path.glob("nearest-*"))
+
+
+def test_trees_learn_from_sums_of_their_bootstraps(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [(float(a), float(b), 3.0 * a + rng.random()) for a, b in ((rng.randrange(6), rng.randrange(4)) for _ in range(3000))]
+    frame = spark.createDataFrame([*data, (None, 1.0, 5.0)], "a double, b double, y double").repartition(3)
+    want = models.forest(trees=6, seed=2).fit(models.assembled(frame, ["a", "b"])).featureImportances.toArray()
+
+    def refused(**_):
+        raise AssertionError("a forest over all rows")
+
+    monkeypatch.setattr(models, "forest", refused)
+    got = models.importances(frame, ["a", "b"], "y", 6, 2)
+    assert abs(got - want).max() < 0.01 and models.eliminate(frame, ["a", "b"], "y", 1, 6) == ["a"]
+    sums = models.bootstrapped(frame, ["a", "b"], "y", 6, 2).toPandas()
+    assert len(sums) == 6 * 24 and abs(sums["w"].sum() / 18000 - 1) < 0.03
+    assert abs(sum(sums["w"] * sums["m"]) / sums["w"].sum() - sum(r[2] for r in data) / 3000) < 0.2
+    monkeypatch.setattr(models, "CELLS", 3)
+    with pytest.raises(AssertionError, match="over all rows"):
+        models.eliminate(frame, ["a", "b"], "y", 1, 6)
