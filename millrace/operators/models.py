@@ -138,7 +138,10 @@ def importances(rows: DataFrame, columns: list[str], y: str, trees: int = 100, s
     Where columns have few different values together (CELLS at most), rows are read once and each tree
     learns from the sums of its bootstrap by these; else Spark's forest goes over all rows for each level.
     """
-    if (rows.agg(F.approx_count_distinct(F.struct(*columns))).first()[0] or 0) > CELLS:
+    kinds = rows.agg(F.approx_count_distinct(F.struct(*columns))).first()[0]
+    if not kinds:
+        raise ValueError("no rows to learn from")
+    if kinds > CELLS:
         return forest(trees=trees, seed=seed, y=y).fit(assembled(rows, columns)).featureImportances.toArray()
     sums = bootstrapped(rows, columns, y, trees, seed)
     path = f"{shared_folder(rows.sparkSession)}/bootstrap-{uuid.uuid4().hex}"

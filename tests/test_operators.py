@@ -469,6 +469,8 @@ def test_trees_learn_from_sums_of_their_bootstraps(spark, monkeypatch):
     sums = models.bootstrapped(frame, ["a", "b"], "y", 6, 2).toPandas()
     assert len(sums) == 6 * 24 and abs(sums["w"].sum() / 18000 - 1) < 0.03
     assert abs(sum(sums["w"] * sums["m"]) / sums["w"].sum() - sum(r[2] for r in data) / 3000) < 0.2
+    with pytest.raises(ValueError, match="no rows"):
+        models.importances(frame.limit(0), ["a", "b"], "y", 6, 2)
     monkeypatch.setattr(models, "CELLS", 3)
     with pytest.raises(AssertionError, match="over all rows"):
         models.eliminate(frame, ["a", "b"], "y", 1, 6)
