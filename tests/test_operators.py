@@ -454,6 +454,31 @@ def test_pairs_of_all_similarities_are_written_nowhere(spark, tmp_path, monkeypa
     assert not list(tmp_path.glob("nearest-*"))
 
 
+def test_sets_meet_thousands_of_queries_in_one_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(similarity, "shared_folder", lambda _: str(tmp_path))
+    rng = random.Random(6)
+    data = [(i, rng.sample(range(-20, 60), rng.randrange(1, 4))) for i in range(3000)]
+    sets = spark.createDataFrame(data, "id long, bits array<long>").repartition(3)
+    got = {(r.query_id, r.id): r.similarity for r in similarity.tanimoto_hits(sets, sets.where("id < 40"), digits=6).collect()}
+    assert [p.name for p in tmp_path.glob("queries-*/_block=*")] == ["_block=0"]  # three before, so all rows were read three times
+    common = {(q, i): len(set(x) & set(y)) for q, x in data for i, y in data[:40]}
+    want = {(q, i): (n, len(data[q][1]) + len(data[i][1]) - n) for (q, i), n in common.items() if n}
+    sql = dict(duckdb.sql("SELECT (c, u), round(c / u, 6) FROM range(1, 4) a(c), range(1, 7) b(u)").fetchall())
+    assert got == {k: sql[v] for k, v in want.items()}
+
+
+def test_elements_are_found_wherever_they_stand_in_the_table():
+    rng = np.random.default_rng(2)
+    inverse = np.uint64(pow(int(similarity.SPREAD), -1, 2**64))
+    near = (np.arange(50, dtype=np.uint64) * inverse).view(np.int64)  # keys 0 to 49: all have the same first bits
+    known = np.concatenate([near, rng.integers(-(2**62), 2**62, 500), [-1, 0, 1]])
+    asked = similarity._bits_of(pa.table({"id": np.arange(3), "bits": [known[:300].tolist(), known[300:].tolist(), known[::7].tolist()]}))
+    bits = np.concatenate([rng.permutation(known), rng.integers(-(2**62), 2**62, 500), (np.arange(40, 90, dtype=np.uint64) * inverse).view(np.int64)])
+    place, at = similarity._looked_up(asked, bits)
+    assert place.tolist() == np.flatnonzero(np.isin(bits, known)).tolist() and (asked["keys"][at] == similarity._keys(bits[place])).all()
+    assert len(similarity._looked_up(asked, bits[:0])[0]) == 0
+
+
 def test_trees_learn_from_sums_of_their_bootstraps(spark, monkeypatch):
     rng = random.Random(8)
     data = [(float(a), float(b), 3.0 * a + rng.random()) for a, b in ((rng.randrange(6), rng.randrange(4)) for _ in range(3000))]
