@@ -30,6 +30,8 @@ from millrace.sources.stores import cut, cut_at, shared_folder
 
 #: Different values of the features together up to which a forest's trees learn from sums.
 CELLS = 20_000
+#: Numbers that a task gathers before it groups rows by their features; targets of one of its groups at most.
+GATHERED, TARGETS = 4_000_000, 1000
 
 
 def assembled(rows: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -183,10 +185,15 @@ def eliminate_cv(rows: DataFrame, columns: list[str], y: str, fold: str, least:
     return eliminate(rows, columns, y, best, trees, seed)
 
 
+def _drawn(n: int, d: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and phases of n random Fourier features of d columns."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, np.sqrt(2 * gamma), (n, d)), rng.uniform(0, 2 * np.pi, n)
+
+
 def fourier_features(rows: DataFrame, columns: list[str], n: int = 64, gamma: float = 1.0, seed: int = 3, name: str = "z") -> DataFrame:
     """rows with n random Fourier features of the Gaussian kernel exp(-gamma |x - y|^2), an approximation (MOD6, MOD7)."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (n, len(columns))), rng.uniform(0, 2 * np.pi, n)
+    w, b = _drawn(n, len(columns), gamma, seed)
     one = lambda i: F.lit(float(np.sqrt(2 / n))) * F.cos(sum((F.col(c) * F.lit(float(w[i, j])) for j, c in enumerate(columns)), F.lit(float(b[i]))))
     return rows.withColumn(name, F.array(*[one(i) for i in range(n)]))
 
@@ -203,17 +210,26 @@ def svr(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, epsilon: float =
     times = F.col(weight).cast("double") if weight else F.lit(1.0)
     told = rows.select(F.col(z).cast("array<double>").alias("z"), F.col(y).cast("double").alias("y"), times.alias("times"))
     total, n = told.agg(F.sum(F.col("y") * F.col("times")) / F.sum(F.when(F.col("y").isNotNull(), F.col("times"))), F.sum("times")).first()
-    w, bias = np.zeros(n_features), float(total)
+
+    def gradient(batch: pa.RecordBatch, w: np.ndarray, bias: float) -> np.ndarray:
+        x = batch.column(0).flatten().to_numpy().reshape(-1, n_features)
+        off = x @ w + bias - batch.column(1).to_numpy(zero_copy_only=False)
+        sign = np.where(off > epsilon, 1.0, np.where(off < -epsilon, -1.0, 0.0)) * batch.column(2).to_numpy()
+        return np.append(x.T @ sign, sign.sum())
+
+    return _descent(told, gradient, n_features, float(total), n, c, rounds, rate)
+
+
+def _descent(told: DataFrame, gradient: Callable[[pa.RecordBatch, np.ndarray, float], np.ndarray], n_features: int, bias: float, n: float, c: float, rounds: int, rate: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept after rounds of steps along gradients of the loss, which tasks add up batch by batch; bias is where it begins."""
+    w = np.zeros(n_features)
     for t in range(rounds):
         here, there = w.copy(), bias
 
         def run(batches: Iterator[pa.RecordBatch], here=here, there=there) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_features + 1)
             for batch in batches:
-                x = batch.column(0).flatten().to_numpy().reshape(-1, n_features)
-                off = x @ here + there - batch.column(1).to_numpy(zero_copy_only=False)
-                sign = np.where(off > epsilon, 1.0, np.where(off < -epsilon, -1.0, 0.0)) * batch.column(2).to_numpy()
-                total += np.append(x.T @ sign, sign.sum())
+                total += gradient(batch, here, there)
             yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n_features + 1), pa.int32()), "g": pa.array(total)})
 
         sums = told.mapInArrow(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
@@ -223,6 +239,75 @@ def svr(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, epsilon: float =
     return w, bias
 
 
+def by_features(rows: DataFrame) -> DataFrame:
+    """x, ys: the targets (last column of rows) of rows alike in the columns before it, as they meet in a task.
+
+    A task gathers GATHERED numbers at a time, and a group has TARGETS values at most, so nothing is shuffled
+    and no group grows with the table. Every row is in one group.
+    """
+
+    def grouped(table: np.ndarray) -> pa.RecordBatch:
+        table = table[np.lexsort(table[:, :-1].T)]
+        x, n = table[:, :-1], len(table)
+        new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
+        place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        starts = np.flatnonzero(place % TARGETS == 0)
+        width = x.shape[1]
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * width, pa.int32()), pa.array(x[starts].ravel())),
+            pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), pa.array(table[:, -1].copy())),
+        ]
+        return pa.RecordBatch.from_arrays(lists, names=["x", "ys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                n += held[-1].size
+            if n >= GATHERED:
+                yield grouped(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield grouped(np.concatenate(held))
+
+    return rows.select(*[F.col(c).cast("double").alias(c) for c in rows.columns]).mapInArrow(run, "x array<double>, ys array<double>")
+
+
+def kernel_svr(rows: DataFrame, columns: list[str], y: str, n: int = 64, gamma: float = 1.0, seed: int = 3, c: float = 1.0, epsilon: float = 0.1, rounds: int = 40, rate: float = 1.0) -> tuple[np.ndarray, float]:
+    """svr() on the fourier_features() of columns, which are made where the gradients are, never written (MOD6).
+
+    Written are the targets, by different values of the columns (by_features()): the features of a group are
+    made once a round. Rows with a column that is null or NaN take no part.
+    """
+    known = rows.select(*columns, y).where(" and ".join(f"`{x}` is not null and not isnan(`{x}`)" for x in columns))
+    mean, total = known.agg(F.avg(y), F.count("*")).first()
+    if not total:
+        raise ValueError("no rows to learn from")
+    w, b = _drawn(n, len(columns), gamma, seed)
+
+    def gradient(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:
+        z = np.sqrt(2 / n) * np.cos(batch.column(0).flatten().to_numpy().reshape(-1, len(columns)) @ w.T + b)
+        times = batch.column(1).value_lengths().to_numpy()
+        off = np.repeat(z @ weights + bias, times) - batch.column(1).flatten().to_numpy()
+        sign = np.add.reduceat((off > epsilon).astype(np.float64) - (off < -epsilon), np.cumsum(times) - times) if len(times) else np.zeros(0)
+        return np.append(z.T @ sign, sign.sum())
+
+    return _descent(cut(by_features(known), "targets"), gradient, n, float(mean), total, c, rounds, rate)
+
+
+def kernel_predicted(rows: DataFrame, columns: list[str], weights: np.ndarray, bias: float, gamma: float = 1.0, seed: int = 3, name: str = "pred") -> DataFrame:
+    """rows with the predictions of kernel_svr()'s weights; null where a column is null or NaN (MOD6)."""
+    w, b = _drawn(len(weights), len(columns), gamma, seed)
+
+    @F.pandas_udf("double")
+    def predicted(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.cos(x.to_numpy(np.float64) @ w.T + b) @ (np.sqrt(2 / len(weights)) * weights) + bias)
+
+    whole = " and ".join(f"`{x}` is not null" for x in columns)
+    return rows.withColumn(name, F.when(F.expr(whole), predicted(F.struct(*columns))))
+
+
 def svc(rows: DataFrame, y: str, z: str = "z", c: float = 1.0, weight: str | None = None):
     """Support-vector classification of y in {0, 1} on kernel features (MOD7).
 

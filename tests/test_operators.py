@@ -436,6 +436,29 @@ def test_a_row_with_a_weight_is_as_many_rows_to_kernel_models(spark):
     assert abs(loss(a) - loss(b)) < 1e-3  # the hinge has a kink, at which Spark's search stops early
 
 
+def test_kernel_regression_writes_targets_and_no_features(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    data = [(float(a), float(b), float(a - b + e)) for a, b, e in zip(rng.integers(0, 4, 3000), rng.integers(0, 3, 3000), rng.normal(size=3000), strict=True)]
+    rows = spark.createDataFrame([*data, (1.0, 1.0, None)], "a double, b double, y double").repartition(3).cache()
+    monkeypatch.setattr(models, "TARGETS", 100)
+    want = models.svr(models.fourier_features(rows, ["a", "b"], 64, 0.3), "y", rounds=5)
+    written = []
+    monkeypatch.setattr(models, "cut", lambda df, tag: written.append(df.cache()) or written[-1])
+    missing = spark.createDataFrame([(None, 1.0, 2.0), (float("nan"), 1.0, 2.0)], rows.schema)
+    got = models.kernel_svr(rows.unionByName(missing), ["a", "b"], "y", 64, 0.3, rounds=5)
+    assert np.allclose(got[0], want[0], atol=1e-12) and np.isclose(got[1], want[1], atol=1e-12)
+    [groups] = [df.collect() for df in written]  # 66 numbers a row before
+    assert sum(len(r.ys) for r in groups) == 3001 and max(len(r.ys) for r in groups) <= 100 and all(len(r.x) == 2 for r in groups)
+    assert sorted((*r.x, v) for r in groups for v in r.ys if v == v) == sorted(data) and len(groups) < 3 * (3000 // 100 + 13)
+    z = models.fourier_features(rows, ["a", "b"], 64, 0.3).select("a", "b", "z").distinct().collect()
+    plain = {(r.a, r.b): np.dot(r.z, got[0]) + got[1] for r in z}
+    told = models.kernel_predicted(rows.unionByName(missing), ["a", "b"], *got, 0.3).collect()
+    assert len(told) == 3003 and sum(r.pred is None for r in told) == 2
+    assert all(abs(r.pred - plain[r.a, r.b]) < 1e-12 for r in told if (r.a, r.b) in plain)
+    with pytest.raises(ValueError, match="no rows to learn from"):
+        models.kernel_svr(missing, ["a", "b"], "y")
+
+
 def test_a_task_holds_k_scores_a_query_from_its_first_rows_on():
     rng = np.random.default_rng(3)
     asked = {"vec": rng.normal(size=(40, 8))}
